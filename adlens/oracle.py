@@ -237,3 +237,130 @@ ORACLE["T7_first_keywords"] = with_views(V_TRENDS) + \
 
 ORACLE["U4_distinct_platforms"] = with_views(V_CAMPAIGNS) + \
     "SELECT DISTINCT platform FROM v_campaigns ORDER BY platform"
+
+# ── Phase 2 ──────────────────────────────────────────────────────────
+_RN = "ROW_NUMBER() OVER (PARTITION BY campaign_id ORDER BY date DESC)"
+
+ORACLE["W1_moving_average"] = with_views(V_DAILY) + """
+SELECT campaign_id, date, clicks,
+  CASE WHEN COUNT(*) OVER (PARTITION BY campaign_id) >= 7 THEN
+    AVG(clicks) OVER (PARTITION BY campaign_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS clicks_ma7
+FROM v_daily"""
+
+ORACLE["W2_last_rows"] = with_views(V_DAILY) + f"""
+SELECT campaign_id, date, clicks FROM (SELECT *, {_RN} AS rn FROM v_daily) WHERE rn <= 14"""
+
+ORACLE["W3_rows_slice"] = with_views(V_DAILY) + f"""
+SELECT campaign_id, date, spend FROM (SELECT *, {_RN} AS rn FROM v_daily) WHERE rn BETWEEN 15 AND 28"""
+
+ORACLE["W4_fill_forward_backward"] = with_views(V_DAILY) + """
+, x AS (SELECT campaign_id, date, CASE WHEN spend > 0 THEN roas END AS r FROM v_daily)
+SELECT campaign_id, date, COALESCE(
+  LAST_VALUE(r IGNORE NULLS) OVER (PARTITION BY campaign_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  FIRST_VALUE(r IGNORE NULLS) OVER (PARTITION BY campaign_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+) AS roas_filled FROM x"""
+
+ORACLE["W9_tail_split"] = with_views(V_DAILY) + f"""
+, x AS (SELECT campaign_id, date, clicks, {_RN} AS rn, COUNT(*) OVER (PARTITION BY campaign_id) AS n_rows FROM v_daily)
+SELECT campaign_id, date, clicks, n_rows, CAST(LEAST(15, FLOOR(n_rows / 4)) AS INTEGER) AS test_days,
+  rn <= LEAST(15, FLOOR(n_rows / 4)) AS is_test FROM x"""
+
+ORACLE["W10_first_ads_per_group"] = with_views(V_ADS) + """
+SELECT ad_id, category, advertiser_name FROM (
+  SELECT ad_id, category, advertiser_name, ROW_NUMBER() OVER (PARTITION BY category ORDER BY ad_id) AS rn FROM v_ads)
+WHERE rn <= 3"""
+
+_WEEKS = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
+_DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+ORACLE["A12_calendar_pivot"] = with_views(V_DAILY) + """
+, x AS (SELECT dayname(date) AS dow, CAST(date_trunc('week', date) AS DATE) AS wk, clicks FROM v_daily),
+days AS (SELECT * FROM (VALUES """ + ", ".join(f"('{d}', {i})" for i, d in enumerate(_DAYS)) + """) t(dow, dow_index))
+SELECT days.dow, days.dow_index, """ + ", ".join(
+    f"CAST(SUM(CASE WHEN wk = DATE '{w}' THEN clicks END) AS BIGINT) AS \"{w}\"" for w in _WEEKS) + """
+FROM days LEFT JOIN x ON days.dow = x.dow GROUP BY days.dow, days.dow_index"""
+
+ORACLE["A13_recent_base_metrics"] = with_views(V_DAILY) + f"""
+, x AS (SELECT *, {_RN} AS rn, COUNT(*) OVER (PARTITION BY campaign_id) AS n_rows FROM v_daily),
+a AS (SELECT campaign_id, COUNT(*) AS n_days, SUM(impressions) AS total_impressions, SUM(clicks) AS total_clicks,
+        SUM(conversions) AS total_conversions, CAST(SUM(CAST(spend AS DECIMAL(18,2))) AS DOUBLE) AS total_spend,
+        CAST(SUM(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+      FROM x WHERE rn <= 30 AND n_rows >= 14 GROUP BY campaign_id)
+SELECT campaign_id, n_days, CAST(total_impressions AS BIGINT) AS total_impressions,
+  CAST(total_clicks AS BIGINT) AS total_clicks, CAST(total_conversions AS BIGINT) AS total_conversions,
+  total_spend, total_revenue,
+  total_impressions / n_days AS base_impressions,
+  COALESCE(CAST(total_clicks AS DOUBLE) / NULLIF(CAST(total_impressions AS DOUBLE), 0), 0.01) AS base_ctr,
+  CAST(total_spend AS DOUBLE) / NULLIF(CAST(total_clicks AS DOUBLE), 0) AS base_cpc,
+  COALESCE(CAST(total_conversions AS DOUBLE) / NULLIF(CAST(total_clicks AS DOUBLE), 0), 0.01) AS base_conv_rate,
+  COALESCE(total_revenue / NULLIF(CAST(total_conversions AS DOUBLE), 0), 100.0) AS base_aov,
+  total_revenue / NULLIF(total_spend, 0) AS current_roas
+FROM a WHERE total_spend <> 0 AND total_clicks <> 0"""
+
+_A14 = f"""
+, x AS (SELECT *, {_RN} AS rn, COUNT(*) OVER (PARTITION BY campaign_id) AS n_rows FROM v_daily),
+a AS (SELECT campaign_id, MAX(n_rows) AS n_rows,
+   CAST(SUM(CASE WHEN rn <= 14 THEN CAST(spend AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS r_spend,
+   CAST(SUM(CASE WHEN rn <= 14 THEN CAST(revenue AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS r_rev,
+   SUM(CASE WHEN rn <= 14 THEN conversions ELSE 0 END) AS r_conv,
+   SUM(CASE WHEN rn <= 14 THEN clicks ELSE 0 END) AS r_clicks,
+   CAST(SUM(CASE WHEN rn > 14 THEN CAST(spend AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS p_spend,
+   CAST(SUM(CASE WHEN rn > 14 THEN CAST(revenue AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS p_rev
+  FROM x WHERE rn <= 28 GROUP BY campaign_id),
+b AS (SELECT *, CASE WHEN r_spend > 0 THEN r_rev / r_spend ELSE 0.0 END AS r_roas,
+             CASE WHEN p_spend > 0 THEN p_rev / p_spend ELSE 0.0 END AS p_roas FROM a),
+c AS (SELECT *, CASE WHEN n_rows >= 28 AND p_roas > 0 THEN (r_roas - p_roas) / p_roas * 100 ELSE 0.0 END AS pct FROM b),
+t14 AS (SELECT c.campaign_id, v.campaign_name, v.platform, {rnd('r_spend', 2)} AS spend_14d,
+  {rnd('r_rev', 2)} AS revenue_14d, CAST(r_conv AS BIGINT) AS conversions_14d, CAST(r_clicks AS BIGINT) AS clicks_14d,
+  {rnd('r_roas', 2)} AS roas_14d,
+  CASE WHEN pct > 5 THEN 'improving' WHEN pct < -5 THEN 'declining' ELSE 'stable' END AS trend,
+  {rnd('pct', 1)} AS trend_pct
+  FROM c JOIN v_campaigns v ON c.campaign_id = v.campaign_id)"""
+
+ORACLE["A14_roas_trend_14"] = with_views(V_CAMPAIGNS, V_DAILY) + _A14 + " SELECT * FROM t14"
+
+_A15 = f"""
+, x15 AS (SELECT *, {_RN} AS rn, COUNT(*) OVER (PARTITION BY campaign_id) AS n_rows FROM v_daily),
+a15 AS (SELECT campaign_id,
+    CAST(SUM(CASE WHEN rn <= 14 THEN CAST(roas AS DECIMAL(28,4)) END) AS DOUBLE) / COUNT(*) FILTER (WHERE rn <= 14) AS recent_roas,
+    CAST(SUM(CASE WHEN rn > 14 THEN CAST(roas AS DECIMAL(28,4)) END) AS DOUBLE) / COUNT(*) FILTER (WHERE rn > 14) AS prior_roas
+  FROM x15 WHERE rn <= 28 AND n_rows >= 28 GROUP BY campaign_id),
+t15 AS (SELECT campaign_id, {rnd('recent_roas', 6)} AS recent_roas, {rnd('prior_roas', 6)} AS prior_roas,
+   {rnd('(recent_roas - prior_roas) / prior_roas * 100', 1)} AS trend_pct,
+   CASE WHEN (recent_roas - prior_roas) / prior_roas * 100 > 2 THEN 'improving'
+        WHEN (recent_roas - prior_roas) / prior_roas * 100 < -2 THEN 'declining' ELSE 'stable' END AS direction
+  FROM a15 WHERE prior_roas > 0)"""
+
+ORACLE["A15_roas_mean_trend"] = with_views(V_DAILY) + _A15 + " SELECT * FROM t15"
+
+ORACLE["A16_keyword_momentum"] = with_views(V_TRENDS) + f"""
+, x AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY keyword ORDER BY date DESC) AS rn,
+          COUNT(*) OVER (PARTITION BY keyword) AS n_rows FROM v_trends),
+a AS (SELECT keyword, SUM(CASE WHEN rn <= 7 THEN interest END) / 7 AS r,
+        SUM(CASE WHEN rn > 7 THEN interest END) / 7 AS p FROM x WHERE rn <= 14 AND n_rows >= 14 GROUP BY keyword)
+SELECT keyword, {rnd('r', 1)} AS recent_interest, {rnd('(r - p) / (p + 1) * 100', 1)} AS change_pct FROM a"""
+
+_A17 = f"""
+, f17 AS (SELECT campaign_id, metric, SUM(predicted_value) AS s, COUNT(*) AS forecast_days FROM v_forecasts GROUP BY 1, 2),
+t17 AS (SELECT campaign_id, metric, {rnd('s / forecast_days', 1)} AS avg_predicted, forecast_days FROM f17)"""
+
+ORACLE["A17_forecast_means"] = with_views(V_DAILY, V_FORECASTS) + _A17 + " SELECT * FROM t17"
+
+ORACLE["A18_mean_interest_by_date"] = with_views(V_TRENDS) + \
+    "SELECT date, AVG(CAST(interest AS DOUBLE)) AS search_trend FROM v_trends GROUP BY date"
+
+_M14 = with_views(V_CAMPAIGNS, V_DAILY, V_FORECASTS) + _A14 + _A15 + _A17 + f"""
+, m14 AS (SELECT t14.*, t15.trend_pct AS roas_mean_trend_pct, t15.direction AS roas_mean_direction,
+    t17.avg_predicted AS forecast_clicks_avg,
+    campaign_name || ' (' || platform || '): ROAS=' || printf('%.1f', {rnd('roas_14d', 1)}) || 'x, Spend=$'
+      || format('{{:,}}', CAST({rnd('spend_14d', 0)} AS BIGINT)) || ', Conv=' || CAST(conversions_14d AS VARCHAR)
+      || ', Trend=' || trend || ' (' || (CASE WHEN t14.trend_pct < 0 THEN '-' ELSE '+' END)
+      || printf('%.1f', {rnd('ABS(t14.trend_pct)', 1)}) || '%)' AS line
+  FROM t14 LEFT JOIN t15 ON t14.campaign_id = t15.campaign_id
+  LEFT JOIN (SELECT * FROM t17 WHERE metric = 'clicks') t17 ON t14.campaign_id = t17.campaign_id)"""
+
+ORACLE["M14_portfolio_digest"] = _M14 + " SELECT * FROM m14"
+
+ORACLE["A34_portfolio_health"] = _M14 + """
+SELECT CASE WHEN COALESCE(BOOL_OR(roas_14d < 1.0 AND trend = 'declining'), FALSE) THEN 'critical' ELSE 'normal' END
+  AS portfolio_health, COUNT(*) FILTER (WHERE roas_14d < 1.0 AND trend = 'declining') AS n_critical,
+  COUNT(*) AS n_campaigns FROM m14"""

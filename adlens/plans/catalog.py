@@ -141,3 +141,86 @@ def _t7(t: Tables):
 @query("U4_distinct_platforms")
 def _u4(t: Tables):
     return R.distinct_sorted(t.campaigns, "platform")
+
+
+# ── Phase 2: windows, trends, digest ─────────────────────────────────
+from adlens.operators import trends as T  # noqa: E402
+from adlens.plans import digest as D  # noqa: E402
+
+
+@query("W1_moving_average")
+def _w1(t: Tables):
+    return T.moving_average(t.daily.select("campaign_id", "date", "clicks"), "campaign_id", "clicks")
+
+
+@query("W2_last_rows")
+def _w2(t: Tables):
+    return T.last_n_rows(t.daily.select("campaign_id", "date", "clicks"), "campaign_id", 14)
+
+
+@query("W3_rows_slice")
+def _w3(t: Tables):
+    return T.rows_slice_from_end(t.daily.select("campaign_id", "date", "spend"), "campaign_id", 15, 28)
+
+
+@query("W4_fill_forward_backward")
+def _w4(t: Tables):
+    from pyspark.sql import functions as F
+    d = t.daily.select("campaign_id", "date",
+                       F.when(F.col("spend") > 0, F.col("roas")).alias("roas_filled"))
+    return T.fill_forward_backward(d, "campaign_id", "roas_filled")
+
+
+@query("W9_tail_split")
+def _w9(t: Tables):
+    return T.tail_split(t.daily.select("campaign_id", "date", "clicks"), "campaign_id")
+
+
+@query("W10_first_ads_per_group")
+def _w10(t: Tables):
+    return T.first_n_per_group(t.ads.select("ad_id", "category", "advertiser_name"), "category", 3, "ad_id")
+
+
+@query("A12_calendar_pivot")
+def _a12(t: Tables):
+    return T.calendar_pivot(t.daily, "clicks")
+
+
+@query("A13_recent_base_metrics")
+def _a13(t: Tables):
+    return T.recent_base_metrics(t.daily)
+
+
+@query("A14_roas_trend_14")
+def _a14(t: Tables):
+    return T.roas_trend_14(t.daily, t.campaigns)
+
+
+@query("A15_roas_mean_trend")
+def _a15(t: Tables):
+    return T.roas_mean_trend(t.daily)
+
+
+@query("A16_keyword_momentum")
+def _a16(t: Tables):
+    return T.keyword_momentum(t.trends)
+
+
+@query("A17_forecast_means")
+def _a17(t: Tables):
+    return T.forecast_means(t.forecasts)
+
+
+@query("A18_mean_interest_by_date")
+def _a18(t: Tables):
+    return T.mean_interest_by_date(t.trends)
+
+
+@query("M14_portfolio_digest")
+def _m14(t: Tables):
+    return D.portfolio_digest(t.daily, t.campaigns, t.forecasts)
+
+
+@query("A34_portfolio_health")
+def _a34(t: Tables):
+    return D.portfolio_health(D.portfolio_digest(t.daily, t.campaigns, t.forecasts))
