@@ -302,3 +302,15 @@ def recent_recommendations(recs: DataFrame, campaigns: DataFrame, n: int = 20) -
     """T2 (J3): newest n recommendations, left-joined to campaign names."""
     j = recs.join(campaigns.select("campaign_id", "campaign_name", "platform"), "campaign_id", "left")
     return j.orderBy(F.desc("created_at"), F.col("rec_id")).limit(n)
+
+
+def channel_summary(daily: DataFrame, campaigns: DataFrame, start, end) -> DataFrame:
+    """A6 at channel grain: one row per platform, keyed like a campaign row
+    (campaign_id = campaign_name = platform) so the allocator (M12) can move
+    budget across channels."""
+    per = in_range(daily, start, end).groupBy("campaign_id").agg(
+        money_sum("spend").alias("spend"), money_sum("revenue").alias("revenue"))
+    j = per.join(campaigns.select("campaign_id", "platform"), "campaign_id")
+    ch = j.groupBy("platform").agg(money_sum("spend").alias("spend"), money_sum("revenue").alias("revenue"))
+    return ch.select(F.col("platform").alias("campaign_id"), F.col("platform").alias("campaign_name"),
+                     "spend", "revenue", ratio_null("revenue", "spend", 2).alias("roas"))

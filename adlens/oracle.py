@@ -364,3 +364,202 @@ ORACLE["A34_portfolio_health"] = _M14 + """
 SELECT CASE WHEN COALESCE(BOOL_OR(roas_14d < 1.0 AND trend = 'declining'), FALSE) THEN 'critical' ELSE 'normal' END
   AS portfolio_health, COUNT(*) FILTER (WHERE roas_14d < 1.0 AND trend = 'declining') AS n_critical,
   COUNT(*) AS n_campaigns FROM m14"""
+
+# ── Phase 4: decide ──────────────────────────────────────────────────
+_EPS = "CAST('1e-10' AS DOUBLE)"
+_PRIOR = f"CAST('{1.0 / (1.0 + 1e-10)!r}' AS DOUBLE)"
+
+ORACLE["A31_normal_posterior"] = with_views(V_DAILY) + f"""
+, a AS (SELECT campaign_id, SUM(1.0 / ((roas * 0.2 + 0.1) * (roas * 0.2 + 0.1) + {_EPS})) AS p,
+          SUM(1.0 / ((roas * 0.2 + 0.1) * (roas * 0.2 + 0.1) + {_EPS}) * roas) AS ws, COUNT(*) AS n_obs
+        FROM v_daily GROUP BY campaign_id)
+SELECT campaign_id, {rnd(f'(0.0 + ws) / ({_PRIOR} + p)', 4)} AS mean,
+  {rnd(f'1.0 / SQRT({_PRIOR} + p)', 4)} AS uncertainty, n_obs FROM a"""
+
+
+def _beta_sql(keys: str) -> str:
+    return f"""SELECT {keys}, COUNT(*) FILTER (WHERE CAST(label AS BOOLEAN)) AS successes,
+    COUNT(*) FILTER (WHERE NOT CAST(label AS BOOLEAN)) AS failures FROM v_clicks GROUP BY {keys}"""
+
+
+def _beta_out(keys: str) -> str:
+    al, be = "(1.0 + successes)", "(1.0 + failures)"
+    return (f"SELECT {keys}, successes, failures, {rnd(f'{al} / ({al} + {be})', 4)} AS mean, "
+            f"{rnd(f'SQRT({al} * {be} / (({al} + {be}) * ({al} + {be}) * ({al} + {be} + 1)))', 4)} AS uncertainty, "
+            f"successes + failures AS n_obs")
+
+
+ORACLE["A32_beta_posterior"] = with_views(V_CLICKS) + f", b AS ({_beta_sql('p_brand')}) {_beta_out('p_brand')} FROM b"
+
+ORACLE["A33_best_arm_confidence"] = with_views(V_CLICKS) + f"""
+, b AS ({_beta_sql('l_linestatus, p_type')}),
+bel AS ({_beta_out('l_linestatus, p_type')} FROM b),
+r AS (SELECT *, ROW_NUMBER() OVER w AS rk, LEAD(mean) OVER w AS nxt FROM bel
+      WINDOW w AS (PARTITION BY l_linestatus ORDER BY mean DESC, p_type)),
+t AS (SELECT *, CASE WHEN nxt IS NULL THEN 0.0 ELSE (mean - nxt) / (ABS(mean) + {_EPS}) END AS g FROM r WHERE rk = 1)
+SELECT l_linestatus, p_type AS best_arm, mean AS best_mean, n_obs AS best_n_obs, {rnd('g', 6)} AS relative_gap,
+  CASE WHEN g > 0.15 AND n_obs >= 20 THEN 'high' WHEN g > 0.05 AND n_obs >= 10 THEN 'medium' ELSE 'low' END AS confidence
+FROM t"""
+
+_A13 = f"""
+, x13 AS (SELECT *, {_RN} AS rn, COUNT(*) OVER (PARTITION BY campaign_id) AS n_rows FROM v_daily),
+s13 AS (SELECT campaign_id, COUNT(*) AS n_days, SUM(impressions) AS total_impressions, SUM(clicks) AS total_clicks,
+        SUM(conversions) AS total_conversions, CAST(SUM(CAST(spend AS DECIMAL(18,2))) AS DOUBLE) AS total_spend,
+        CAST(SUM(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+      FROM x13 WHERE rn <= 30 AND n_rows >= 14 GROUP BY campaign_id),
+a13 AS (SELECT campaign_id, n_days, total_impressions / n_days AS base_impressions,
+  COALESCE(CAST(total_clicks AS DOUBLE) / NULLIF(CAST(total_impressions AS DOUBLE), 0), 0.01) AS base_ctr,
+  CAST(total_spend AS DOUBLE) / NULLIF(CAST(total_clicks AS DOUBLE), 0) AS base_cpc,
+  COALESCE(CAST(total_conversions AS DOUBLE) / NULLIF(CAST(total_clicks AS DOUBLE), 0), 0.01) AS base_conv_rate,
+  COALESCE(total_revenue / NULLIF(CAST(total_conversions AS DOUBLE), 0), 100.0) AS base_aov,
+  total_revenue / NULLIF(total_spend, 0) AS current_roas
+  FROM s13 WHERE total_spend <> 0 AND total_clicks <> 0),
+lv AS (SELECT CAST(m AS DOUBLE) AS bid_multiplier FROM (VALUES ('0.8'), ('0.9'), ('0.95'), ('1.0'), ('1.05'), ('1.1'), ('1.2')) t(m)),
+g0 AS (SELECT a13.*, lv.bid_multiplier, a13.base_impressions * SQRT(lv.bid_multiplier) AS exp_impressions FROM a13, lv),
+g1 AS (SELECT *, exp_impressions * base_ctr AS exp_clicks FROM g0),
+g2 AS (SELECT *, exp_clicks * (base_cpc * bid_multiplier) AS exp_spend, exp_clicks * base_conv_rate AS exp_conversions FROM g1),
+g3 AS (SELECT *, exp_conversions * base_aov AS exp_revenue FROM g2),
+grid AS (SELECT *, exp_revenue - exp_spend AS exp_profit,
+   CASE WHEN exp_spend > 0 THEN exp_revenue / exp_spend ELSE 0.0 END AS exp_roas FROM g3)"""
+
+ORACLE["M11_bid_response_grid"] = with_views(V_DAILY) + _A13 + " SELECT campaign_id, bid_multiplier, " + ", ".join(
+    f"{rnd(c, 6)} AS {c}" for c in
+    ("exp_impressions", "exp_clicks", "exp_spend", "exp_revenue", "exp_profit", "exp_roas")) + " FROM grid"
+
+_M10 = with_views(V_CAMPAIGNS, V_DAILY, V_FORECASTS) + _A13 + _A15 + f"""
+, rk AS (SELECT grid.*, c.campaign_name, c.platform, ROW_NUMBER() OVER w AS r, LEAD(exp_profit) OVER w AS nxt
+         FROM grid JOIN v_campaigns c ON grid.campaign_id = c.campaign_id
+         WINDOW w AS (PARTITION BY grid.campaign_id ORDER BY exp_profit DESC, bid_multiplier)),
+best AS (SELECT *, CASE WHEN nxt IS NULL THEN 0.0 ELSE (exp_profit - nxt) / (ABS(exp_profit) + {_EPS}) END AS g,
+           {rnd('(bid_multiplier - 1.0) * 100', 1)} AS chg,
+           CASE platform WHEN 'google' THEN 3.0 WHEN 'meta' THEN 2.5 WHEN 'amazon' THEN 3.5 ELSE 3.0 END AS tgt
+         FROM rk WHERE r = 1),
+fc AS (SELECT DISTINCT campaign_id, TRUE AS has_fc FROM v_forecasts),
+b2 AS (SELECT best.*, CASE WHEN g > 0.15 AND n_days >= 20 THEN 'high' WHEN g > 0.05 AND n_days >= 10 THEN 'medium' ELSE 'low' END AS confidence,
+         CASE WHEN ABS(chg) < 3.0 THEN 'hold' WHEN chg > 0 THEN 'increase' ELSE 'decrease' END AS act,
+         t15.trend_pct AS tp, t15.direction AS dir, fc.has_fc
+       FROM best LEFT JOIN t15 ON best.campaign_id = t15.campaign_id LEFT JOIN fc ON best.campaign_id = fc.campaign_id),
+bids AS (SELECT campaign_id, campaign_name, platform, {rnd('current_roas', 2)} AS current_roas,
+  act AS recommended_action, CASE WHEN act = 'hold' THEN 0.0 ELSE chg END AS recommended_change_pct,
+  CASE WHEN act = 'hold' THEN 1.0 ELSE bid_multiplier END AS recommended_multiplier,
+  {rnd('exp_roas', 2)} AS expected_roas_after, confidence,
+  concat_ws(' ',
+    'Current ROAS is ' || printf('%.1f', {rnd('current_roas', 1)}) || 'x (' || CASE WHEN current_roas >= tgt THEN 'above' ELSE 'below' END
+      || ' ' || printf('%.1f', {rnd('tgt', 1)}) || 'x target).',
+    CASE WHEN tp IS NOT NULL THEN 'Performance is ' || dir || ' (' || CASE WHEN tp < 0 THEN '-' ELSE '+' END
+      || printf('%.1f', {rnd('ABS(tp)', 1)}) || '% ROAS change over 14 days).' END,
+    CASE WHEN has_fc THEN 'Demand forecast factored into optimization.' END,
+    CASE WHEN act = 'increase' THEN 'The bid-response model recommends increasing bid by '
+           || printf('%.0f', {rnd('ABS(chg)', 0)}) || '% (expected ROAS: '
+           || printf('%.1f', {rnd('exp_roas', 1)}) || 'x). Confidence is ' || confidence || ' based on the profit gap to the next bid level.'
+         WHEN act = 'decrease' THEN 'The bid-response model recommends decreasing bid by '
+           || printf('%.0f', {rnd('ABS(chg)', 0)}) || '% to improve efficiency (expected ROAS: '
+           || printf('%.1f', {rnd('exp_roas', 1)}) || 'x).'
+         ELSE 'Current bid level is near-optimal. No adjustment recommended.' END) AS reasoning
+  FROM b2)"""
+
+ORACLE["M10_bid_recommendations"] = _M10 + " SELECT * FROM bids"
+
+ORACLE["T4_top_bid_rows"] = _M10 + """
+, top AS (SELECT * FROM bids ORDER BY platform, campaign_name, campaign_id LIMIT 8)
+SELECT ROW_NUMBER() OVER (ORDER BY platform, campaign_name, campaign_id) AS priority, campaign_id, campaign_name,
+  recommended_action, confidence FROM top"""
+
+_A6 = f"""
+, per6 AS (
+  SELECT campaign_id, {csum('impressions')} AS impressions, {csum('clicks')} AS clicks,
+    {msum('spend')} AS spend, {csum('conversions')} AS conversions, {msum('revenue')} AS revenue
+  FROM v_daily WHERE date BETWEEN {_S} AND {_E} GROUP BY campaign_id),
+a6 AS (SELECT p.campaign_id, c.campaign_name, c.platform, spend, revenue,
+  {ratio_null('revenue', 'spend', 2)} AS roas
+  FROM per6 p JOIN v_campaigns c ON p.campaign_id = c.campaign_id)"""
+
+_M12_BODY = f"""
+, b12 AS (SELECT *, COALESCE(roas, 0.0) AS r0 FROM a6),
+b13 AS (SELECT *, 30.0 / ((r0 * 0.2 + 0.1) * (r0 * 0.2 + 0.1) + {_EPS}) AS w FROM b12),
+b14 AS (SELECT *, (w * r0) / ({_PRIOR} + w) AS bm FROM b13),
+b15 AS (SELECT *, GREATEST(bm - (SELECT MIN(bm) FROM b14) + 0.1, 0.1) AS sh FROM b14),
+tots AS (SELECT SUM(sh) AS tsh, CAST(SUM(CAST(spend AS DECIMAL(18,2))) AS DOUBLE) AS tsp, COUNT(*) AS n FROM b15),
+b16 AS (SELECT b15.*, tots.tsp / 30 AS budget,
+   CASE WHEN tots.tsp > 0 THEN {rnd('spend / tots.tsp', 4)} ELSE {rnd('1.0 / tots.n', 4)} END AS current_share,
+   {rnd('sh / tots.tsh', 4)} AS recommended_share FROM b15, tots),
+b17 AS (SELECT *, {rnd('current_share * budget', 2)} AS current_daily, {rnd('recommended_share * budget', 2)} AS recommended_daily FROM b16),
+alloc AS (SELECT campaign_id, campaign_name, r0 AS roas, {rnd('bm', 4)} AS belief_mean, {rnd('budget', 2)} AS total_daily_budget,
+  current_share, recommended_share, current_daily, recommended_daily,
+  {rnd('recommended_daily - current_daily', 2)} AS change FROM b17)"""
+_M12 = with_views(V_CAMPAIGNS, V_DAILY) + _A6 + _M12_BODY
+
+ORACLE["M12_budget_allocation"] = _M12 + " SELECT * FROM alloc"
+ORACLE["A36_current_allocation"] = _M12 + " SELECT campaign_id, current_share, current_daily, total_daily_budget FROM alloc"
+
+_SHIFTS_BODY = f"""
+, inc AS (SELECT *, ROW_NUMBER() OVER (ORDER BY change DESC, campaign_id) AS pair_rank FROM alloc WHERE change > total_daily_budget * 0.03),
+dec AS (SELECT *, ROW_NUMBER() OVER (ORDER BY change ASC, campaign_id) AS pair_rank FROM alloc WHERE change < -total_daily_budget * 0.03),
+pr AS (SELECT inc.pair_rank, inc.campaign_id AS to_campaign, inc.campaign_name AS to_campaign_name, inc.roas AS to_roas,
+         dec.campaign_id AS from_campaign, dec.campaign_name AS from_campaign_name, dec.roas AS from_roas,
+         {rnd('LEAST(inc.change, ABS(dec.change))', 2)} AS amount, inc.total_daily_budget
+       FROM inc JOIN dec ON inc.pair_rank = dec.pair_rank),
+shifts AS (SELECT pair_rank, from_campaign, from_campaign_name, to_campaign, to_campaign_name, amount,
+  'Shift $' || printf('%.0f', {rnd('amount', 0)}) || '/day from ' || from_campaign_name || ' (ROAS '
+   || printf('%.1f', {rnd('from_roas', 1)}) || 'x) to ' || to_campaign_name || ' (ROAS ' || printf('%.1f', {rnd('to_roas', 1)})
+   || 'x). The posterior indicates higher expected returns.' AS reasoning,
+  CASE WHEN ABS(to_roas - from_roas) > 1.0 THEN 'high' ELSE 'medium' END AS confidence
+  FROM pr WHERE amount >= total_daily_budget * 0.02)"""
+_SHIFTS = _M12 + _SHIFTS_BODY
+
+ORACLE["M12_budget_shifts"] = _SHIFTS + " SELECT * FROM shifts"
+
+_CHOICES = with_views(V_REWARDS) + """
+, arms AS (SELECT arm, CAST(DENSE_RANK() OVER (ORDER BY arm) - 1 AS INTEGER) AS arm_no FROM (SELECT DISTINCT arm FROM v_rewards)),
+rr AS (SELECT 'round_robin' AS policy, d.round, arms.arm FROM
+        (SELECT DISTINCT round, CAST(date_diff('day', (SELECT MIN(round) FROM v_rewards), round) % (SELECT COUNT(*) FROM arms) AS INTEGER) AS arm_no
+         FROM v_rewards) d JOIN arms ON d.arm_no = arms.arm_no),
+ftl0 AS (SELECT *, COALESCE(SUM(CAST(reward AS DECIMAL(18,2))) OVER (PARTITION BY arm ORDER BY round
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM v_rewards),
+ftl AS (SELECT 'follow_the_leader' AS policy, round, arm FROM
+        (SELECT *, ROW_NUMBER() OVER (PARTITION BY round ORDER BY bef DESC, arm) AS rk FROM ftl0) WHERE rk = 1),
+choices AS (SELECT * FROM rr UNION ALL SELECT * FROM ftl),
+best AS (SELECT round, MAX(CAST(reward AS DECIMAL(18,2))) AS b FROM v_rewards GROUP BY round),
+got AS (SELECT c.policy, c.round, c.arm, r.reward, best.b FROM choices c JOIN v_rewards r ON c.round = r.round AND c.arm = r.arm
+        JOIN best ON c.round = best.round),
+rep AS (SELECT policy, round, arm, CAST(reward AS DOUBLE) AS reward, CAST(b AS DOUBLE) AS oracle_reward,
+  CAST(SUM(CAST(reward AS DECIMAL(18,2))) OVER w AS DOUBLE) AS cumulative_reward,
+  CAST(SUM(b) OVER w AS DOUBLE) AS cumulative_oracle,
+  CAST(SUM(b) OVER w - SUM(CAST(reward AS DECIMAL(18,2))) OVER w AS DOUBLE) AS cumulative_regret
+  FROM got WINDOW w AS (PARTITION BY policy ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+ORACLE["W5_policy_replay"] = _CHOICES + " SELECT * FROM rep"
+
+ORACLE["M13_policy_summary"] = _CHOICES + f"""
+, per AS (SELECT policy, CAST(SUM(CAST(reward AS DECIMAL(18,2))) AS DOUBLE) AS total_reward,
+           CAST(SUM(CAST(oracle_reward AS DECIMAL(18,2))) AS DOUBLE) AS oracle_total, COUNT(*) AS n_rounds FROM rep GROUP BY policy),
+ba AS (SELECT arm FROM v_rewards GROUP BY arm ORDER BY SUM(CAST(reward AS DECIMAL(18,2))) DESC, arm DESC LIMIT 1)
+SELECT policy, n_rounds, total_reward, oracle_total, {rnd('oracle_total - total_reward', 2)} AS final_regret,
+  (SELECT arm FROM ba) AS oracle_best_arm FROM per"""
+
+ORACLE["A37_arm_pull_counts"] = _CHOICES + """
+, cnt AS (SELECT policy, arm, COUNT(*) AS n FROM choices GROUP BY policy, arm),
+pol AS (SELECT DISTINCT policy FROM choices)
+SELECT pol.policy, arms.arm, CAST(COALESCE(cnt.n, 0) AS BIGINT) AS pulls
+FROM pol CROSS JOIN arms LEFT JOIN cnt ON cnt.policy = pol.policy AND cnt.arm = arms.arm"""
+
+ORACLE["U2_recommendation_log"] = _M10 + _A6 + _M12_BODY + _SHIFTS_BODY + """
+SELECT campaign_id, 'bid_adjustment' AS action_type,
+  to_json({'action': recommended_action, 'change_pct': recommended_change_pct,
+           'multiplier': recommended_multiplier, 'expected_roas': expected_roas_after}) AS action_detail,
+  reasoning, confidence, 'pending' AS status FROM bids
+UNION ALL
+SELECT from_campaign AS campaign_id, 'budget_reallocation' AS action_type,
+  to_json({'from_campaign': from_campaign, 'to_campaign': to_campaign, 'amount': amount}) AS action_detail,
+  reasoning, confidence, 'pending' AS status FROM shifts"""
+
+_CH = f"""
+, per6 AS (SELECT campaign_id, {msum('spend')} AS spend, {msum('revenue')} AS revenue
+  FROM v_daily WHERE date BETWEEN {_S} AND {_E} GROUP BY campaign_id),
+ch AS (SELECT c.platform, {msum('p.spend')} AS spend, {msum('p.revenue')} AS revenue
+  FROM per6 p JOIN v_campaigns c ON p.campaign_id = c.campaign_id GROUP BY c.platform),
+a6 AS (SELECT platform AS campaign_id, platform AS campaign_name, spend, revenue,
+  {ratio_null('revenue', 'spend', 2)} AS roas FROM ch)"""
+
+ORACLE["M12_channel_allocation"] = with_views(V_CAMPAIGNS, V_DAILY) + _CH + _M12_BODY + " SELECT * FROM alloc"
+ORACLE["M12_channel_shifts"] = with_views(V_CAMPAIGNS, V_DAILY) + _CH + _M12_BODY + _SHIFTS_BODY + " SELECT * FROM shifts"

@@ -224,3 +224,117 @@ def _m14(t: Tables):
 @query("A34_portfolio_health")
 def _a34(t: Tables):
     return D.portfolio_health(D.portfolio_digest(t.daily, t.campaigns, t.forecasts))
+
+
+# ── Phase 4: decide ──────────────────────────────────────────────────
+from pyspark.sql import functions as F  # noqa: E402
+
+from adlens.functions.ratios import round_half_up  # noqa: E402
+from adlens.operators import decide as DC  # noqa: E402
+
+
+@query("A31_normal_posterior")
+def _a31(t: Tables):
+    b = DC.normal_posterior(t.daily, "campaign_id", reward="roas",
+                            noise=F.col("roas") * 0.2 + 0.1)
+    return b.select("campaign_id", "mean", "uncertainty", "n_obs")
+
+
+def _brand_beta(t: Tables, keys):
+    return DC.beta_posterior(t.clicks, keys, success="label")
+
+
+@query("A32_beta_posterior")
+def _a32(t: Tables):
+    return _brand_beta(t, "p_brand")
+
+
+@query("A33_best_arm_confidence")
+def _a33(t: Tables):
+    return DC.best_arm_confidence(_brand_beta(t, ["l_linestatus", "p_type"]), "l_linestatus", arm="p_type")
+
+
+@query("M11_bid_response_grid")
+def _m11(t: Tables):
+    g = DC.bid_response_grid(T.recent_base_metrics(t.daily))
+    return g.select("campaign_id", "bid_multiplier",
+                    *[round_half_up(c, 6).alias(c) for c in
+                      ("exp_impressions", "exp_clicks", "exp_spend", "exp_revenue", "exp_profit", "exp_roas")])
+
+
+def _bids(t: Tables):
+    return DC.bid_recommendations(t.daily, t.campaigns, t.forecasts)
+
+
+@query("M10_bid_recommendations")
+def _m10(t: Tables):
+    return _bids(t)
+
+
+@query("T4_top_bid_rows")
+def _t4(t: Tables):
+    return DC.top_bid_rows(_bids(t), 8).select(
+        "priority", "campaign_id", "campaign_name", "recommended_action", "confidence")
+
+
+def _allocation(t: Tables):
+    return DC.budget_allocation(R.campaign_summary(t.daily, t.campaigns, START, END), days=30)
+
+
+@query("M12_budget_allocation")
+def _m12(t: Tables):
+    return _allocation(t)
+
+
+@query("A36_current_allocation")
+def _a36(t: Tables):
+    return _allocation(t).select("campaign_id", "current_share", "current_daily", "total_daily_budget")
+
+
+@query("M12_budget_shifts")
+def _m12s(t: Tables):
+    return DC.budget_shifts(_allocation(t))
+
+
+@query("J9_sampled_allocation")
+def _j9(t: Tables):
+    return DC.sampled_allocation_shares(R.campaign_summary(t.daily, t.campaigns, START, END),
+                                        n_samples=200, seed=42)
+
+
+def _choices(t: Tables):
+    return DC.round_robin_choices(t.rewards).unionByName(DC.follow_the_leader_choices(t.rewards))
+
+
+@query("W5_policy_replay")
+def _w5(t: Tables):
+    return DC.policy_replay(t.rewards, _choices(t))
+
+
+@query("M13_policy_summary")
+def _m13(t: Tables):
+    return DC.policy_summary(t.rewards, _choices(t))
+
+
+@query("A37_arm_pull_counts")
+def _a37(t: Tables):
+    return DC.arm_pull_counts(_choices(t))
+
+
+@query("U2_recommendation_log")
+def _u2(t: Tables):
+    return DC.recommendation_log(_bids(t), DC.budget_shifts(_allocation(t)))
+
+
+def _channel_allocation(t: Tables):
+    return DC.budget_allocation(R.channel_summary(t.daily, t.campaigns, START, END), days=30)
+
+
+@query("M12_channel_allocation")
+def _m12c(t: Tables):
+    return _channel_allocation(t)
+
+
+@query("M12_channel_shifts")
+def _m12cs(t: Tables):
+    return DC.budget_shifts(_channel_allocation(t))
