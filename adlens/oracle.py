@@ -563,3 +563,94 @@ a6 AS (SELECT platform AS campaign_id, platform AS campaign_name, spend, revenue
 
 ORACLE["M12_channel_allocation"] = with_views(V_CAMPAIGNS, V_DAILY) + _CH + _M12_BODY + " SELECT * FROM alloc"
 ORACLE["M12_channel_shifts"] = with_views(V_CAMPAIGNS, V_DAILY) + _CH + _M12_BODY + _SHIFTS_BODY + " SELECT * FROM shifts"
+
+# ── Phase 5: forecast ────────────────────────────────────────────────
+V_SERIES = """v_series_w AS (
+  SELECT 'priority:' || o_orderpriority AS series, CAST(o_orderdate AS DATE) AS date, CAST(COUNT(*) AS DOUBLE) AS n,
+    CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders GROUP BY 1, 2
+  UNION ALL
+  SELECT 'event:' || event_type, CAST(ts AS DATE), CAST(COUNT(*) AS DOUBLE),
+    CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) FROM events GROUP BY 1, 2),
+v_series AS (SELECT series, date, 'n' AS metric, n AS value FROM v_series_w
+  UNION ALL SELECT series, date, 'amount' AS metric, amount AS value FROM v_series_w)"""
+
+_K = "series, metric"
+_LIN = with_views(V_SERIES) + f"""
+, p0 AS (SELECT series, metric, date, value AS y, ROW_NUMBER() OVER (PARTITION BY {_K} ORDER BY date DESC) AS rn,
+    COUNT(*) OVER (PARTITION BY {_K}) AS n_rows FROM v_series),
+p1 AS (SELECT *, CAST(LEAST(15, FLOOR(n_rows / 4)) AS INTEGER) AS test_days FROM p0 WHERE n_rows >= 30),
+p2 AS (SELECT *, rn <= test_days AS is_test, date_diff('day', MIN(date) OVER (PARTITION BY {_K}), date) AS t,
+    GREATEST(y, 1.0) AS y_fit, dayname(date) AS dow FROM p1),
+fit AS (SELECT {_K},
+    REGR_SLOPE(CASE WHEN NOT is_test THEN y_fit END, CASE WHEN NOT is_test THEN t END) AS bt_slope,
+    REGR_INTERCEPT(CASE WHEN NOT is_test THEN y_fit END, CASE WHEN NOT is_test THEN t END) AS bt_icpt,
+    REGR_SLOPE(y_fit, t) AS slope, REGR_INTERCEPT(y_fit, t) AS icpt,
+    MIN(date) AS first_date, MAX(date) AS last_date, MAX(t) AS last_t FROM p2 GROUP BY {_K}),
+p3 AS (SELECT p2.*, fit.bt_slope, fit.bt_icpt, fit.slope, fit.icpt,
+    y_fit - (fit.bt_icpt + fit.bt_slope * t) AS bt_res, y_fit - (fit.icpt + fit.slope * t) AS res
+    FROM p2 JOIN fit USING (series, metric)),
+eff AS (SELECT {_K}, dow, AVG(CASE WHEN NOT is_test THEN bt_res END) AS bt_eff, AVG(res) AS eff FROM p3 GROUP BY {_K}, dow),
+p4 AS (SELECT p3.*, (bt_icpt + bt_slope * t) + COALESCE(eff.bt_eff, 0.0) AS bt_pred,
+    (icpt + slope * t) + eff.eff AS fitted FROM p3 LEFT JOIN eff USING (series, metric, dow)),
+sd AS (SELECT {_K}, STDDEV_POP(CASE WHEN NOT is_test THEN y_fit - bt_pred END) AS bt_sd,
+    STDDEV_POP(y_fit - fitted) AS sd FROM p4 GROUP BY {_K}),
+p5 AS (SELECT p4.*, sd.bt_sd, sd.sd FROM p4 JOIN sd USING (series, metric)),
+backtest AS (SELECT series, metric, date, y AS actual, {rnd('bt_pred', 4)} AS predicted,
+    {rnd('bt_pred - 1.28 * bt_sd', 4)} AS lower, {rnd('bt_pred + 1.28 * bt_sd', 4)} AS upper FROM p5 WHERE is_test),
+hist AS (SELECT series, metric, date, y AS actual, {rnd('fitted', 4)} AS predicted,
+    {rnd('fitted - 1.28 * sd', 4)} AS lower, {rnd('fitted + 1.28 * sd', 4)} AS upper, FALSE AS is_forecast FROM p5),
+fut0 AS (SELECT fit.*, sd.sd, h, CAST(fit.last_date + CAST(h AS INTEGER) AS DATE) AS date
+    FROM fit JOIN sd USING (series, metric), range(1, 15) r(h)),
+fut1 AS (SELECT fut0.*, date_diff('day', first_date, date) AS t, dayname(date) AS dow FROM fut0),
+fut AS (SELECT f.series, f.metric, f.date, CAST(NULL AS DOUBLE) AS actual,
+    (icpt + slope * t) + COALESCE(e.eff, 0.0) AS fp, sd FROM fut1 f LEFT JOIN eff e USING (series, metric, dow)),
+forecast AS (SELECT * FROM hist UNION ALL SELECT series, metric, date, actual, {rnd('fp', 4)} AS predicted,
+    {rnd('fp - 1.28 * sd', 4)} AS lower, {rnd('fp + 1.28 * sd', 4)} AS upper, TRUE AS is_forecast FROM fut)"""
+
+ORACLE["M1_linear_forecast"] = _LIN + " SELECT * FROM forecast"
+ORACLE["M1_linear_backtest"] = _LIN + " SELECT * FROM backtest"
+ORACLE["A20_forecast_evaluation"] = _LIN + f"""
+, ev AS (SELECT {_K}, COUNT(*) AS test_days,
+    AVG(CASE WHEN actual <> 0 THEN ABS((actual - predicted) / actual) END) AS m,
+    AVG(ABS(actual - predicted)) AS mae0, SQRT(AVG((actual - predicted) * (actual - predicted))) AS rmse0,
+    AVG(CAST((actual >= lower AND actual <= upper) AS DOUBLE)) AS cov FROM backtest GROUP BY {_K}),
+ev2 AS (SELECT {_K}, test_days, {rnd('COALESCE(m * 100, 0.0)', 2)} AS mape, {rnd('mae0', 2)} AS mae,
+    {rnd('rmse0', 2)} AS rmse, {rnd('cov', 4)} AS coverage FROM ev)
+SELECT *, mape < 20 AS mape_good, coverage >= 0.70 AS coverage_good FROM ev2"""
+ORACLE["A19_weekly_profile"] = _LIN + f"""
+, days AS (SELECT * FROM (VALUES {", ".join(f"('{d}', {i})" for i, d in enumerate(_DAYS))}) t(dow, dow_index)),
+g AS (SELECT DISTINCT series, metric FROM eff)
+SELECT g.series, g.metric, days.dow, days.dow_index, {rnd('COALESCE(eff.eff, 0.0)', 2)} AS effect
+FROM g CROSS JOIN days LEFT JOIN eff ON eff.series = g.series AND eff.metric = g.metric AND eff.dow = days.dow"""
+ORACLE["A19_trend_direction"] = _LIN + f"""
+SELECT {_K}, {rnd('icpt', 2)} AS trend_start, {rnd('icpt + slope * (last_t + 14)', 2)} AS trend_end,
+  CASE WHEN slope * (last_t + 14) > 0 THEN 'up' ELSE 'down' END AS direction FROM fit"""
+
+_U3 = " UNION ALL ".join(
+    f"SELECT campaign_id, date, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM v_daily"
+    for m in ("clicks", "conversions", "spend", "revenue"))
+ORACLE["U3_metric_series"] = with_views(V_DAILY) + _U3
+ORACLE["M1_rejected_series"] = with_views(V_DAILY) + f"""
+SELECT campaign_id, metric, COUNT(*) AS n_rows FROM ({_U3}) GROUP BY campaign_id, metric HAVING COUNT(*) < 30"""
+
+_J7 = with_views(V_CAMPAIGNS, V_TRENDS) + """
+, trig AS (SELECT * FROM (VALUES ('laptop', 'laptop'), ('headphone', 'headphones'), ('monitor', 'computer monitor'),
+    ('earbud', 'wireless earbuds'), ('keyboard', 'gaming keyboard')) t(trig, keyword)),
+hits AS (SELECT c.campaign_id, t.keyword FROM v_campaigns c JOIN trig t ON contains(lower(c.campaign_name), t.trig)),
+dflt AS (SELECT keyword FROM (SELECT DISTINCT keyword FROM v_trends) ORDER BY keyword LIMIT 3),
+m0 AS (SELECT * FROM hits UNION ALL SELECT c.campaign_id, d.keyword FROM v_campaigns c CROSS JOIN dflt d
+       WHERE c.campaign_id NOT IN (SELECT campaign_id FROM hits)),
+kmap AS (SELECT DISTINCT campaign_id, keyword FROM m0 WHERE keyword IN (SELECT keyword FROM v_trends))"""
+ORACLE["J7_trend_keywords"] = _J7 + " SELECT campaign_id, keyword FROM kmap"
+
+ORACLE["J5_trend_regressor"] = _J7.replace("WITH ", "WITH " + V_DAILY + ",\n", 1) + """
+, reg AS (SELECT k.campaign_id, t.date, AVG(CAST(t.interest AS DOUBLE)) AS search_trend
+          FROM kmap k JOIN v_trends t ON k.keyword = t.keyword GROUP BY 1, 2),
+lst AS (SELECT campaign_id, MAX(date) AS last FROM v_daily GROUP BY campaign_id),
+rows0 AS (SELECT campaign_id, date, clicks, FALSE AS is_forecast FROM v_daily
+  UNION ALL SELECT campaign_id, CAST(last + CAST(h AS INTEGER) AS DATE), CAST(NULL AS BIGINT), TRUE FROM lst, range(1, 15) r(h)),
+j AS (SELECT r.*, reg.search_trend AS st FROM rows0 r LEFT JOIN reg ON r.campaign_id = reg.campaign_id AND r.date = reg.date)
+SELECT campaign_id, date, clicks, is_forecast, COALESCE(
+  LAST_VALUE(st IGNORE NULLS) OVER (PARTITION BY campaign_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  FIRST_VALUE(st IGNORE NULLS) OVER (PARTITION BY campaign_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+) AS search_trend FROM j"""

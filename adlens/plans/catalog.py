@@ -338,3 +338,64 @@ def _m12c(t: Tables):
 @query("M12_channel_shifts")
 def _m12cs(t: Tables):
     return DC.budget_shifts(_channel_allocation(t))
+
+
+# ── Phase 5: forecast ────────────────────────────────────────────────
+from adlens.operators import forecast as FC  # noqa: E402
+
+_SERIES_KEYS = ["series", "metric"]
+
+
+def _linear(t: Tables):
+    return FC.linear_weekly(t.series, _SERIES_KEYS)
+
+
+@query("U3_metric_series")
+def _u3(t: Tables):
+    return FC.metric_series(t.daily)
+
+
+@query("M1_linear_forecast")
+def _m1(t: Tables):
+    return _linear(t)["forecast"]
+
+
+@query("M1_linear_backtest")
+def _m1b(t: Tables):
+    return _linear(t)["backtest"]
+
+
+@query("A20_forecast_evaluation")
+def _a20(t: Tables):
+    return _linear(t)["evaluation"]
+
+
+@query("A19_weekly_profile")
+def _a19(t: Tables):
+    return _linear(t)["weekly"]
+
+
+@query("A19_trend_direction")
+def _a19t(t: Tables):
+    return _linear(t)["trend"]
+
+
+@query("M1_rejected_series")
+def _m1r(t: Tables):
+    return FC.rejected_series(FC.metric_series(t.daily), ["campaign_id", "metric"])
+
+
+@query("M1_holt_winters")
+def _m1hw(t: Tables):
+    return FC.holt_winters(t.series, _SERIES_KEYS)
+
+
+@query("J7_trend_keywords")
+def _j7(t: Tables):
+    return FC.match_trend_keywords(t.campaigns, t.trends)
+
+
+@query("J5_trend_regressor")
+def _j5(t: Tables):
+    return FC.with_trend_regressor(t.daily.select("campaign_id", "date", "clicks"),
+                                   FC.match_trend_keywords(t.campaigns, t.trends), t.trends)

@@ -190,3 +190,23 @@ class Tables:
             F.col("n_chars").cast("double").alias("n_chars"),
             F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("double").alias("n_words"),
             "lang", "source")
+
+    # ── v_series ───────────────────────────────────────────────────
+    @cached_property
+    def series(self) -> DataFrame:
+        """Long series table (series, metric, date, value).
+
+        long: orders per priority and order date (count, total price);
+        short: events per type and day (count, value) — 30 rows each.
+        """
+        o = self.t("orders")
+        lo = o.groupBy(F.concat(F.lit("priority:"), F.col("o_orderpriority")).alias("series"),
+                       F.to_date("o_orderdate").alias("date")).agg(
+            F.count(F.lit(1)).cast("double").alias("n"),
+            F.sum(F.col("o_totalprice").cast(MONEY)).cast("double").alias("amount"))
+        e = self.t("events")
+        sh = e.groupBy(F.concat(F.lit("event:"), F.col("event_type")).alias("series"),
+                       F.to_date("ts").alias("date")).agg(
+            F.count(F.lit(1)).cast("double").alias("n"),
+            F.sum(F.col("value").cast(MONEY)).cast("double").alias("amount"))
+        return lo.unionByName(sh).unpivot(["series", "date"], ["n", "amount"], "metric", "value")
