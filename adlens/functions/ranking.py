@@ -31,3 +31,57 @@ def global_row_number(df: DataFrame, order, name: str = "rank") -> DataFrame:
     out = s.join(F.broadcast(offs), "_pid")
     return out.withColumn(name, (F.col("_off") + F.col("_local") + 1).cast("bigint")).drop(
         "_pid", "_local", "_off")
+
+
+def global_running_sums(df: DataFrame, order, cols, prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of ``cols`` in a unique global order.
+
+    Same shape as ``global_row_number``: range sort, running sums inside each
+    partition, plus the totals of all earlier partitions.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    order = [order] if isinstance(order, str) else list(order)
+    s = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.select("*", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in cols])
+    tot = s.groupBy("_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
+    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}")
+                                for c in cols])
+    out = s.join(F.broadcast(offs), "_pid")
+    return out.select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{prefix}{c}")
+                                     for c in cols])
+
+
+def top_k_per_group(df: DataFrame, group, order, k: int, bucket_cols, buckets: int = 64,
+                    name: str = "rank") -> DataFrame:
+    """Exact top-k rows per group without sorting a whole group in one task.
+
+    Rows are spread over ``buckets`` sub-groups by a hash of ``bucket_cols``;
+    the local top k of every sub-group is kept, and only those (at most
+    k * buckets per group) are ranked per group.  Any global top-k row is in
+    its sub-group's top k, so the result is exact.
+    """
+    group = [group] if isinstance(group, str) else list(group)
+    order = [order] if isinstance(order, (str,)) else list(order)
+    bucket_cols = [bucket_cols] if isinstance(bucket_cols, str) else list(bucket_cols)
+    b = df.withColumn("_bk", F.pmod(F.xxhash64(*bucket_cols), F.lit(buckets)))
+    local = Window.partitionBy(*group, "_bk").orderBy(*order)
+    b = b.withColumn("_lr", F.row_number().over(local)).where(F.col("_lr") <= k).drop("_lr", "_bk")
+    final = Window.partitionBy(*group).orderBy(*order)
+    return b.withColumn(name, F.row_number().over(final)).where(F.col(name) <= k)
+
+
+# Park-Miller modulus; all products below stay under 2^63.
+_P = 2147483647
+
+
+def portable_hash(*cols, seed: int = 42):
+    """A deterministic 31-bit hash of integer columns that any SQL engine can
+    repeat: fold with x = (x*1000003 + c) mod P, then two Lehmer steps."""
+    x = F.lit(seed % _P).cast("bigint")
+    for c in cols:
+        c = F.col(c) if isinstance(c, str) else c
+        x = F.pmod(x * 1000003 + F.pmod(c.cast("bigint"), F.lit(_P)), F.lit(_P))
+    x = F.pmod(x * 48271, F.lit(_P))
+    return F.pmod(x * 69621, F.lit(_P))

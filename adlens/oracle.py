@@ -654,3 +654,133 @@ SELECT campaign_id, date, clicks, is_forecast, COALESCE(
   LAST_VALUE(st IGNORE NULLS) OVER (PARTITION BY campaign_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   FIRST_VALUE(st IGNORE NULLS) OVER (PARTITION BY campaign_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ) AS search_trend FROM j"""
+
+# ── Phase 6: learn and text ──────────────────────────────────────────
+_P = 2147483647
+
+
+def _pmod(x: str) -> str:
+    return f"((({x}) % {_P}) + {_P}) % {_P}"
+
+
+def portable_hash_sql(cols, seed: int = 42) -> str:
+    x = str(seed % _P)
+    for c in cols:
+        x = _pmod(f"CAST({x} AS BIGINT) * 1000003 + {_pmod(f'CAST({c} AS BIGINT)')}")
+    x = _pmod(f"({x}) * 48271")
+    return _pmod(f"({x}) * 69621")
+
+
+_CLICK_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice",
+               "p_brand", "p_type", "p_name", "l_linestatus"]
+_SPLIT = with_views(V_CLICKS) + f"""
+, h AS (SELECT *, {portable_hash_sql(['l_orderkey', 'l_linenumber'])} AS hh FROM v_clicks),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY hh, l_orderkey, l_linenumber, {", ".join(sorted(_CLICK_COLS))}) AS rk,
+        COUNT(*) OVER (PARTITION BY label) AS n FROM h),
+r2 AS (SELECT *, CEIL(n * CAST(0.15 AS DOUBLE)) AS n_test FROM r),
+r3 AS (SELECT *, CEIL((n - n_test) * CAST(0.176 AS DOUBLE)) AS n_val FROM r2),
+spl AS (SELECT * EXCLUDE (hh, rk, n, n_test, n_val),
+  CASE WHEN rk <= n_test THEN 'test' WHEN rk <= n_test + n_val THEN 'val' ELSE 'train' END AS split FROM r3)"""
+
+ORACLE["M3_stratified_split"] = _SPLIT + " SELECT l_orderkey, l_linenumber, label, split FROM spl"
+
+_CAT = ["p_brand", "p_type", "p_name", "l_linestatus"]
+_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
+_VOCAB = _SPLIT + """
+, lng AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col, COALESCE(CAST({c} AS VARCHAR), '__MISSING__') AS value FROM spl WHERE split = 'train'"
+    for c in _CAT) + """),
+cnt AS (SELECT col, value, COUNT(*) AS n FROM lng GROUP BY col, value),
+vocab AS (SELECT col AS "column", value, CAST(ROW_NUMBER() OVER (PARTITION BY col ORDER BY n DESC, value) AS INTEGER) AS code, n
+          FROM cnt QUALIFY code <= 10000)"""
+
+ORACLE["A21_vocabulary"] = _VOCAB + " SELECT * FROM vocab"
+
+ORACLE["M2_transform"] = _VOCAB + """
+SELECT spl.l_orderkey, spl.l_linenumber, spl.label, spl.split, """ + ", ".join(
+    f"{rnd(f'ln(1 + ABS(COALESCE(CAST(spl.{c} AS DOUBLE), 0.0)))', 9)} AS {c}" for c in _NUM) + ", " + ", ".join(
+    f"COALESCE(v_{c}.code, 0) AS {c}" for c in _CAT) + " FROM spl " + " ".join(
+    f"""LEFT JOIN (SELECT value, code FROM vocab WHERE "column" = '{c}') v_{c}
+        ON COALESCE(CAST(spl.{c} AS VARCHAR), '__MISSING__') = v_{c}.value""" for c in _CAT)
+
+ORACLE["S2_read_click_log"] = with_views(V_CLICKS) + "SELECT label, " + ", ".join(_NUM + _CAT) + " FROM v_clicks"
+
+_LL_EPS = "CAST('2.220446049250313e-16' AS DOUBLE)"
+_LL_HI = f"CAST('{1 - 2.220446049250313e-16!r}' AS DOUBLE)"
+ORACLE["A22_binary_metrics"] = with_views(V_CLICKS, V_SCORED) + f"""
+, g AS (SELECT score AS s, CAST(SUM(label) AS BIGINT) AS pos, CAST(COUNT(*) - SUM(label) AS BIGINT) AS neg
+        FROM v_scored GROUP BY score),
+c AS (SELECT *, SUM(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cp,
+        SUM(neg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cn FROM g),
+tt AS (SELECT CAST(SUM(pos) AS BIGINT) AS P, CAST(SUM(neg) AS BIGINT) AS N FROM g),
+a AS (SELECT SUM(neg * (CAST(cp - pos AS DOUBLE) + CAST(pos AS DOUBLE) / 2.0)) AS auc,
+        SUM(CASE WHEN pos > 0 THEN pos * (CAST(cp AS DOUBLE) / CAST(cp + cn AS DOUBLE)) END) AS ap FROM c),
+ll AS (SELECT AVG(-(label * ln(p) + (1 - label) * ln(1 - p))) AS ll
+       FROM (SELECT label, LEAST(GREATEST(score, {_LL_EPS}), {_LL_HI}) AS p FROM v_scored))
+SELECT {rnd('auc / CAST(P * N AS DOUBLE)', 4)} AS auc_roc, {rnd('ap / CAST(P AS DOUBLE)', 4)} AS pr_auc,
+  {rnd('ll', 4)} AS log_loss, {rnd('CAST(P AS DOUBLE) / CAST(P + N AS DOUBLE)', 4)} AS base_rate,
+  CAST(P + N AS BIGINT) AS test_size FROM a, tt, ll"""
+
+ORACLE["A23_calibration"] = with_views(V_CLICKS, V_SCORED) + f"""
+, b AS (SELECT CAST(LEAST(FLOOR(score * 10), 9) AS INTEGER) AS bin, score, label FROM v_scored),
+t AS (SELECT bin, COUNT(*) AS n, AVG(score) AS mp, AVG(CAST(label AS DOUBLE)) AS fp FROM b GROUP BY bin),
+e AS (SELECT SUM(n / (SELECT COUNT(*) FROM v_scored) * ABS(fp - mp)) AS ece FROM t)
+SELECT bin, n, {rnd('mp', 4)} AS mean_predicted, {rnd('fp', 4)} AS fraction_positive, {rnd('ece', 4)} AS ece FROM t, e"""
+
+
+def _stop_sql() -> str:
+    from adlens.functions.text import ENGLISH_STOP_WORDS
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + "]"
+
+
+_TFIDF = with_views(V_ADS) + f"""
+, tok AS (SELECT ad_id AS doc_id, list_filter(regexp_extract_all(lower(COALESCE(ad_copy, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+            lambda x: NOT list_contains({_stop_sql()}, x)) AS t FROM v_ads),
+trm AS (SELECT doc_id, CASE WHEN len(t) < 2 THEN t ELSE
+          list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) END AS terms FROM tok),
+tc AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM trm) GROUP BY doc_id, term),
+nd AS (SELECT COUNT(*) AS n FROM v_ads),
+st AS (SELECT term, COUNT(*) AS df, SUM(tf) AS corpus_tf FROM tc GROUP BY term),
+kept AS (SELECT st.* FROM st, nd WHERE df >= CASE WHEN nd.n > 10 THEN 2 ELSE 1 END AND df <= nd.n * CAST(0.85 AS DOUBLE)),
+vocab AS (SELECT term, CAST(ROW_NUMBER() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, df, CAST(corpus_tf AS BIGINT) AS corpus_tf
+          FROM (SELECT * FROM kept ORDER BY corpus_tf DESC, term LIMIT 500)),
+w AS (SELECT tc.doc_id, tc.term, (1.0 + ln(CAST(tc.tf AS DOUBLE)))
+         * (ln((CAST(1 AS DOUBLE) + nd.n) / (CAST(1 AS DOUBLE) + vocab.df)) + 1.0) AS raw
+      FROM tc JOIN vocab ON tc.term = vocab.term CROSS JOIN nd),
+weights AS (SELECT doc_id, term, raw / SQRT(SUM(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM w),
+cat AS (SELECT ad_id AS doc_id, category FROM v_ads),
+gs AS (SELECT category, COUNT(*) AS n_docs FROM cat GROUP BY category),
+mw AS (SELECT c.category, w.term, SUM(w.weight) / gs.n_docs AS mean_weight
+       FROM weights w JOIN cat c ON w.doc_id = c.doc_id JOIN gs ON c.category = gs.category
+       GROUP BY c.category, w.term, gs.n_docs),
+tops AS (SELECT category, list(term ORDER BY r) AS top_terms FROM (
+          SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY ROUND(mean_weight, 12) DESC, term) AS r FROM mw)
+         WHERE r <= 10 GROUP BY category)"""
+
+ORACLE["M6_tfidf_weights"] = _TFIDF + f" SELECT doc_id, term, {rnd('weight', 9)} AS weight FROM weights"
+ORACLE["M6_vocabulary"] = _TFIDF + " SELECT term, term_index, df, corpus_tf FROM vocab"
+ORACLE["A25_mean_tfidf_per_group"] = _TFIDF + f" SELECT category, term, {rnd('mean_weight', 9)} AS mean_weight FROM mw"
+ORACLE["T3_top_terms"] = _TFIDF + " SELECT category, top_terms FROM tops"
+
+
+def _label_kw_sql() -> str:
+    from adlens.operators.text import LABEL_KEYWORDS
+    return ", ".join(f"('{lbl}', '{k}')" for lbl, ks in LABEL_KEYWORDS.items() for k in ks)
+
+
+ORACLE["J11_label_scores"] = _TFIDF + f"""
+, kw AS (SELECT * FROM (VALUES {_label_kw_sql()}) t(label, keyword)),
+tt AS (SELECT category, unnest(top_terms) AS term FROM tops)
+SELECT category, label, COUNT(DISTINCT keyword) AS score FROM tt CROSS JOIN kw
+WHERE contains(term, keyword) OR contains(keyword, term) GROUP BY category, label"""
+
+ORACLE["A26_group_sizes"] = with_views(V_ADS) + "SELECT category, COUNT(*) AS n_ads FROM v_ads GROUP BY category"
+
+ORACLE["A10_crosstab"] = with_views(V_ADS) + "SELECT advertiser_name, " + ", ".join(
+    f"COUNT(*) FILTER (WHERE platform = '{p}') AS {p}" for p in ("de", "en", "es", "fr")) + \
+    " FROM v_ads GROUP BY advertiser_name"
+
+ORACLE["A11_dominant"] = with_views(V_ADS) + """
+, c AS (SELECT advertiser_name, platform, COUNT(*) AS n FROM v_ads GROUP BY 1, 2)
+SELECT advertiser_name, platform AS dominant_platform, n FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY advertiser_name ORDER BY n DESC, platform) AS r FROM c) WHERE r = 1"""

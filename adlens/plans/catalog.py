@@ -399,3 +399,174 @@ def _j7(t: Tables):
 def _j5(t: Tables):
     return FC.with_trend_regressor(t.daily.select("campaign_id", "date", "clicks"),
                                    FC.match_trend_keywords(t.campaigns, t.trends), t.trends)
+
+
+# ── Phase 6: learn (click-through) and ad-copy text ──────────────────
+from adlens.operators import learn as L  # noqa: E402
+from adlens.operators import text as TX  # noqa: E402
+from adlens.session import shared_path  # noqa: E402
+
+CLICK_KEYS = ["l_orderkey", "l_linenumber"]
+CLICK_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
+CLICK_CAT = ["p_brand", "p_type", "p_name", "l_linestatus"]
+
+
+def _split(t: Tables):
+    return L.stratified_split(t.clicks, "label", CLICK_KEYS, seed=42)
+
+
+@query("M3_stratified_split")
+def _m3(t: Tables):
+    return _split(t).select(*CLICK_KEYS, "label", "split")
+
+
+def _vocab(t: Tables, split=None):
+    s = split if split is not None else _split(t)
+    return L.fit_vocabulary(s.where(F.col("split") == "train"), CLICK_CAT)
+
+
+@query("A21_vocabulary")
+def _a21(t: Tables):
+    return _vocab(t)
+
+
+@query("M2_transform")
+def _m2(t: Tables):
+    s = _split(t)
+    x = L.transform(s, _vocab(t, s), CLICK_NUM, CLICK_CAT, keep=CLICK_KEYS + ["label", "split"])
+    # numerics rounded to 9 places: the SQL oracle has ln(1 + x), not log1p
+    return x.select(*[round_half_up(c, 9).alias(c) if c in CLICK_NUM else F.col(c) for c in x.columns])
+
+
+@query("S2_read_click_log")
+def _s2(t: Tables):
+    """Write the click log as headerless TSV to the shared folder, read it back."""
+    from pyspark.sql import types as TT
+    cols = ["label"] + CLICK_NUM + CLICK_CAT
+    path = shared_path(t.spark, "click_log_tsv_" + "".join(ch if ch.isalnum() else "_" for ch in t.sf_dir))
+    t.clicks.select(*cols).write.mode("overwrite").option("sep", "\t").option("nullValue", "") \
+        .option("header", False).csv(path)
+    schema = TT.StructType([TT.StructField("label", TT.IntegerType())]
+                           + [TT.StructField(c, TT.DoubleType()) for c in CLICK_NUM]
+                           + [TT.StructField(c, TT.StringType()) for c in CLICK_CAT])
+    return L.read_click_log(t.spark, path, schema=schema)
+
+
+@query("A22_binary_metrics")
+def _a22(t: Tables):
+    return L.binary_metrics(t.scored)
+
+
+@query("A23_calibration")
+def _a23(t: Tables):
+    return L.calibration(t.scored)
+
+
+def _gbt(t: Tables):
+    s = _split(t)
+    x = L.transform(s, _vocab(t, s), CLICK_NUM, CLICK_CAT, keep=CLICK_KEYS + ["label", "split"])
+    model = L.train_gbt(x.where(F.col("split") != "test"), CLICK_NUM + CLICK_CAT, max_iter=30, max_depth=4)
+    return model, x
+
+
+@query("M4_ctr_predictions")
+def _m4(t: Tables):
+    model, x = _gbt(t)
+    return L.score(model, x.where(F.col("split") == "test"), CLICK_KEYS + ["label"])
+
+
+@query("M5_ctr_evaluation")
+def _m5(t: Tables):
+    model, x = _gbt(t)
+    return L.binary_metrics(L.score(model, x.where(F.col("split") == "test"), CLICK_KEYS + ["label"]))
+
+
+@query("A24_feature_importance")
+def _a24(t: Tables):
+    model, _ = _gbt(t)
+    return L.feature_importance(model, CLICK_NUM + CLICK_CAT)
+
+
+def _tfidf(t: Tables):
+    return TX.tfidf(t.ads)
+
+
+@query("M6_tfidf_weights")
+def _m6(t: Tables):
+    w = _tfidf(t)["weights"]
+    return w.select("doc_id", "term", round_half_up("weight", 9).alias("weight"))
+
+
+@query("M6_vocabulary")
+def _m6v(t: Tables):
+    return _tfidf(t)["vocabulary"]
+
+
+def _by_category(t: Tables):
+    return t.ads.select(F.col("ad_id").alias("doc_id"), "category")
+
+
+@query("A25_mean_tfidf_per_group")
+def _a25(t: Tables):
+    m = TX.mean_tfidf_per_group(_tfidf(t)["weights"], _by_category(t), "category")
+    return m.select("category", "term", round_half_up("mean_weight", 9).alias("mean_weight"))
+
+
+@query("A26_group_sizes")
+def _a26(t: Tables):
+    return TX.group_sizes(_by_category(t), "category")
+
+
+def _tops(t: Tables):
+    return TX.top_terms(TX.mean_tfidf_per_group(_tfidf(t)["weights"], _by_category(t), "category"), "category")
+
+
+@query("T3_top_terms")
+def _t3(t: Tables):
+    return _tops(t)
+
+
+@query("J11_label_scores")
+def _j11(t: Tables):
+    return TX.label_scores(_tops(t), "category")
+
+
+@query("M9_group_labels")
+def _m9(t: Tables):
+    tops = _tops(t)
+    groups = sorted(r["category"] for r in tops.select("category").collect())
+    return TX.assign_labels(TX.label_scores(tops, "category"), groups, "category")
+
+
+@query("A10_crosstab")
+def _a10(t: Tables):
+    return TX.crosstab(t.ads, "advertiser_name", "platform")
+
+
+@query("A11_dominant")
+def _a11(t: Tables):
+    return TX.dominant(t.ads, "advertiser_name", "platform")
+
+
+def _analysis(t: Tables):
+    return TX.analyze_ads(t.ads, k=5, restarts=3, seed=42)
+
+
+@query("M7_kmeans_clusters")
+def _m7(t: Tables):
+    return _analysis(t)["ads"].select("ad_id", "advertiser_name", "cluster", "cluster_label")
+
+
+@query("M8_projection")
+def _m8(t: Tables):
+    return _analysis(t)["ads"].select("ad_id", "x", "y")
+
+
+@query("M9_cluster_summary")
+def _m9c(t: Tables):
+    return _analysis(t)["clusters"]
+
+
+@query("A10_strategy_matrix")
+def _a10s(t: Tables):
+    return _analysis(t)["strategy_matrix"]
