@@ -385,14 +385,14 @@ def arm_pull_counts(choices: DataFrame, arms: list[str] | None = None) -> DataFr
 def recommendation_log(bids: DataFrame, shifts: DataFrame) -> DataFrame:
     """Bid and budget-shift recommendations in one log schema (JSON detail)."""
     b = bids.select(
-        "campaign_id", F.lit("bid_adjustment").alias("action_type"),
+        F.col("campaign_id").cast("string").alias("campaign_id"), F.lit("bid_adjustment").alias("action_type"),
         F.to_json(F.struct(F.col("recommended_action").alias("action"),
                            F.col("recommended_change_pct").alias("change_pct"),
                            F.col("recommended_multiplier").alias("multiplier"),
                            F.col("expected_roas_after").alias("expected_roas"))).alias("action_detail"),
         "reasoning", "confidence")
     s = shifts.select(
-        F.col("from_campaign").alias("campaign_id"), F.lit("budget_reallocation").alias("action_type"),
+        F.col("from_campaign").cast("string").alias("campaign_id"), F.lit("budget_reallocation").alias("action_type"),
         F.to_json(F.struct("from_campaign", "to_campaign", "amount")).alias("action_detail"),
         "reasoning", "confidence")
     u = b.unionByName(s, allowMissingColumns=True)

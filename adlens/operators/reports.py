@@ -299,9 +299,10 @@ def first_distinct(df: DataFrame, col: str, n: int) -> DataFrame:
 
 
 def recent_recommendations(recs: DataFrame, campaigns: DataFrame, n: int = 20) -> DataFrame:
-    """T2 (J3): newest n recommendations, left-joined to campaign names."""
+    """T2 (J3): newest n recommendations, left-joined to campaign names
+    (orphans keep a NULL name).  Ties on the time go by id, type and detail."""
     j = recs.join(campaigns.select("campaign_id", "campaign_name", "platform"), "campaign_id", "left")
-    return j.orderBy(F.desc("created_at"), F.col("rec_id")).limit(n)
+    return j.orderBy(F.desc("created_at"), "campaign_id", "action_type", "action_detail").limit(n)
 
 
 def channel_summary(daily: DataFrame, campaigns: DataFrame, start, end) -> DataFrame:

@@ -544,12 +544,12 @@ SELECT pol.policy, arms.arm, CAST(COALESCE(cnt.n, 0) AS BIGINT) AS pulls
 FROM pol CROSS JOIN arms LEFT JOIN cnt ON cnt.policy = pol.policy AND cnt.arm = arms.arm"""
 
 ORACLE["U2_recommendation_log"] = _M10 + _A6 + _M12_BODY + _SHIFTS_BODY + """
-SELECT campaign_id, 'bid_adjustment' AS action_type,
+SELECT CAST(campaign_id AS VARCHAR) AS campaign_id, 'bid_adjustment' AS action_type,
   to_json({'action': recommended_action, 'change_pct': recommended_change_pct,
            'multiplier': recommended_multiplier, 'expected_roas': expected_roas_after}) AS action_detail,
   reasoning, confidence, 'pending' AS status FROM bids
 UNION ALL
-SELECT from_campaign AS campaign_id, 'budget_reallocation' AS action_type,
+SELECT CAST(from_campaign AS VARCHAR) AS campaign_id, 'budget_reallocation' AS action_type,
   to_json({'from_campaign': from_campaign, 'to_campaign': to_campaign, 'amount': amount}) AS action_detail,
   reasoning, confidence, 'pending' AS status FROM shifts"""
 
@@ -784,3 +784,102 @@ ORACLE["A11_dominant"] = with_views(V_ADS) + """
 , c AS (SELECT advertiser_name, platform, COUNT(*) AS n FROM v_ads GROUP BY 1, 2)
 SELECT advertiser_name, platform AS dominant_platform, n FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY advertiser_name ORDER BY n DESC, platform) AS r FROM c) WHERE r = 1"""
+
+# ── Phase 3: ingest and sinks ────────────────────────────────────────
+_UPL = with_views(V_CAMPAIGNS, V_DAILY) + f"""
+, up AS (SELECT CAST(d.campaign_id AS VARCHAR) AS campaign_id, d.date, impressions, clicks, conversions, spend,
+           CASE WHEN d.date >= DATE '2024-01-25' THEN revenue * 2 ELSE revenue END AS revenue, c.campaign_name
+         FROM v_daily d JOIN v_campaigns c ON d.campaign_id = c.campaign_id),
+upr AS (SELECT *, {ratio_zero('clicks', 'impressions', 6)} AS ctr, {ratio_zero('spend', 'clicks', 4)} AS cpc,
+          {ratio_zero('revenue', 'spend', 4)} AS roas FROM up)"""
+
+ORACLE["S5_validate_upload"] = with_views(V_CAMPAIGNS, V_DAILY) + f"""
+, up AS (SELECT CAST(d.campaign_id AS VARCHAR) AS campaign_id, d.date, impressions, clicks, conversions, spend, revenue,
+           c.campaign_name FROM v_daily d JOIN v_campaigns c ON d.campaign_id = c.campaign_id),
+both_ AS (SELECT * FROM up UNION ALL SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue * 2, campaign_name
+          FROM up WHERE date >= DATE '2024-01-25')
+SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue,
+  {ratio_zero('clicks', 'impressions', 6)} AS ctr, {ratio_zero('spend', 'clicks', 4)} AS cpc,
+  {ratio_zero('revenue', 'spend', 4)} AS roas, campaign_name, 'google' AS platform, 0.0 AS daily_budget FROM both_"""
+
+ORACLE["S6_upsert_metrics"] = _UPL + """
+SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue, ctr, cpc, roas FROM upr"""
+
+ORACLE["S7_upsert_campaigns"] = with_views(V_CAMPAIGNS, V_DAILY) + """
+, seen AS (SELECT DISTINCT campaign_id FROM v_daily)
+SELECT CAST(c.campaign_id AS VARCHAR) AS campaign_id, c.campaign_name,
+  CASE WHEN s.campaign_id IS NULL THEN c.platform ELSE 'google' END AS platform, 'active' AS status,
+  CASE WHEN s.campaign_id IS NULL THEN c.daily_budget ELSE 0.0 END AS daily_budget
+FROM v_campaigns c LEFT JOIN seen s ON c.campaign_id = s.campaign_id"""
+
+ORACLE["S8_ingestion_report"] = with_views(V_DAILY) + """
+, n AS (SELECT COUNT(*) + COUNT(*) FILTER (WHERE date >= DATE '2024-01-25') AS total,
+          COUNT(DISTINCT campaign_id) AS nc FROM v_daily)
+SELECT 'success' AS status, 'google' AS platform_detected, total AS rows_total, total AS rows_loaded,
+  CAST(0 AS BIGINT) AS rows_skipped, CAST(0 AS BIGINT) AS rows_clamped, nc AS n_campaigns,
+  CAST([] AS VARCHAR[]) AS errors FROM n"""
+
+_COMP = """
+SELECT ad_id, advertiser_name, platform, ad_copy, headline, cta, category, first_seen, last_seen, is_active, spend_tier
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ad_id ORDER BY headline, category, cta, spend_tier) AS rn FROM (
+SELECT sha256(concat_ws(chr(1), advertiser_name, lower(upper(platform)), ad_copy)) AS ad_id, advertiser_name,
+  lower(upper(platform)) AS platform, ad_copy, {headline} AS headline, {cta} AS cta, category,
+  DATE '{seen}' AS first_seen, DATE '{seen}' AS last_seen, TRUE AS is_active, lower(upper(spend_tier)) AS spend_tier
+FROM v_ads WHERE ad_copy IS NOT NULL AND trim(ad_copy) <> '')) WHERE rn = 1"""
+
+ORACLE["S9_competitor_ingest"] = with_views(V_ADS) + _COMP.format(headline="headline", cta="''", seen="2024-01-31")
+ORACLE["S10_competitor_upsert"] = with_views(V_ADS) + f"""
+, a AS ({_COMP.format(headline="headline", cta="''", seen="2024-01-31")})
+SELECT ad_id, advertiser_name, platform, ad_copy, headline || ' v2' AS headline, cta, category, first_seen,
+  DATE '2024-02-01' AS last_seen, is_active, spend_tier FROM a"""
+
+ORACLE["S11_trends_wide_to_long"] = with_views(V_TRENDS) + "SELECT keyword, date, interest FROM v_trends"
+ORACLE["S12_upsert_trends"] = with_views(V_TRENDS) + "SELECT keyword, date, interest FROM v_trends"
+
+ORACLE["S15_truncate"] = with_views(V_DAILY) + "SELECT * FROM v_daily WHERE FALSE"
+
+ORACLE["S17_export_csv"] = with_views(V_CAMPAIGNS, V_DAILY) + """
+SELECT d.campaign_id, d.date, impressions, clicks, conversions, spend, revenue, c.campaign_name, c.platform
+FROM v_daily d JOIN v_campaigns c ON d.campaign_id = c.campaign_id"""
+
+ORACLE["S18_json_roundtrip"] = ORACLE["M12_budget_allocation"]
+
+ORACLE["S21_preview"] = with_views(V_CAMPAIGNS) + "SELECT * FROM v_campaigns ORDER BY campaign_id LIMIT 5"
+
+ORACLE["F8_parse_replies"] = """
+SELECT CAST(event_id AS BIGINT) AS reply_id,
+  TRY_CAST(json_extract_string(trim(regexp_replace(regexp_replace(trim(
+     CASE WHEN event_id % 2 = 0 THEN '```json' || chr(10) || props || chr(10) || '```' ELSE props END),
+     '^```[A-Za-z]*\\s*', ''), '\\s*```$', '')), '$.k') AS INTEGER) AS k
+FROM events"""
+
+_S14 = ORACLE["U2_recommendation_log"].replace(
+    "'pending' AS status FROM bids", "'pending' AS status, TIMESTAMP '2024-01-31 00:00:00' AS created_at FROM bids").replace(
+    "'pending' AS status FROM shifts", "'pending' AS status, TIMESTAMP '2024-01-31 00:00:00' AS created_at FROM shifts").replace(
+    "SELECT campaign_id, 'bid_adjustment'", "SELECT CAST(campaign_id AS VARCHAR) AS campaign_id, 'bid_adjustment'").replace(
+    "SELECT from_campaign AS campaign_id,", "SELECT CAST(from_campaign AS VARCHAR) AS campaign_id,")
+ORACLE["S14_store_recommendations"] = _S14
+_T2_LOG = _S14.replace(_A6 + _M12_BODY, _CH + _M12_BODY)
+ORACLE["T2_recent_recommendations"] = "WITH lg AS (" + _T2_LOG.replace("WITH ", "WITH ", 1) + """)
+SELECT lg.campaign_id, c.campaign_name, c.platform, lg.action_type, lg.confidence, lg.status
+FROM lg LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS campaign_id, c_name AS campaign_name, c_mktsegment AS platform
+                   FROM customer) c ON lg.campaign_id = c.campaign_id
+ORDER BY lg.created_at DESC, lg.campaign_id, lg.action_type, lg.action_detail LIMIT 20"""
+
+
+def _lin_for(views: str, source: str, keys: str) -> str:
+    body = _LIN[len(with_views(V_SERIES)):]
+    body = body.replace("FROM v_series", f"FROM {source}").replace(
+        "series, metric", keys).replace("USING (series, metric", f"USING ({keys}").replace(
+        "SELECT series, metric,", f"SELECT {keys},").replace("SELECT f.series, f.metric,", "SELECT f.campaign_id, f.metric,")
+    return views + body
+
+
+ORACLE["S13_store_forecasts"] = _lin_for(
+    with_views(V_DAILY, V_FORECASTS) + ", clk AS (SELECT campaign_id, date, 'clicks' AS metric, CAST(clicks AS DOUBLE) AS value FROM v_daily)",
+    "clk", "campaign_id, metric") + """
+, newf AS (SELECT CAST(campaign_id AS BIGINT) AS campaign_id, date AS forecast_date, metric, predicted AS predicted_value,
+             lower AS lower_bound, upper AS upper_bound FROM forecast WHERE is_forecast),
+keys AS (SELECT DISTINCT campaign_id, metric FROM newf)
+SELECT * FROM v_forecasts f WHERE NOT EXISTS (SELECT 1 FROM keys k WHERE k.campaign_id = f.campaign_id AND k.metric = f.metric)
+UNION ALL SELECT * FROM newf"""

@@ -570,3 +570,180 @@ def _m9c(t: Tables):
 @query("A10_strategy_matrix")
 def _a10s(t: Tables):
     return _analysis(t)["strategy_matrix"]
+
+
+# ── Phase 3: ingest, sinks ───────────────────────────────────────────
+from adlens.functions.formatting import strip_code_fence  # noqa: E402
+from adlens.sources import ingest as IN  # noqa: E402
+from adlens.sources import sinks as SK  # noqa: E402
+
+LATE_COPY_FROM = "2024-01-25"   # rows from this day appear again later in the upload
+
+
+def _tag(t: Tables) -> str:
+    return "".join(ch if ch.isalnum() else "_" for ch in t.sf_dir)
+
+
+def _google_upload(t: Tables):
+    """A Google Ads export of the daily metrics written by Spark, followed by a
+    second copy of the last days with doubled revenue (last row must win)."""
+    d = t.daily.join(t.campaigns.select("campaign_id", "campaign_name"), "campaign_id")
+
+    def export(x):
+        return x.select(
+            F.col("campaign_name").alias("Campaign"), F.col("campaign_id").cast("string").alias("Campaign ID"),
+            F.date_format("date", "yyyy-MM-dd").alias("Day"),
+            F.col("impressions").cast("string").alias("Impressions"), F.col("clicks").cast("string").alias("Clicks"),
+            F.col("spend").cast("string").alias("Cost"), F.col("conversions").cast("string").alias("Conversions"),
+            F.col("revenue").cast("string").alias("Conv. value"),
+            F.concat(F.format_string("%.2f", F.col("ctr") * 100), F.lit("%")).alias("CTR"))
+    late = d.where(F.col("date") >= F.lit(LATE_COPY_FROM).cast("date")).withColumn("revenue", F.col("revenue") * 2)
+    path = shared_path(t.spark, f"upload_google_{_tag(t)}")
+    export(d).unionByName(export(late)).write.mode("overwrite").option("header", True).csv(path)
+    return IN.read_upload(t.spark, path)
+
+
+def _ingested(t: Tables):
+    camps = t.campaigns.withColumn("campaign_id", F.col("campaign_id").cast("string"))
+    target = t.daily.withColumn("campaign_id", F.col("campaign_id").cast("string")).where(
+        F.col("date") < F.lit("2024-01-16").cast("date"))
+    return IN.ingest(t.spark, _google_upload(t), target, camps)
+
+
+GOOD_COLS = ["campaign_id", "date", "impressions", "clicks", "conversions", "spend", "revenue",
+             "ctr", "cpc", "roas", "campaign_name", "platform", "daily_budget"]
+
+
+@query("S5_validate_upload")
+def _s5(t: Tables):
+    return IN.good_rows(_ingested(t)["validated"]).select(*GOOD_COLS)
+
+
+@query("S6_upsert_metrics")
+def _s6(t: Tables):
+    return _ingested(t)["metrics"]
+
+
+@query("S7_upsert_campaigns")
+def _s7(t: Tables):
+    return _ingested(t)["campaigns"]
+
+
+@query("S8_ingestion_report")
+def _s8(t: Tables):
+    return _ingested(t)["report"]
+
+
+def _competitor_upload(t: Tables, version: int = 1):
+    a = t.ads
+    return a.select(F.col("advertiser_name").alias(" Brand "), F.col("ad_copy").alias("text"),
+                    (F.col("headline") if version == 1 else F.concat(F.col("headline"), F.lit(" v2"))).alias("Title"),
+                    F.upper(F.col("platform")).alias("channel"), F.col("category").alias("vertical"),
+                    F.upper(F.col("spend_tier")).alias("budget_tier"),
+                    *([F.lit("Buy now").alias("call_to_action")] if version == 2 else []))
+
+
+@query("S9_competitor_ingest")
+def _s9(t: Tables):
+    return IN.ingest_competitor_ads(_competitor_upload(t, 1), seen="2024-01-31")
+
+
+@query("S10_competitor_upsert")
+def _s10(t: Tables):
+    first = IN.ingest_competitor_ads(_competitor_upload(t, 1), seen="2024-01-31")
+    second = IN.ingest_competitor_ads(_competitor_upload(t, 2), seen="2024-02-01")
+    return IN.upsert_competitor_ads(first, second)
+
+
+@query("S11_trends_wide_to_long")
+def _s11(t: Tables):
+    wide = t.trends.groupBy("date").pivot("keyword").agg(F.first("interest"))
+    return IN.trends_wide_to_long(wide.withColumn("isPartial", F.lit(False)))
+
+
+@query("S12_upsert_trends")
+def _s12(t: Tables):
+    tr = t.trends
+    target = tr.where(F.col("date") < F.lit("2024-01-20").cast("date"))
+    batch = tr.where(F.col("date") >= F.lit("2024-01-15").cast("date")).withColumn("_row_idx", F.lit(0))
+    return IN.upsert_last_wins(target, batch, ["keyword", "date"])
+
+
+@query("S13_store_forecasts")
+def _s13(t: Tables):
+    series = FC.metric_series(t.daily, ["clicks"])
+    fc = FC.linear_weekly(series, ["campaign_id", "metric"])["forecast"]
+    return SK.store_forecasts(t.forecasts, fc)
+
+
+@query("S14_store_recommendations")
+def _s14(t: Tables):
+    recs = DC.recommendation_log(_bids(t), DC.budget_shifts(_allocation(t)))
+    return SK.store_recommendations(None, recs, created_at="2024-01-31 00:00:00")
+
+
+@query("T2_recent_recommendations")
+def _t2(t: Tables):
+    recs = DC.recommendation_log(_bids(t), DC.budget_shifts(_channel_allocation(t)))
+    log = SK.store_recommendations(None, recs, created_at="2024-01-31 00:00:00")
+    camps = t.campaigns.withColumn("campaign_id", F.col("campaign_id").cast("string"))
+    return R.recent_recommendations(log, camps, 20).select(
+        "campaign_id", "campaign_name", "platform", "action_type", "confidence", "status")
+
+
+@query("S15_truncate")
+def _s15(t: Tables):
+    return SK.empty_like(t.daily)
+
+
+@query("S16_store_cluster_results")
+def _s16(t: Tables):
+    tops = _tops(t)
+    groups = sorted(r["category"] for r in tops.select("category").collect())
+    labels = TX.assign_labels(TX.label_scores(tops, "category"), groups, "category")
+    sizes = TX.group_sizes(_by_category(t), "category")
+    cl = tops.join(labels, "category").join(sizes, "category").withColumn("cluster_id", F.col("category"))
+    return SK.store_cluster_results(None, cl, "2024-01-31")
+
+
+@query("S17_export_csv")
+def _s17(t: Tables):
+    from pyspark.sql import types as TT
+    path = shared_path(t.spark, f"export_csv_{_tag(t)}")
+    SK.export_metrics_csv(t.daily, t.campaigns, path)
+    schema = TT.StructType([
+        TT.StructField("campaign_id", TT.LongType()), TT.StructField("date", TT.DateType()),
+        TT.StructField("impressions", TT.LongType()), TT.StructField("clicks", TT.LongType()),
+        TT.StructField("conversions", TT.LongType()), TT.StructField("spend", TT.DoubleType()),
+        TT.StructField("revenue", TT.DoubleType()), TT.StructField("campaign_name", TT.StringType()),
+        TT.StructField("platform", TT.StringType())])
+    return t.spark.read.option("header", True).schema(schema).csv(path)
+
+
+@query("S18_json_roundtrip")
+def _s18(t: Tables):
+    path = shared_path(t.spark, f"allocation_json_{_tag(t)}")
+    alloc = _allocation(t)
+    SK.write_json(alloc, path)
+    return SK.read_json(t.spark, path, schema=alloc.schema)
+
+
+@query("S19_model_roundtrip")
+def _s19(t: Tables):
+    model, x = _gbt(t)
+    path = shared_path(t.spark, f"ctr_model_{_tag(t)}")
+    SK.save_model(model, path, {"features": CLICK_NUM + CLICK_CAT})
+    loaded = SK.load_model(path)
+    return L.score(loaded, x.where(F.col("split") == "test"), CLICK_KEYS + ["label"])
+
+
+@query("S21_preview")
+def _s21(t: Tables):
+    return IN.preview(t.campaigns.orderBy("campaign_id"), 5)
+
+
+@query("F8_parse_replies")
+def _f8(t: Tables):
+    r = t.replies
+    parsed = F.from_json(strip_code_fence("text"), "k INT", {"mode": "PERMISSIVE"})
+    return r.select("reply_id", parsed["k"].alias("k"))
