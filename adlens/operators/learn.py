@@ -172,11 +172,12 @@ def binary_metrics(scored: DataFrame, label: str = "label", score_col: str = "sc
          .alias("_ap"))
     p = F.least(F.greatest(F.col(score_col), F.lit(LOGLOSS_EPS)), F.lit(1 - LOGLOSS_EPS))
     ll = scored.select(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)))).scalar()
+    # one class only: AUC (and AP without positives) are undefined -> NULL
     return agg.select(
-        round_half_up(F.col("_auc") / (p_tot * n_tot), 4).alias("auc_roc"),
-        round_half_up(F.col("_ap") / p_tot, 4).alias("pr_auc"),
+        round_half_up(F.try_divide(F.col("_auc"), (p_tot * n_tot).cast("double")), 4).alias("auc_roc"),
+        round_half_up(F.try_divide(F.col("_ap"), p_tot.cast("double")), 4).alias("pr_auc"),
         round_half_up(ll, 4).alias("log_loss"),
-        round_half_up(p_tot / (p_tot + n_tot), 4).alias("base_rate"),
+        round_half_up(F.try_divide(p_tot.cast("double"), (p_tot + n_tot).cast("double")), 4).alias("base_rate"),
         (p_tot + n_tot).alias("test_size"))
 
 

@@ -883,3 +883,4 @@ ORACLE["S13_store_forecasts"] = _lin_for(
 keys AS (SELECT DISTINCT campaign_id, metric FROM newf)
 SELECT * FROM v_forecasts f WHERE NOT EXISTS (SELECT 1 FROM keys k WHERE k.campaign_id = f.campaign_id AND k.metric = f.metric)
 UNION ALL SELECT * FROM newf"""
+ORACLE["STREAM_daily_metrics"] = ORACLE["V_daily_metrics"]

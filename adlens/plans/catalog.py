@@ -747,3 +747,15 @@ def _f8(t: Tables):
     r = t.replies
     parsed = F.from_json(strip_code_fence("text"), "k INT", {"mode": "PERMISSIVE"})
     return r.select("reply_id", parsed["k"].alias("k"))
+
+
+# ── Streaming ────────────────────────────────────────────────────────
+from adlens.streaming import daily_stream as ST  # noqa: E402
+
+
+@query("STREAM_daily_metrics")
+def _stream_daily(t: Tables):
+    """The daily fact table built by a watermarked streaming aggregation."""
+    import uuid
+    run = shared_path(t.spark, f"stream_daily_{_tag(t)}_{uuid.uuid4().hex[:8]}")
+    return ST.run_daily_metrics(t.spark, f"{t.sf_dir}/event[s].parquet", f"{run}/table", f"{run}/checkpoint")
