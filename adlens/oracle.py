@@ -884,3 +884,26 @@ keys AS (SELECT DISTINCT campaign_id, metric FROM newf)
 SELECT * FROM v_forecasts f WHERE NOT EXISTS (SELECT 1 FROM keys k WHERE k.campaign_id = f.campaign_id AND k.metric = f.metric)
 UNION ALL SELECT * FROM newf"""
 ORACLE["STREAM_daily_metrics"] = ORACLE["V_daily_metrics"]
+
+ORACLE["P6_has_rows"] = with_views(V_DAILY, V_FORECASTS, V_ADS) + """
+SELECT EXISTS (SELECT 1 FROM v_daily) AS has_metrics, EXISTS (SELECT 1 FROM v_forecasts) AS has_forecasts,
+  EXISTS (SELECT 1 FROM v_ads) AS has_ads"""
+
+ORACLE["P9_single_or_portfolio"] = with_views(V_DAILY, V_FORECASTS) + \
+    "SELECT *, 'single' AS scope FROM v_forecasts WHERE campaign_id = 7"
+
+ORACLE["T5_priority_order"] = _M10 + """
+, top AS (SELECT campaign_id, CAST(ROW_NUMBER() OVER (ORDER BY platform, campaign_name, campaign_id) AS INTEGER) AS priority
+          FROM (SELECT * FROM bids ORDER BY platform, campaign_name, campaign_id LIMIT 8))
+SELECT b.campaign_id, top.priority FROM bids b LEFT JOIN top ON b.campaign_id = top.campaign_id"""
+
+ORACLE["T6_numeric_arm_order"] = with_views(V_DAILY) + _A13 + f"""
+SELECT CAST(bid_multiplier AS VARCHAR) AS arm, COUNT(*) AS n_campaigns,
+  {rnd('CAST(SUM(CAST(exp_profit > 0 AS INTEGER)) AS DOUBLE) / COUNT(*)', 4)} AS share_profitable
+FROM grid GROUP BY bid_multiplier"""
+
+ORACLE["F3_parse_multiple"] = with_views(V_CAMPAIGNS, V_DAILY) + _A6 + f"""
+SELECT campaign_id, printf('%.1f', {rnd('roas', 1)}) || 'x' AS roas_text,
+  TRY_CAST(replace(printf('%.1f', {rnd('roas', 1)}) || 'x', 'x', '') AS DOUBLE) AS roas_value FROM a6"""
+
+ORACLE["F6_join_top_terms"] = _TFIDF + " SELECT category, array_to_string(top_terms[1:3], ', ') AS top_3 FROM tops"

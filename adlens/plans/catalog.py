@@ -759,3 +759,53 @@ def _stream_daily(t: Tables):
     import uuid
     run = shared_path(t.spark, f"stream_daily_{_tag(t)}_{uuid.uuid4().hex[:8]}")
     return ST.run_daily_metrics(t.spark, f"{t.sf_dir}/event[s].parquet", f"{run}/table", f"{run}/checkpoint")
+
+
+# ── Remaining small operators ────────────────────────────────────────
+from adlens.functions import formatting as FMT  # noqa: E402
+
+
+@query("P6_has_rows")
+def _p6(t: Tables):
+    """Has-rows probes as LIMIT 1 scalar subqueries (never a full count)."""
+    def probe(df):
+        return df.select(F.lit(1).alias("x")).limit(1).select(F.count(F.lit(1)) > 0).scalar()
+    return t.spark.range(1).select(probe(t.daily).alias("has_metrics"), probe(t.forecasts).alias("has_forecasts"),
+                                   probe(t.ads).alias("has_ads"))
+
+
+@query("P9_single_or_portfolio")
+def _p9(t: Tables):
+    one = R.portfolio_or_single(t.forecasts, 7).withColumn("scope", F.lit("single"))
+    unknown = R.portfolio_or_single(t.forecasts, -1).withColumn("scope", F.lit("unknown"))
+    return one.unionByName(unknown)
+
+
+@query("T5_priority_order")
+def _t5(t: Tables):
+    top = DC.top_bid_rows(_bids(t), 8)
+    # bid rows without a priority sort after the numbered ones
+    rest = _bids(t).join(top.select("campaign_id"), "campaign_id", "left_anti").withColumn(
+        "priority", F.lit(None).cast("int"))
+    return T.order_by_priority(top.unionByName(rest)).select("campaign_id", "priority")
+
+
+@query("T6_numeric_arm_order")
+def _t6(t: Tables):
+    g = DC.bid_response_grid(T.recent_base_metrics(t.daily))
+    per = g.groupBy(F.col("bid_multiplier").cast("string").alias("arm")).agg(
+        F.count(F.lit(1)).alias("n_campaigns"),
+        round_half_up(F.count_if(F.col("exp_profit") > 0).cast("double") / F.count(F.lit(1)), 4).alias("share_profitable"))
+    return T.order_numeric_text(per, "arm")
+
+
+@query("F3_parse_multiple")
+def _f3(t: Tables):
+    s = R.campaign_summary(t.daily, t.campaigns, START, END)
+    txt = s.select("campaign_id", FMT.multiple("roas", 1).alias("roas_text"))
+    return txt.select("campaign_id", "roas_text", FMT.parse_multiple("roas_text").alias("roas_value"))
+
+
+@query("F6_join_top_terms")
+def _f6(t: Tables):
+    return _tops(t).select("category", FMT.join_first("top_terms", 3).alias("top_3"))
