@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.functions.ratios import round_half_up
-from adlens.functions.text import unigrams_and_bigrams
+from adlens.functions.text import with_terms
 
 MAX_FEATURES = 500
 MAX_DF = 0.85
@@ -38,7 +38,8 @@ OTHER_LABEL = "Other"
 
 def term_counts(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_copy") -> DataFrame:
     """(doc, term, tf) over the whole text of every document."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.explode(unigrams_and_bigrams(text_col)).alias("term"))
+    d = with_terms(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text")
+    t = d.select("doc_id", F.explode("terms").alias("term"))
     return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -84,7 +85,6 @@ def kmeans_clusters(vectors: DataFrame, k: int = N_CLUSTERS, restarts: int = 10,
     if n < 3:
         raise ValueError(f"Need at least 3 ads to cluster, got {n}")
     k = min(k, n)
-    vectors = vectors.persist()
     best = None
     for r in range(restarts):
         m = KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol="cluster", maxIter=50).fit(vectors)
@@ -189,13 +189,19 @@ def dominant(df: DataFrame, row: str, col: str) -> DataFrame:
 
 def analyze_ads(ads: DataFrame, k: int = N_CLUSTERS, restarts: int = 10, seed: int = 42) -> dict:
     """The whole ad-copy pipeline: TF-IDF -> KMeans -> PCA -> labels -> cross-tab."""
+    from adlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(ads.sparkSession)
     tf = tfidf(ads)
+    # the weights feed KMeans, PCA and the per-cluster terms: compute them once
+    # and keep them in the shared checkpoint folder (cuts the text lineage)
+    weights = tf["weights"].checkpoint(eager=True)
     vocab_size = tf["vocabulary"].count()
-    vec = doc_vectors(tf["weights"], ads, "ad_id", vocab_size)
+    vec = doc_vectors(weights, ads, "ad_id", vocab_size).checkpoint(eager=True)
     clustered, _model = kmeans_clusters(vec, k, restarts, seed)
+    clustered = clustered.checkpoint(eager=True)
     assignment = clustered.select("doc_id", "cluster")
     coords, explained = projection_2d(clustered.select("doc_id", "features"))
-    mw = mean_tfidf_per_group(tf["weights"], assignment)
+    mw = mean_tfidf_per_group(weights, assignment)
     tops = top_terms(mw)
     labels = assign_labels(label_scores(tops), sorted(r["cluster"] for r in
                                                       assignment.select("cluster").distinct().collect()))

@@ -51,3 +51,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def spread(df, key: str | None = None, min_partitions: int | None = None):
+    """Repartition when a scan yields fewer partitions than the cluster can
+    run at once (e.g. one parquet row group); by ``key`` when given, so later
+    per-key aggregates and windows need no further exchange.  A no-op on
+    large inputs, which already arrive in many splits."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adlens.functions.ratios import MONEY, ratio_zero
+from adlens.session import spread
 
 TABLE_NAMES = ("region nation customer supplier part orders lineitem events "
                "documents embeddings pages benchmark labels conversations").split()
@@ -107,9 +108,11 @@ class Tables:
     # ── v_ads ──────────────────────────────────────────────────────
     @cached_property
     def ads(self) -> DataFrame:
+        """Ad copy is tokenised row by row: spread a file with few row groups
+        over all cores first (no-op for inputs that arrive in many splits)."""
         d = self.t("documents")
         lo, hi = SPEND_TIER_BANDS
-        return d.select(
+        return spread(d, "doc_id").select(
             F.col("doc_id").cast("bigint").alias("ad_id"),
             F.col("source").alias("advertiser_name"),
             F.col("lang").alias("platform"),
