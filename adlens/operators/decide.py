@@ -202,6 +202,7 @@ def top_bid_rows(recs: DataFrame, n: int = 8) -> DataFrame:
     """T4: the first n recommendations (platform, name order) numbered 1..n."""
     order = [F.col("platform"), F.col("campaign_name"), F.col("campaign_id")]
     top = recs.orderBy(*order).limit(n)
+    # numbering the n rows left after the limit (a bounded, tiny window)
     return top.withColumn("priority", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -300,11 +301,13 @@ def sampled_allocation_shares(summary: DataFrame, n_samples: int = 1000, seed: i
     draws = b.select("campaign_id", "mu", "sd",
                      F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
     draws = draws.withColumn("x", F.col("mu") + F.col("sd") * F.randn(seed))
+    # per-sample tables have n_samples rows (a proven bound): broadcast them,
+    # so the campaigns x samples draws are never shuffled for the joins
     per = draws.groupBy("sample").agg(F.min("x").alias("_min"))
-    d = draws.join(per, "sample").withColumn(
+    d = draws.join(F.broadcast(per), "sample").withColumn(
         "s", F.greatest(F.col("x") - F.col("_min") + 0.1, F.lit(0.1)))
     tot = d.groupBy("sample").agg(F.sum("s").alias("_tot"))
-    d = d.join(tot, "sample")
+    d = d.join(F.broadcast(tot), "sample")
     return d.groupBy("campaign_id").agg(
         round_half_up(F.sum(F.col("s") / F.col("_tot")) / n_samples, 4).alias("recommended_share"))
 
@@ -313,6 +316,7 @@ def sampled_allocation_shares(summary: DataFrame, n_samples: int = 1000, seed: i
 
 def round_robin_choices(rewards: DataFrame, policy: str = "round_robin") -> DataFrame:
     """A logged policy: on day index d choose arm number (d mod #arms), arms by name."""
+    # numbering the distinct arms: the arm set of a bandit is small by definition
     arms = rewards.select("arm").distinct().withColumn(
         "arm_no", F.dense_rank().over(Window.orderBy("arm")) - 1)
     n_arms = arms.select(F.count(F.lit(1))).scalar()

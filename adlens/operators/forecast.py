@@ -253,9 +253,17 @@ def match_trend_keywords(campaigns: DataFrame, trends: DataFrame, n_default: int
 def with_trend_regressor(series: DataFrame, keyword_map: DataFrame, trends: DataFrame,
                          key: str = "campaign_id", horizon: int = HORIZON) -> DataFrame:
     """J5 + W4: each series (plus ``horizon`` future days) joined with the mean
-    interest of its matched keywords by date, carried forward then backward."""
-    reg = (keyword_map.join(trends, "keyword")
-           .groupBy(key, "date").agg(F.avg(F.col("interest").cast("double")).alias("search_trend")))
+    interest of its matched keywords by date, carried forward then backward.
+
+    Campaigns that share a keyword set share one regressor: the mean is
+    computed per distinct set and date (a few sets x days), then joined to the
+    series on (set, date) — never campaigns x keywords x days rows.
+    """
+    sets = keyword_map.groupBy(key).agg(F.array_sort(F.collect_set("keyword")).alias("kw_set"))
+    set_reg = (sets.select("kw_set").distinct()
+               .select("kw_set", F.explode("kw_set").alias("keyword"))
+               .join(trends, "keyword")
+               .groupBy("kw_set", "date").agg(F.avg(F.col("interest").cast("double")).alias("search_trend")))
     last = series.groupBy(key).agg(F.max("date").alias("_last"))
     fut = last.select(key, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_h"), "_last") \
         .select(key, F.date_add("_last", F.col("_h")).alias("date"))
@@ -263,5 +271,5 @@ def with_trend_regressor(series: DataFrame, keyword_map: DataFrame, trends: Data
     fut = fut.select(key, "date", *[F.lit(None).cast(series.schema[c].dataType).alias(c) for c in cols],
                      F.lit(True).alias("is_forecast"))
     allrows = series.withColumn("is_forecast", F.lit(False)).unionByName(fut)
-    j = allrows.join(reg, [key, "date"], "left")
+    j = allrows.join(sets, key, "left").join(set_reg, ["kw_set", "date"], "left").drop("kw_set")
     return fill_forward_backward(j, key, "search_trend")

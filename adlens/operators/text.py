@@ -54,6 +54,7 @@ def tfidf(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_copy",
     min_df = F.when(n_docs > 10, F.lit(2)).otherwise(F.lit(1))
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= n_docs * max_df))
     vocab = kept.orderBy(F.col("corpus_tf").desc(), F.col("term")).limit(max_features)
+    # index the (at most max_features) vocabulary terms alphabetically
     vocab = vocab.withColumn("term_index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
     idf = F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     w = tc.join(F.broadcast(vocab.select("term", "term_index", "df")), "term")
@@ -195,7 +196,9 @@ def analyze_ads(ads: DataFrame, k: int = N_CLUSTERS, restarts: int = 10, seed: i
     # the weights feed KMeans, PCA and the per-cluster terms: compute them once
     # and keep them in the shared checkpoint folder (cuts the text lineage)
     weights = tf["weights"].checkpoint(eager=True)
-    vocab_size = tf["vocabulary"].count()
+    # every vocabulary term occurs in at least one document, so the largest
+    # index in the weights gives the vocabulary size without another pass
+    vocab_size = (weights.select(F.max("term_index")).first()[0] or 0) + 1
     vec = doc_vectors(weights, ads, "ad_id", vocab_size).checkpoint(eager=True)
     clustered, _model = kmeans_clusters(vec, k, restarts, seed)
     clustered = clustered.checkpoint(eager=True)

@@ -531,11 +531,14 @@ def _j11(t: Tables):
     return TX.label_scores(_tops(t), "category")
 
 
+def _categories(t: Tables) -> list:
+    """The distinct groups, from the ads table itself (a handful of values)."""
+    return sorted(r["category"] for r in t.ads.select("category").distinct().collect())
+
+
 @query("M9_group_labels")
 def _m9(t: Tables):
-    tops = _tops(t)
-    groups = sorted(r["category"] for r in tops.select("category").collect())
-    return TX.assign_labels(TX.label_scores(tops, "category"), groups, "category")
+    return TX.assign_labels(TX.label_scores(_tops(t), "category"), _categories(t), "category")
 
 
 @query("A10_crosstab")
@@ -699,8 +702,7 @@ def _s15(t: Tables):
 @query("S16_store_cluster_results")
 def _s16(t: Tables):
     tops = _tops(t)
-    groups = sorted(r["category"] for r in tops.select("category").collect())
-    labels = TX.assign_labels(TX.label_scores(tops, "category"), groups, "category")
+    labels = TX.assign_labels(TX.label_scores(tops, "category"), _categories(t), "category")
     sizes = TX.group_sizes(_by_category(t), "category")
     cl = tops.join(labels, "category").join(sizes, "category").withColumn("cluster_id", F.col("category"))
     return SK.store_cluster_results(None, cl, "2024-01-31")

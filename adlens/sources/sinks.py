@@ -122,3 +122,33 @@ def load_metadata(spark: SparkSession, path: str) -> dict | None:
     except Exception:  # no metadata written
         return None
     return json.loads(row[0]) if row else None
+
+
+def merge_into_partitioned(spark: SparkSession, table_path: str, batch: DataFrame, keys: list[str],
+                           partition_col: str = "date", order_col: str = "_row_idx") -> DataFrame:
+    """Upsert ``batch`` into a parquet table partitioned by ``partition_col``,
+    rewriting only the partitions the batch touches (dynamic partition
+    overwrite) instead of the whole table.
+
+    The touched partitions are read with partition pruning, merged with
+    last-row-wins, checkpointed (so the write never reads the files it
+    replaces) and written back.  Re-running the same batch gives the same
+    partitions, so a retried job is idempotent.
+    """
+    from pyspark.errors import AnalysisException
+
+    from adlens.session import ensure_checkpoint_dir
+    from adlens.sources.ingest import upsert_last_wins
+    ensure_checkpoint_dir(spark)
+    data_cols = [c for c in batch.columns if c != order_col]
+    try:
+        current = spark.read.parquet(table_path)
+        # semi-join on the partition column: only touched partitions are read
+        touched = batch.select(partition_col).distinct()
+        current = current.join(touched, partition_col, "left_semi").select(*data_cols)
+    except AnalysisException:           # first write: no table yet
+        current = spark.createDataFrame([], batch.select(*data_cols).schema)
+    merged = upsert_last_wins(current, batch, keys, order_col).checkpoint(eager=True)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(table_path))
+    return spark.read.parquet(table_path)
