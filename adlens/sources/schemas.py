@@ -39,7 +39,7 @@ RECOMMENDATIONS = T.StructType([
     T.StructField("reasoning", T.StringType()),
     T.StructField("confidence", T.StringType()),      # default 'medium'
     T.StructField("status", T.StringType()),          # 'pending'
-    T.StructField("created_at", T.TimestampType()),
+    T.StructField("created_at", T.TimestampNTZType()),
 ])
 
 SEARCH_TRENDS = T.StructType([

@@ -43,8 +43,9 @@ def store_forecasts(existing: DataFrame, forecast: DataFrame, key_col: str = "ca
 
 def store_recommendations(log: DataFrame | None, recs: DataFrame, created_at=None) -> DataFrame:
     """Append recommendations with defaults (bid_adjustment, medium,
-    pending); ``action_detail`` is JSON text."""
-    ts = F.lit(created_at).cast("timestamp") if created_at is not None else F.current_timestamp()
+    pending); ``action_detail`` is JSON text; ``created_at`` is TIMESTAMP_NTZ."""
+    # a wall-clock time without zone, like the original table's TIMESTAMP default
+    ts = F.lit(created_at).cast("timestamp_ntz") if created_at is not None else F.localtimestamp()
     r = recs.select(
         F.col("campaign_id").cast("string").alias("campaign_id"),
         F.coalesce(F.col("action_type"), F.lit("bid_adjustment")).alias("action_type"),

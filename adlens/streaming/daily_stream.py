@@ -5,10 +5,10 @@
   Update mode: a window's row is re-emitted while late events arrive, and the
   state of a day is dropped once the watermark passes it (bounded state).
 * ``run_daily_metrics`` — drives that stream with ``foreachBatch``: every
-  micro-batch is merged into the table with last-row-wins by
-  (campaign_id, date) and written as a new partition ``version=<epoch>``;
-  rewriting the same epoch after a failure gives the same folder, so the
-  sink is idempotent.  Readers take the newest version (partition pruning).
+  micro-batch is merged into the date-partitioned table with last-row-wins
+  by (campaign_id, date), rewriting only the days the batch touches
+  (``sinks.merge_into_partitioned``).  Replaying an epoch after a failure
+  merges the same rows again, so the sink is idempotent.
 * ``run_upload_stream`` — CSV exports dropped in a folder go through the
   batch ingest path (detect, validate, quarantine, upsert) per micro-batch.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from adlens.functions.ratios import MONEY, ratio_zero
 from adlens.sources import ingest as IN
+from adlens.sources import sinks as SK
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -29,11 +30,18 @@ EVENTS_SCHEMA = T.StructType([
 
 
 def read_events_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream of event parquet files (a folder or a glob)."""
+    """A file stream of event parquet files (a folder or a glob).
+
+    Event times are wall-clock (TIMESTAMP_NTZ); the watermark needs an
+    instant, so the wall clock is read as UTC explicitly (independent of the
+    session time zone)."""
     r = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    ts = F.col("ts")
+    utc = F.make_timestamp_ltz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
+                               F.second(ts), F.lit("UTC"))
+    return r.parquet(path).withColumn("ts", utc)
 
 
 def daily_metrics_stream(events: DataFrame, watermark: str = "2 days") -> DataFrame:
@@ -47,32 +55,20 @@ def daily_metrics_stream(events: DataFrame, watermark: str = "2 days") -> DataFr
                 F.count_if(et == "purchase").cast("bigint").alias("conversions"),
                 F.sum(F.when(et == "click", money).otherwise(zero)).cast("double").alias("spend"),
                 F.sum(F.when(et == "purchase", money).otherwise(zero)).cast("double").alias("revenue")))
+    # the day of a UTC-aligned window, from epoch seconds (no session time zone)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
     return agg.select(
-        "campaign_id", F.to_date(F.col("w.start")).alias("date"), "impressions", "clicks", "conversions",
+        "campaign_id", day.alias("date"), "impressions", "clicks", "conversions",
         "spend", "revenue",
         ratio_zero("clicks", "impressions", 6).alias("ctr"),
         ratio_zero("spend", "clicks", 4).alias("cpc"),
         ratio_zero("revenue", "spend", 4).alias("roas"))
 
 
-def read_versioned(spark: SparkSession, table_path: str, schema: T.StructType) -> DataFrame:
-    """The newest ``version=<epoch>`` partition of a versioned table (empty
-    frame of ``schema`` when nothing was written yet)."""
-    from pyspark.errors import AnalysisException
-    try:
-        allv = spark.read.parquet(table_path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    newest = allv.select(F.max("version")).first()[0]     # one row
-    return allv.where(F.col("version") == newest).drop("version")
-
-
 def _merge_writer(table_path: str, keys: list[str]):
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        current = read_versioned(spark, table_path, batch.schema)
-        merged = IN.upsert_last_wins(current, batch.withColumn("_row_idx", F.lit(epoch_id)), keys)
-        merged.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/version={epoch_id}")
+        SK.merge_into_partitioned(batch.sparkSession, table_path,
+                                  batch.withColumn("_row_idx", F.lit(epoch_id)), keys, "date")
     return merge
 
 
@@ -85,7 +81,7 @@ def run_daily_metrics(spark: SparkSession, events_path: str, table_path: str, ch
          .option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return read_versioned(spark, table_path, stream.schema)
+    return spark.read.parquet(table_path).select(*stream.columns)
 
 
 def run_upload_stream(spark: SparkSession, upload_dir: str, header: list[str], table_path: str,
@@ -102,9 +98,7 @@ def run_upload_stream(spark: SparkSession, upload_dir: str, header: list[str], t
         good = IN.good_rows(v)
         cols = ["campaign_id", "date", "impressions", "clicks", "conversions", "spend", "revenue",
                 "ctr", "cpc", "roas"]
-        current = read_versioned(spark, table_path, good.select(*cols).schema)
-        merged = IN.upsert_last_wins(current, good.select("_row_idx", *cols), keys)
-        merged.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/version={epoch_id}")
+        SK.merge_into_partitioned(spark, table_path, good.select("_row_idx", *cols), keys, "date")
         IN.rejects(v).withColumn("epoch", F.lit(epoch_id)).drop("_row_idx").write.mode("overwrite") \
             .parquet(f"{rejects_path.rstrip('/')}/epoch={epoch_id}")
         v.unpersist()
@@ -112,4 +106,4 @@ def run_upload_stream(spark: SparkSession, upload_dir: str, header: list[str], t
     q = (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return read_versioned(spark, table_path, T.StructType([]))
+    return spark.read.parquet(table_path)
