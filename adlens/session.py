@@ -36,14 +36,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
     as is.  Only when it is unset (local tests) a scratch folder is created.
     """
+    sc = spark.sparkContext
     configured = (spark.conf.get("spark.checkpoint.dir", None)
-                  or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
+                  or sc.getConf().get("spark.checkpoint.dir", None))
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
         return configured
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
     path = tempfile.mkdtemp(prefix="adlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # a core setting some sessions refuse to change at runtime
+        pass
     return path
 
 
