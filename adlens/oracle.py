@@ -462,7 +462,7 @@ ORACLE["M10_bid_recommendations"] = _M10 + " SELECT * FROM bids"
 
 ORACLE["T4_top_bid_rows"] = _M10 + """
 , top AS (SELECT * FROM bids ORDER BY platform, campaign_name, campaign_id LIMIT 8)
-SELECT ROW_NUMBER() OVER (ORDER BY platform, campaign_name, campaign_id) AS priority, campaign_id, campaign_name,
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY platform, campaign_name, campaign_id) AS INTEGER) AS priority, campaign_id, campaign_name,
   recommended_action, confidence FROM top"""
 
 _A6 = f"""
@@ -800,7 +800,7 @@ both_ AS (SELECT * FROM up UNION ALL SELECT campaign_id, date, impressions, clic
           FROM up WHERE date >= DATE '2024-01-25')
 SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue,
   {ratio_zero('clicks', 'impressions', 6)} AS ctr, {ratio_zero('spend', 'clicks', 4)} AS cpc,
-  {ratio_zero('revenue', 'spend', 4)} AS roas, campaign_name, 'google' AS platform, 0.0 AS daily_budget FROM both_"""
+  {ratio_zero('revenue', 'spend', 4)} AS roas, campaign_name, 'google' AS platform, CAST(0.0 AS DOUBLE) AS daily_budget FROM both_"""
 
 ORACLE["S6_upsert_metrics"] = _UPL + """
 SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue, ctr, cpc, roas FROM upr"""
