@@ -40,18 +40,20 @@ def read_click_log(spark: SparkSession, path: str, sample_size: int | None = Non
                    partitions: int | None = None, schema: TT.StructType = CRITEO_SCHEMA) -> DataFrame:
     """Headerless TSV (gz allowed), explicit 40-field schema, '' -> NULL.
 
-    With ``sample_size``: read at most min(3n, 15M) rows, then an exact
-    seeded sample of n rows.  A .gz file is one split, so the result is
-    repartitioned for parallel work downstream.
+    With ``sample_size``: an exact, seeded sample of n rows (all rows when
+    the file has fewer).  The n rows are chosen by a distributed rank over a
+    seeded random key, so no task ever holds the whole sample; the
+    original's read cap of 3n rows was a single-machine memory guard and is
+    not needed.  A .gz file is one split: pass ``partitions`` to spread it.
     """
     df = (spark.read.schema(schema).option("sep", "\t").option("nullValue", "")
           .option("header", False).csv(path))
-    if sample_size is not None:
-        cap = min(3 * sample_size, 15_000_000)
-        df = df.limit(cap)
-        df = df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(sample_size).drop("_r")
     if partitions:
         df = df.repartition(partitions)
+    if sample_size is not None:
+        keyed = df.withColumn("_r", F.rand(seed)).withColumn("_t", F.monotonically_increasing_id())
+        ranked = global_row_number(keyed, ["_r", "_t"], "_k")
+        df = ranked.where(F.col("_k") <= sample_size).drop("_r", "_t", "_k")
     return df
 
 

@@ -73,3 +73,16 @@ def test_portable_hash_matches_sql(spark):
     con = duckdb.connect()
     sql = f"SELECT {portable_hash_sql(['a', 'b'])} FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in rows) + ") t(a, b)"
     assert got == [r[0] for r in con.execute(sql).fetchall()]
+
+
+def test_click_log_sample_is_exact_and_seeded(spark, tmp_path):
+    from pyspark.sql import types as TT
+    p = tmp_path / "log.tsv"
+    p.write_text("".join(f"{i % 2}\t{i}.0\t\tx{i % 5}\n" for i in range(200)))
+    schema = TT.StructType([TT.StructField("label", TT.IntegerType()), TT.StructField("I1", TT.DoubleType()),
+                            TT.StructField("I2", TT.DoubleType()), TT.StructField("C1", TT.StringType())])
+    a = L.read_click_log(spark, str(p), sample_size=50, seed=7, schema=schema).collect()
+    b = L.read_click_log(spark, str(p), sample_size=50, seed=7, schema=schema).collect()
+    assert len(a) == 50 and sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert all(r["I2"] is None for r in a)
+    assert L.read_click_log(spark, str(p), sample_size=500, schema=schema).count() == 200
