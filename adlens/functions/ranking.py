@@ -85,3 +85,21 @@ def portable_hash(*cols, seed: int = 42):
         x = F.pmod(x * 1000003 + F.pmod(c.cast("bigint"), F.lit(_P)), F.lit(_P))
     x = F.pmod(x * 48271, F.lit(_P))
     return F.pmod(x * 69621, F.lit(_P))
+
+
+_TWO52 = float(1 << 52)
+
+
+def hashed_uniform(seed: int, *cols, stream: int = 0):
+    """A uniform draw in (0, 1) fixed by (seed, stream, cols): recomputing a
+    lost partition gives the same numbers whatever the row order."""
+    h = F.xxhash64(F.lit(seed), F.lit(stream), *cols)
+    return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / _TWO52
+
+
+def hashed_normal(seed: int, *cols):
+    """A standard normal draw fixed by (seed, cols) (Box-Muller on two hashed
+    uniforms)."""
+    u1 = hashed_uniform(seed, *cols, stream=1)
+    u2 = hashed_uniform(seed, *cols, stream=2)
+    return F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * 3.141592653589793 * u2)

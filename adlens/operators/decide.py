@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.functions.formatting import fixed, sign_char
-from adlens.functions.ranking import global_row_number
+from adlens.functions.ranking import global_row_number, hashed_normal
 from adlens.functions.ratios import MONEY, round_half_up
 from adlens.operators import trends as T
 
@@ -289,8 +289,9 @@ def sampled_allocation_shares(summary: DataFrame, n_samples: int = 1000, seed: i
                               n_obs: int = 30) -> DataFrame:
     """M12 sampled form (J9): mean normalised share over seeded posterior draws.
 
-    Each (sample, campaign) draw is mean + sd * randn(seed); the per-sample
-    min and sum are group aggregates by sample (W8), joined back on sample.
+    Each (sample, campaign) draw is mean + sd * z, with z a standard normal
+    fixed by (seed, campaign, sample); the per-sample min and sum are group
+    aggregates by sample (W8), broadcast back on sample.
     """
     roas = F.coalesce(F.col("roas"), F.lit(0.0))
     o = roas * 0.2 + 0.1
@@ -300,7 +301,10 @@ def sampled_allocation_shares(summary: DataFrame, n_samples: int = 1000, seed: i
                        (1.0 / F.sqrt(F.lit(prior) + w)).alias("sd"))
     draws = b.select("campaign_id", "mu", "sd",
                      F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
-    draws = draws.withColumn("x", F.col("mu") + F.col("sd") * F.randn(seed))
+    # the draw is a function of (seed, campaign, sample), not of row position,
+    # so a recomputed partition after an executor loss draws the same values
+    draws = draws.withColumn("x", F.col("mu") + F.col("sd") * hashed_normal(seed, F.col("campaign_id"),
+                                                                           F.col("sample")))
     # per-sample tables have n_samples rows (a proven bound): broadcast them,
     # so the campaigns x samples draws are never shuffled for the joins
     per = draws.groupBy("sample").agg(F.min("x").alias("_min"))

@@ -95,3 +95,14 @@ def test_policy_replay_regret(spark):
     assert s["oracle_best_arm"] == "x"
     pulls = {(r["arm"]): r["pulls"] for r in DC.arm_pull_counts(ch, ["x", "y"]).collect()}
     assert pulls == {"x": 2, "y": 0}
+
+
+def test_sampled_allocation_is_reproducible_and_close_to_means(spark):
+    summary = spark.createDataFrame([("a", "A", 10.0, 1.0), ("b", "B", 10.0, 3.0), ("c", "C", 10.0, 5.0)],
+                                    "campaign_id string, campaign_name string, spend double, roas double")
+    s1 = {r["campaign_id"]: r["recommended_share"] for r in DC.sampled_allocation_shares(summary, 400).collect()}
+    s2 = {r["campaign_id"]: r["recommended_share"]
+          for r in DC.sampled_allocation_shares(summary.repartition(3), 400).collect()}
+    assert s1 == s2 and sum(s1.values()) == pytest.approx(1.0, abs=1e-3)
+    det = {r["campaign_id"]: r["recommended_share"] for r in DC.budget_allocation(summary, 100.0).collect()}
+    assert all(abs(s1[k] - det[k]) < 0.05 for k in det)
