@@ -701,7 +701,8 @@ def _s15(t: Tables):
 
 @query("S16_store_cluster_results")
 def _s16(t: Tables):
-    tops = _tops(t)
+    # one row per group, used three times below: compute the text pipeline once
+    tops = _tops(t).checkpoint(eager=True)
     labels = TX.assign_labels(TX.label_scores(tops, "category"), _categories(t), "category")
     sizes = TX.group_sizes(_by_category(t), "category")
     cl = tops.join(labels, "category").join(sizes, "category").withColumn("cluster_id", F.col("category"))
