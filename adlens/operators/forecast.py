@@ -228,10 +228,20 @@ def holt_winters(series: DataFrame, keys, value: str = "value", horizon: int = H
             out[c] = pdf[c].iloc[0]
         return out[names]
 
+    _ship_by_value()
     s = series.select(*k, "date", F.col(value).cast("double").alias(value))
     return s.groupBy(*k).applyInPandas(per_series, schema)
 
 
+def _ship_by_value() -> None:
+    """Serialise this module's helpers with the function (by value), so Python
+    workers need only NumPy and pandas, not this package on their path."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 # ── J7 / J5: trend regressor ─────────────────────────────────────────
 
 def match_trend_keywords(campaigns: DataFrame, trends: DataFrame, n_default: int = 3) -> DataFrame:
