@@ -14,8 +14,6 @@ Normal posterior (A31) is kept as a reusable operator.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

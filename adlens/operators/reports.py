@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.functions.formatting import signed_money_delta, signed_pct
-from adlens.functions.ratios import (count_sum, money_sum, ratio_case, ratio_null,
-                                     round_half_up, safe_div)
+from adlens.functions.ratios import count_sum, money_sum, ratio_case, ratio_null, round_half_up
 
 COUNT_COLS = ("impressions", "clicks", "conversions")
 MONEY_COLS = ("spend", "revenue")

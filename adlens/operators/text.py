@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.functions.ratios import round_half_up
 from adlens.functions.text import with_terms
 
 MAX_FEATURES = 500
