@@ -26,9 +26,12 @@ SPEND_TIER_BANDS = (2000, 20000)  # n_chars < 2000 low, < 20000 medium, else hig
 class Tables:
     """Lazy access to the parquet tables of one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, daily_path: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        # a stored, date-partitioned daily table (plans.materialize) replaces
+        # the per-query derivation from events when given
+        self.daily_path = daily_path
 
     def t(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -48,6 +51,13 @@ class Tables:
     # ── v_daily ────────────────────────────────────────────────────
     @cached_property
     def daily(self) -> DataFrame:
+        """The daily fact table: stored when ``daily_path`` is set, else derived."""
+        if self.daily_path:
+            return self.spark.read.parquet(self.daily_path).select(*self.derived_daily.columns)
+        return self.derived_daily
+
+    @cached_property
+    def derived_daily(self) -> DataFrame:
         """One row per (campaign, day): counts, money and rule-(a) ratios."""
         e = self.t("events")
         et = F.col("event_type")
