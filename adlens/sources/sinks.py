@@ -131,7 +131,8 @@ def merge_into_partitioned(spark: SparkSession, table_path: str, batch: DataFram
     rewriting only the partitions the batch touches (dynamic partition
     overwrite) instead of the whole table.
 
-    The touched partitions are read with partition pruning, merged with
+    The touched partitions (the batch's distinct days, a calendar-bounded
+    list) are read with partition pruning, merged with
     last-row-wins, checkpointed (so the write never reads the files it
     replaces) and written back.  Re-running the same batch gives the same
     partitions, so a retried job is idempotent.
@@ -144,9 +145,10 @@ def merge_into_partitioned(spark: SparkSession, table_path: str, batch: DataFram
     data_cols = [c for c in batch.columns if c != order_col]
     try:
         current = spark.read.parquet(table_path)
-        # semi-join on the partition column: only touched partitions are read
-        touched = batch.select(partition_col).distinct()
-        current = current.join(touched, partition_col, "left_semi").select(*data_cols)
+        # the batch's days (a calendar-bounded list) prune the scan to the
+        # touched partitions only
+        touched = [r[0] for r in batch.select(partition_col).distinct().collect()]
+        current = current.where(F.col(partition_col).isin(touched)).select(*data_cols)
     except AnalysisException:           # first write: no table yet
         current = spark.createDataFrame([], batch.select(*data_cols).schema)
     merged = upsert_last_wins(current, batch, keys, order_col).checkpoint(eager=True)
