@@ -12,6 +12,7 @@ from adlens.llm.exact_dedup import exact_dedup
 from adlens.llm.fair_mix import fair_mix
 from adlens.llm.packing import pack_documents
 from adlens.llm.simple8b import read_ids, write_ids
+from adlens.llm.vertical_join import ngram_join
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +37,17 @@ def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), epochs=3)
 
 
+def op10_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), width=5, num=80, den=100)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_arc_to_warc": op4_arc_to_warc,
     "op6_simple8b": op6_simple8b,
     "op8_fair_mix": op8_fair_mix,
+    "op10_vertical_join": op10_vertical_join,
 }
 
 ORACLE = {
@@ -87,4 +93,20 @@ ORACLE = {
         n AS (SELECT doc_id, draw, count(*) AS copies FROM k, b WHERE total <= budget GROUP BY doc_id, draw)
         SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(n.copies, 0) AS BIGINT) AS taken
         FROM q LEFT JOIN n ON q.doc_id IS NOT DISTINCT FROM n.doc_id AND q.draw = n.draw""",
+    "op10_vertical_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]
+                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+              FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+              WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        r AS (SELECT doc_id, doc_id AS seen FROM documents
+              UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.seen = l.a)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.seen) AS component_id
+        FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
 }
