@@ -335,3 +335,32 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
                 out.append(np.zeros(0, dtype=np.uint64))
             at += k
     return out
+
+
+# --- sorted streams -------------------------------------------------------
+
+def sorted_groups(batches, keys: int):
+    """Whole groups (one Arrow table each) of batches sorted by their first
+    ``keys`` columns.  One group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)

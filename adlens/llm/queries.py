@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adlens.llm.arc_convert import archive_pages
 from adlens.llm.common import table
+from adlens.llm.cross_polytope import nearest
 from adlens.llm.exact_dedup import exact_dedup
 from adlens.llm.fair_mix import fair_mix
 from adlens.llm.packing import pack_documents
@@ -28,6 +29,10 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"), least=100)
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, tables=16, probes=8)
+
+
 def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(table(spark, sf_dir, "documents"),
                               public_tokenizers.path("word_bpe_49k.json"), end_id=2))
@@ -45,6 +50,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_arc_to_warc": op4_arc_to_warc,
+    "op5_cross_polytope": op5_cross_polytope,
     "op6_simple8b": op6_simple8b,
     "op8_fair_mix": op8_fair_mix,
     "op10_vertical_join": op10_vertical_join,
