@@ -266,6 +266,39 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+#: Bytes between letter runs: ASCII other than letters.
+_NO_LETTER = np.zeros(256, dtype=bool)
+_NO_LETTER[[*range(65), *range(91, 97), *range(123, 128)]] = True
+
+
+def letter_terms(texts: list[str], stem: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the letter runs of all texts, and of the first ``stem`` bytes
+    of longer ones; and the text each belongs to.  Letters are A-Z, a-z and all
+    characters beyond ASCII, lowered."""
+    terms, owner = [], []
+    for a, b in text_batches(texts, 1 << 20):
+        blobs = [t.lower().encode("utf-8", "surrogatepass") for t in texts[a:b]]
+        raw = np.frombuffer(b"\n".join(blobs) + b"\n", dtype=np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _NO_LETTER[raw], [True]]).astype(np.int8)))
+        first, last = edge[0::2], edge[1::2]
+        if not len(first):
+            continue
+        ends = np.cumsum(np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) + 1)
+        of = a + np.searchsorted(ends, first, side="right")
+        up, down = _powers(len(raw))
+        with np.errstate(over="ignore"):
+            pre = np.empty(len(raw) + 1, dtype=np.uint64)
+            pre[0] = 0
+            np.cumsum(_BYTES[raw] * up[:len(raw)], out=pre[1:])
+            long = np.flatnonzero(last - first > stem)
+            terms.append(mix64((pre[last] - pre[first]) * down[first] ^ (last - first).astype(np.uint64)))
+            terms.append(mix64((pre[first[long] + stem] - pre[first[long]]) * down[first[long]] ^ np.uint64(1 << 40)))
+        owner += [of, of[long]]
+    if not terms:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(terms), np.concatenate(owner)
+
+
 def _segment_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blank = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))

@@ -13,6 +13,7 @@ from adlens.llm.exact_dedup import exact_dedup
 from adlens.llm.fair_mix import fair_mix
 from adlens.llm.packing import pack_documents
 from adlens.llm.simple8b import read_ids, write_ids
+from adlens.llm.toxicity import toxicity_scores
 from adlens.llm.vertical_join import ngram_join
 
 
@@ -42,6 +43,10 @@ def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), epochs=3)
 
 
+def op9_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic")
+
+
 def op10_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), width=5, num=80, den=100)
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op5_cross_polytope": op5_cross_polytope,
     "op6_simple8b": op6_simple8b,
     "op8_fair_mix": op8_fair_mix,
+    "op9_toxic_neighbours": op9_toxic_neighbours,
     "op10_vertical_join": op10_vertical_join,
 }
 
