@@ -62,9 +62,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                keep: str = "min") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; of several rows
-    with the winning id and text all stay."""
-    gone = exact_dedup(df, id_col, text_col, keep).where(~F.col("kept")).select(
-        F.col(id_col).alias("_gone"), "text_sha256").distinct()
+    with the winning id and text (repeated rows) any one stays."""
+    result = save(exact_dedup(df, id_col, text_col, keep).select(F.col(id_col).alias("_id"), "kept", "text_sha256"),
+                  "exact-result")
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    hit = df[id_col].eqNullSafe(gone["_gone"]) & (sha == gone["text_sha256"])
-    return df.join(gone, hit, "left_anti")
+
+    def of(rows: DataFrame, how: str, frame: DataFrame) -> DataFrame:
+        ids = rows.select("_id", "text_sha256").distinct()
+        return frame.join(ids, frame[id_col].eqNullSafe(ids["_id"]) & (sha == ids["text_sha256"]), how)
+
+    out = of(result.where(~F.col("kept")), "left_anti", df)
+    twice = result.where("kept").groupBy("_id", "text_sha256").count().where("count > 1")
+    if twice.isEmpty():
+        return out
+    one = of(twice, "left_semi", out).withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return of(twice, "left_anti", out).unionByName(one)

@@ -11,12 +11,18 @@ from adlens.llm.common import table
 from adlens.llm.cross_polytope import nearest
 from adlens.llm.exact_dedup import exact_dedup
 from adlens.llm.fair_mix import fair_mix
+from adlens.llm.line_spread import drop_boilerplate
 from adlens.llm.packing import pack_documents
 from adlens.llm.simple8b import read_ids, write_ids
+from adlens.llm.surrogates import replace_pii
 from adlens.llm.toxicity import toxicity_scores
 from adlens.llm.vertical_join import ngram_join
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -39,6 +45,10 @@ def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "documents"), min_sites=5, min_chars=20)
+
+
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), epochs=3)
 
@@ -52,11 +62,13 @@ def op10_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_arc_to_warc": op4_arc_to_warc,
     "op5_cross_polytope": op5_cross_polytope,
     "op6_simple8b": op6_simple8b,
+    "op7_line_spread": op7_line_spread,
     "op8_fair_mix": op8_fair_mix,
     "op9_toxic_neighbours": op9_toxic_neighbours,
     "op10_vertical_join": op10_vertical_join,
@@ -76,6 +88,15 @@ ORACLE = {
                CASE WHEN n >= 100 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id <> best THEN best END AS refers_to
         FROM q""",
+    "op7_line_spread": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT row, source, unnest(string_split(text, chr(10))) AS line,
+                     generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
+        t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS core FROM l),
+        c AS (SELECT core FROM t WHERE length(core) >= 20 GROUP BY core HAVING count(DISTINCT source) >= 5)
+        SELECT d.doc_id, count(*) AS n_lines, count(c.core) AS n_removed,
+               coalesce(string_agg(t.line, chr(10) ORDER BY t.place) FILTER (c.core IS NULL), '') AS text
+        FROM d JOIN t ON t.row = d.row LEFT JOIN c ON c.core = t.core GROUP BY d.row, d.doc_id""",
     "op8_fair_mix": r"""
         WITH d AS (
           SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
