@@ -232,15 +232,15 @@ def budget_allocation(summary: DataFrame, total_daily_budget: float | None = Non
     tot_spend = summary.select(F.sum(F.col("spend").cast(MONEY)).cast("double")).scalar()
     n = summary.select(F.count(F.lit(1))).scalar()
     budget = F.lit(float(total_daily_budget)) if total_daily_budget is not None else tot_spend / days
-    cur_share = F.when(tot_spend > 0, round_half_up(F.col("spend") / tot_spend, 4)).otherwise(
-        round_half_up(F.lit(1.0) / n, 4))
-    rec_share = round_half_up(F.col("_shift") / tot_shift, 4)
-    out = b.select("*", budget.alias("total_daily_budget"), cur_share.alias("current_share"),
-                   rec_share.alias("recommended_share"))
-    out = out.select("*", round_half_up(F.col("current_share") * F.col("total_daily_budget"), 2)
-                     .alias("current_daily"),
-                     round_half_up(F.col("recommended_share") * F.col("total_daily_budget"), 2)
-                     .alias("recommended_daily"))
+    # dollars come from the exact shares; only the displayed share is rounded,
+    # so small campaigns keep their money however many there are
+    cur = F.when(tot_spend > 0, F.col("spend") / tot_spend).otherwise(F.lit(1.0) / n)
+    out = b.select("*", budget.alias("total_daily_budget"), cur.alias("_cur"),
+                   (F.col("_shift") / tot_shift).alias("_rec"))
+    out = out.select("*", round_half_up("_cur", 4).alias("current_share"),
+                     round_half_up("_rec", 4).alias("recommended_share"),
+                     round_half_up(F.col("_cur") * F.col("total_daily_budget"), 2).alias("current_daily"),
+                     round_half_up(F.col("_rec") * F.col("total_daily_budget"), 2).alias("recommended_daily"))
     return out.select(
         "campaign_id", "campaign_name", F.coalesce(F.col("roas"), F.lit(0.0)).alias("roas"),
         round_half_up("belief_mean", 4).alias("belief_mean"),
@@ -297,21 +297,20 @@ def sampled_allocation_shares(summary: DataFrame, n_samples: int = 1000, seed: i
     prior = 1.0 / (1.0 + EPS)
     b = summary.select("campaign_id", ((w * roas) / (F.lit(prior) + w)).alias("mu"),
                        (1.0 / F.sqrt(F.lit(prior) + w)).alias("sd"))
-    draws = b.select("campaign_id", "mu", "sd",
-                     F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
     # the draw is a function of (seed, campaign, sample), not of row position,
     # so a recomputed partition after an executor loss draws the same values
-    draws = draws.withColumn("x", F.col("mu") + F.col("sd") * hashed_normal(seed, F.col("campaign_id"),
-                                                                           F.col("sample")))
-    # per-sample tables have n_samples rows (a proven bound): broadcast them,
-    # so the campaigns x samples draws are never shuffled for the joins
-    per = draws.groupBy("sample").agg(F.min("x").alias("_min"))
-    d = draws.join(F.broadcast(per), "sample").withColumn(
-        "s", F.greatest(F.col("x") - F.col("_min") + 0.1, F.lit(0.1)))
-    tot = d.groupBy("sample").agg(F.sum("s").alias("_tot"))
-    d = d.join(F.broadcast(tot), "sample")
-    return d.groupBy("campaign_id").agg(
-        round_half_up(F.sum(F.col("s") / F.col("_tot")) / n_samples, 4).alias("recommended_share"))
+    draws = b.select("campaign_id", "mu", "sd", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
+    draws = draws.select("campaign_id", "sample", (F.col("mu") + F.col("sd") * hashed_normal(
+        seed, F.col("campaign_id"), F.col("sample"))).alias("x"))
+    # x - min + 0.1 is never below 0.1, so min, sum and count of one pass give
+    # every sample's minimum and total; n_samples rows (a proven bound): broadcast
+    per = draws.groupBy("sample").agg(F.min("x").alias("_min"), F.sum("x").alias("_sum"),
+                                      F.count(F.lit(1)).alias("_n"))
+    per = per.select("sample", "_min", (F.col("_sum") - F.col("_n") * (F.col("_min") - 0.1)).alias("_tot"))
+    d = draws.join(F.broadcast(per), "sample")
+    share = F.sum((F.col("x") - F.col("_min") + 0.1) / F.col("_tot")) / n_samples
+    return d.groupBy("campaign_id").agg(share.alias("share")).select(
+        "campaign_id", round_half_up("share", 4).alias("recommended_share"), "share")
 
 
 # ── M13 / W5 / A37: policy replay ────────────────────────────────────
@@ -373,23 +372,22 @@ def policy_summary(rewards: DataFrame, choices: DataFrame) -> DataFrame:
         best_arm.alias("oracle_best_arm"))
 
 
-def arm_pull_counts(choices: DataFrame, arms: list[str] | None = None) -> DataFrame:
-    """Pulls per policy and arm, zero for arms a policy never chose.
-
-    Without ``arms`` the pivot finds the distinct arms itself (one extra
-    small job; the arm set of a bandit is small by definition).
-    """
-    g = choices.groupBy("policy")
-    wide = (g.pivot("arm", arms) if arms else g.pivot("arm")).count().fillna(0)
-    arm_cols = [c for c in wide.columns if c != "policy"]
-    long = wide.unpivot(["policy"], arm_cols, "arm", "pulls")
-    return long.select("policy", "arm", F.col("pulls").cast("bigint").alias("pulls"))
+def arm_pull_counts(choices: DataFrame, rewards: DataFrame) -> DataFrame:
+    """Pulls per policy and arm; every arm that has rewards gets a row,
+    with zero if the policy never chose it."""
+    pulled = choices.groupBy("policy", "arm").agg(F.count(F.lit(1)).alias("pulls"))
+    # the arms of a bandit are few: one array, exploded per policy
+    arms = rewards.select(F.sort_array(F.collect_set("arm"))).scalar()
+    grid = choices.select("policy").distinct().select("policy", F.explode(arms).alias("arm"))
+    return grid.join(pulled, ["policy", "arm"], "left").select(
+        "policy", "arm", F.coalesce("pulls", F.lit(0)).cast("bigint").alias("pulls"))
 
 
 # ── U2: one recommendation log ───────────────────────────────────────
 
 def recommendation_log(bids: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Bid and budget-shift recommendations in one log schema (JSON detail)."""
+    """Bid and budget-shift recommendations in one log schema (JSON detail).
+    A shift is logged for the campaign that receives the money."""
     b = bids.select(
         F.col("campaign_id").cast("string").alias("campaign_id"), F.lit("bid_adjustment").alias("action_type"),
         F.to_json(F.struct(F.col("recommended_action").alias("action"),
@@ -398,8 +396,9 @@ def recommendation_log(bids: DataFrame, shifts: DataFrame) -> DataFrame:
                            F.col("expected_roas_after").alias("expected_roas"))).alias("action_detail"),
         "reasoning", "confidence")
     s = shifts.select(
-        F.col("from_campaign").cast("string").alias("campaign_id"), F.lit("budget_reallocation").alias("action_type"),
-        F.to_json(F.struct("from_campaign", "to_campaign", "amount")).alias("action_detail"),
+        F.col("to_campaign").cast("string").alias("campaign_id"), F.lit("budget_reallocation").alias("action_type"),
+        F.to_json(F.struct(F.col("from_campaign").alias("from"), F.col("to_campaign").alias("to"),
+                           "amount")).alias("action_detail"),
         "reasoning", "confidence")
     u = b.unionByName(s, allowMissingColumns=True)
     return u.select("*", F.lit("pending").alias("status"))

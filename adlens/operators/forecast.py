@@ -267,7 +267,8 @@ def with_trend_regressor(series: DataFrame, keyword_map: DataFrame, trends: Data
 
     Campaigns that share a keyword set share one regressor: the mean is
     computed per distinct set and date (a few sets x days), then joined to the
-    series on (set, date) — never campaigns x keywords x days rows.
+    series on (set, date) — never campaigns x keywords x days rows.  A
+    regressor without any value is dropped.
     """
     sets = keyword_map.groupBy(key).agg(F.array_sort(F.collect_set("keyword")).alias("kw_set"))
     set_reg = (sets.select("kw_set").distinct()
@@ -282,4 +283,6 @@ def with_trend_regressor(series: DataFrame, keyword_map: DataFrame, trends: Data
                      F.lit(True).alias("is_forecast"))
     allrows = series.withColumn("is_forecast", F.lit(False)).unionByName(fut)
     j = allrows.join(sets, key, "left").join(set_reg, ["kw_set", "date"], "left").drop("kw_set")
-    return fill_forward_backward(j, key, "search_trend")
+    out = fill_forward_backward(j, key, "search_trend")
+    # no series has a value on any day: the regressor is dropped
+    return out.drop("search_trend") if set_reg.where("search_trend is not null").isEmpty() else out

@@ -1,10 +1,10 @@
 """Competitor ad copy: M6-M9, A10, A11, A25, A26, J11, T3, W10.
 
-TF-IDF is relational: explode terms -> (doc, term, tf) -> document
-frequencies -> vocabulary (top 500 by corpus frequency, a proven broadcast
-bound) -> weights (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) -> L2 norm per
-document.  Every aggregate is partial/final, so a term that occurs in a third
-of all documents is just one more partial count per task.
+TF-IDF takes two passes over the texts: one counts document and corpus
+frequency per term (partial/final, so a term that occurs in a third of all
+documents is one more partial count per task) for the vocabulary, the top 500
+by corpus frequency; the other counts, weights
+(1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) and norms inside each row.
 """
 
 from __future__ import annotations
@@ -35,45 +35,70 @@ LABEL_KEYWORDS = {
 OTHER_LABEL = "Other"
 
 
-def term_counts(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_copy") -> DataFrame:
-    """(doc, term, tf) over the whole text of every document."""
-    d = with_terms(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text")
-    t = d.select("doc_id", F.explode("terms").alias("term"))
-    return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_statistics(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_copy") -> DataFrame:
+    """(term, df, corpus_tf) in one pass over the texts: each document gives
+    its terms and its distinct terms, counted together per term.  Counts are
+    combined before the shuffle, which is by term only."""
+    d = with_terms(docs.select(F.col(text_col).alias("_text")), "_text").select("terms")
+    both = F.array(F.struct(F.lit(False).alias("once"), F.col("terms").alias("t")),
+                   F.struct(F.lit(True).alias("once"), F.array_distinct("terms").alias("t")))
+    t = d.select(F.explode(both).alias("x")).select("x.once", F.explode("x.t").alias("term"))
+    return t.groupBy("term").agg(F.count_if("once").alias("df"), F.count_if(~F.col("once")).alias("corpus_tf"))
 
 
 def tfidf(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_copy",
-          max_features: int = MAX_FEATURES, max_df: float = MAX_DF) -> dict[str, DataFrame]:
-    """M6: returns ``weights`` (doc_id, term, weight) and ``vocabulary``
-    (term, term_index, df, corpus_tf).  min_df is 2 when there are more than
-    10 documents, else 1; terms in more than 85 % of documents are dropped."""
-    tc = term_counts(docs, id_col, text_col)
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    stats = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_tf"))
-    min_df = F.when(n_docs > 10, F.lit(2)).otherwise(F.lit(1))
-    kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= n_docs * max_df))
-    vocab = kept.orderBy(F.col("corpus_tf").desc(), F.col("term")).limit(max_features)
-    # index the (at most max_features) vocabulary terms alphabetically
-    vocab = vocab.withColumn("term_index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-    idf = F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    w = tc.join(F.broadcast(vocab.select("term", "term_index", "df")), "term")
-    w = w.select("doc_id", "term", "term_index", ((1.0 + F.ln(F.col("tf").cast("double"))) * idf).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
-    weights = w.select("doc_id", "term", "term_index", (F.col("raw") / norm).alias("weight"))
-    return {"weights": weights, "vocabulary": vocab.select("term", "term_index", "df", "corpus_tf"),
-            "n_docs": n_docs}
-
-
-def doc_vectors(weights: DataFrame, docs: DataFrame, id_col: str, n_terms: int) -> DataFrame:
-    """Dense TF-IDF vector per document (documents without vocabulary terms get
-    a zero vector, like an all-zero sparse row)."""
+          max_features: int = MAX_FEATURES, max_df: float = MAX_DF) -> dict:
+    """M6: ``vectors`` (doc_id, w: the weight of every vocabulary term, by
+    term_index), ``weights`` (doc_id, term, term_index, weight of the terms a document
+    has) and ``vocabulary`` (term, term_index, df, corpus_tf).
+
+    min_df is 2 when there are more than 10 documents, else 1; terms in more
+    than 85 % of documents are dropped.  The vocabulary (at most
+    ``max_features`` rows) comes to the driver; terms are then counted,
+    weighted and normed inside each row, with no exchange.
+    """
+    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.functions import vector_to_array
+
+    spark = docs.sparkSession
+    n_docs = docs.count()
+    least = 2 if n_docs > 10 else 1
+    stats = term_statistics(docs, id_col, text_col)
+    kept = stats.where((F.col("df") >= least) & (F.col("df") <= n_docs * max_df))
+    top = kept.orderBy(F.col("corpus_tf").desc(), F.col("term")).limit(max_features).collect()
+    rows = [(r["term"], i, r["df"], r["corpus_tf"])
+            for i, r in enumerate(sorted(top, key=lambda r: r["term"].encode("utf-8", "surrogatepass")))]
+    vocab = spark.createDataFrame(rows, "term string, term_index int, df bigint, corpus_tf bigint")
+    d = with_terms(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text")
+    if rows:
+        terms = [r[0] for r in rows]
+        model = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="_tf", minTF=1.0)
+        d = model.transform(d.select("doc_id", "terms")).select("doc_id", vector_to_array("_tf").alias("tf"))
+        idf = F.array(*[F.ln(F.lit(1.0 + n_docs) / F.lit(1.0 + r[2])) + 1.0 for r in rows])
+        raw = F.zip_with("tf", idf, lambda n, i: F.when(n > 0, (1.0 + F.ln(n)) * i).otherwise(0.0))
+        d = d.select("doc_id", raw.alias("raw"))
+        norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
+        d = d.select("doc_id", "raw", norm.alias("norm"))
+        vectors = d.select("doc_id", F.transform("raw", lambda x: F.when(
+            F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("w"))
+    else:
+        vectors = d.select("doc_id", F.array(F.lit(0.0)).alias("w"))
+    return {"vectors": vectors, "weights": term_weights(vectors, vocab), "vocabulary": vocab, "n_docs": n_docs}
+
+
+def term_weights(vectors: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(doc_id, term, term_index, weight) of the terms each document has; the
+    vocabulary has at most ``max_features`` rows (a proven bound): broadcast."""
+    # outer: no filter on the size is derived, which would repeat the whole text work below it
+    w = vectors.select("doc_id", F.posexplode_outer("w").alias("term_index", "weight")).where("weight > 0")
+    return w.join(F.broadcast(vocab.select("term", "term_index")), "term_index").select(
+        "doc_id", "term", "term_index", "weight")
+
+
+def doc_vectors(vectors: DataFrame) -> DataFrame:
+    """The weights as an ML vector per document (zero without vocabulary terms)."""
     from pyspark.ml.functions import array_to_vector
-    per = weights.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("term_index"), F.col("weight")))).alias("_m"))
-    d = docs.select(F.col(id_col).alias("doc_id")).join(per, "doc_id", "left")
-    arr = F.transform(F.sequence(F.lit(0), F.lit(max(n_terms, 1) - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return d.select("doc_id", array_to_vector(arr).alias("features"))
+    return vectors.select("doc_id", array_to_vector("w").alias("features"))
 
 
 def kmeans_clusters(vectors: DataFrame, k: int = N_CLUSTERS, restarts: int = 10, seed: int = 42):
@@ -81,6 +106,7 @@ def kmeans_clusters(vectors: DataFrame, k: int = N_CLUSTERS, restarts: int = 10,
 
     Fewer than 3 documents is an error."""
     from pyspark.ml.clustering import KMeans
+    vectors = vectors.persist()  # every restart reads them several times
     n = vectors.count()
     if n < 3:
         raise ValueError(f"Need at least 3 ads to cluster, got {n}")
@@ -91,6 +117,7 @@ def kmeans_clusters(vectors: DataFrame, k: int = N_CLUSTERS, restarts: int = 10,
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
+    vectors.unpersist()
     out = best[1].transform(vectors).select("doc_id", "cluster", "features")
     return out, best[1]
 
@@ -192,13 +219,11 @@ def analyze_ads(ads: DataFrame, k: int = N_CLUSTERS, restarts: int = 10, seed: i
     from adlens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(ads.sparkSession)
     tf = tfidf(ads)
-    # the weights feed KMeans, PCA and the per-cluster terms: compute them once
+    # the vectors feed KMeans, PCA and the per-cluster terms: compute them once
     # and keep them in the shared checkpoint folder (cuts the text lineage)
-    weights = tf["weights"].checkpoint(eager=True)
-    # every vocabulary term occurs in at least one document, so the largest
-    # index in the weights gives the vocabulary size without another pass
-    vocab_size = (weights.select(F.max("term_index")).first()[0] or 0) + 1
-    vec = doc_vectors(weights, ads, "ad_id", vocab_size).checkpoint(eager=True)
+    vectors = tf["vectors"].checkpoint(eager=True)
+    weights = term_weights(vectors, tf["vocabulary"])
+    vec = doc_vectors(vectors)
     clustered, _model = kmeans_clusters(vec, k, restarts, seed)
     clustered = clustered.checkpoint(eager=True)
     assignment = clustered.select("doc_id", "cluster")

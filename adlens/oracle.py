@@ -481,9 +481,9 @@ b14 AS (SELECT *, (w * r0) / ({_PRIOR} + w) AS bm FROM b13),
 b15 AS (SELECT *, GREATEST(bm - (SELECT MIN(bm) FROM b14) + 0.1, 0.1) AS sh FROM b14),
 tots AS (SELECT SUM(sh) AS tsh, CAST(SUM(CAST(spend AS DECIMAL(18,2))) AS DOUBLE) AS tsp, COUNT(*) AS n FROM b15),
 b16 AS (SELECT b15.*, tots.tsp / 30 AS budget,
-   CASE WHEN tots.tsp > 0 THEN {rnd('spend / tots.tsp', 4)} ELSE {rnd('1.0 / tots.n', 4)} END AS current_share,
-   {rnd('sh / tots.tsh', 4)} AS recommended_share FROM b15, tots),
-b17 AS (SELECT *, {rnd('current_share * budget', 2)} AS current_daily, {rnd('recommended_share * budget', 2)} AS recommended_daily FROM b16),
+   CASE WHEN tots.tsp > 0 THEN spend / tots.tsp ELSE 1.0 / tots.n END AS cur_exact, sh / tots.tsh AS rec_exact FROM b15, tots),
+b17 AS (SELECT *, {rnd('cur_exact', 4)} AS current_share, {rnd('rec_exact', 4)} AS recommended_share,
+   {rnd('cur_exact * budget', 2)} AS current_daily, {rnd('rec_exact * budget', 2)} AS recommended_daily FROM b16),
 alloc AS (SELECT campaign_id, campaign_name, r0 AS roas, {rnd('bm', 4)} AS belief_mean, {rnd('budget', 2)} AS total_daily_budget,
   current_share, recommended_share, current_daily, recommended_daily,
   {rnd('recommended_daily - current_daily', 2)} AS change FROM b17)"""
@@ -549,8 +549,8 @@ SELECT CAST(campaign_id AS VARCHAR) AS campaign_id, 'bid_adjustment' AS action_t
            'multiplier': recommended_multiplier, 'expected_roas': expected_roas_after}) AS action_detail,
   reasoning, confidence, 'pending' AS status FROM bids
 UNION ALL
-SELECT CAST(from_campaign AS VARCHAR) AS campaign_id, 'budget_reallocation' AS action_type,
-  to_json({'from_campaign': from_campaign, 'to_campaign': to_campaign, 'amount': amount}) AS action_detail,
+SELECT CAST(to_campaign AS VARCHAR) AS campaign_id, 'budget_reallocation' AS action_type,
+  to_json({'from': from_campaign, 'to': to_campaign, 'amount': amount}) AS action_detail,
   reasoning, confidence, 'pending' AS status FROM shifts"""
 
 _CH = f"""

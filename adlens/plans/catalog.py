@@ -299,7 +299,7 @@ def _m12s(t: Tables):
 @query("J9_sampled_allocation")
 def _j9(t: Tables):
     return DC.sampled_allocation_shares(R.campaign_summary(t.daily, t.campaigns, START, END),
-                                        n_samples=200, seed=42)
+                                        n_samples=1000, seed=42).drop("share")
 
 
 def _choices(t: Tables):
@@ -318,7 +318,7 @@ def _m13(t: Tables):
 
 @query("A37_arm_pull_counts")
 def _a37(t: Tables):
-    return DC.arm_pull_counts(_choices(t))
+    return DC.arm_pull_counts(_choices(t), t.rewards)
 
 
 @query("U2_recommendation_log")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) a scratch folder is created.
+    as is.  Only when it is unset on a local master a scratch folder is
+    created; on a cluster that is an error.
     """
     sc = spark.sparkContext
     configured = (spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="adlens-ckpt-")
     sc.setCheckpointDir(path)
     try:
@@ -57,9 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediates."""
+    """A path under the shared checkpoint folder for a written intermediate,
+    new at every call, so that runs at the same time keep apart."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    return f"{base}/{name}_{uuid.uuid4().hex[:12]}"
 
 
 def spread(df, key: str | None = None, min_partitions: int | None = None):

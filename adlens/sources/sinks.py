@@ -131,10 +131,10 @@ def merge_into_partitioned(spark: SparkSession, table_path: str, batch: DataFram
     rewriting only the partitions the batch touches (dynamic partition
     overwrite) instead of the whole table.
 
-    The touched partitions (the batch's distinct days, a calendar-bounded
-    list) are read with partition pruning, merged with
+    The touched partitions are read (a semi-join on the batch's partition
+    values, which Spark turns into dynamic partition pruning), merged with
     last-row-wins, checkpointed (so the write never reads the files it
-    replaces) and written back.  Re-running the same batch gives the same
+    replaces) and written back.  A batch whose columns are not the table's is refused.  Re-running the same batch gives the same
     partitions, so a retried job is idempotent.
     """
     from pyspark.errors import AnalysisException
@@ -143,14 +143,20 @@ def merge_into_partitioned(spark: SparkSession, table_path: str, batch: DataFram
     from adlens.sources.ingest import upsert_last_wins
     ensure_checkpoint_dir(spark)
     data_cols = [c for c in batch.columns if c != order_col]
+    # evaluated once: the days, the merge and a retried write read the same rows
+    batch = batch.checkpoint(eager=True)
     try:
         current = spark.read.parquet(table_path)
-        # the batch's days (a calendar-bounded list) prune the scan to the
-        # touched partitions only
-        touched = [r[0] for r in batch.select(partition_col).distinct().collect()]
-        current = current.where(F.col(partition_col).isin(touched)).select(*data_cols)
-    except AnalysisException:           # first write: no table yet
-        current = spark.createDataFrame([], batch.select(*data_cols).schema)
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
+        current = spark.createDataFrame([], batch.select(*data_cols).schema)  # first write
+    if set(current.columns) != set(data_cols):
+        raise ValueError(f"the batch's columns {sorted(data_cols)} are not the table's {sorted(current.columns)}")
+    # the batch's days prune the scan to the touched partitions; a join, not a
+    # list on the driver, since the partition column may have any number of values
+    touched = batch.select(partition_col).distinct()
+    current = current.join(touched, partition_col, "left_semi").select(*data_cols)
     merged = upsert_last_wins(current, batch, keys, order_col).checkpoint(eager=True)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(table_path))

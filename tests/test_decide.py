@@ -93,7 +93,7 @@ def test_policy_replay_regret(spark):
     s = DC.policy_summary(rw, ch).first()
     assert (s["total_reward"], s["oracle_total"], s["final_regret"]) == (6.0, 8.0, 2.0)
     assert s["oracle_best_arm"] == "x"
-    pulls = {(r["arm"]): r["pulls"] for r in DC.arm_pull_counts(ch, ["x", "y"]).collect()}
+    pulls = {(r["arm"]): r["pulls"] for r in DC.arm_pull_counts(ch, rw).collect()}
     assert pulls == {"x": 2, "y": 0}
 
 
