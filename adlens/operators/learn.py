@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
+from adlens.session import ensure_checkpoint_dir
 from adlens.functions.ranking import (global_row_number, global_running_sums, portable_hash,
                                       top_k_per_group)
 from adlens.functions.ratios import round_half_up
@@ -67,7 +68,10 @@ def fit_vocabulary(df: DataFrame, cat_cols: list[str], max_cardinality: int = MA
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     top = top_k_per_group(counts, "column", [F.col("n").desc(), F.col("value")], max_cardinality,
                           ["value"], buckets, name="code")
-    return top.select("column", "value", F.col("code").cast("int").alias("code"), "n")
+    # at most max_cardinality rows per column, read once per column by the
+    # transform: computed once, and kept in the shared checkpoint folder
+    ensure_checkpoint_dir(df.sparkSession)
+    return top.select("column", "value", F.col("code").cast("int").alias("code"), "n").checkpoint(eager=True)
 
 
 def transform(df: DataFrame, vocab: DataFrame, num_cols: list[str], cat_cols: list[str],

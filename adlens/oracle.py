@@ -102,6 +102,8 @@ def with_views(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"
 
 
+# the whole period of the stored metrics
+_ALL = "(SELECT MIN(date) FROM v_daily) AND (SELECT MAX(date) FROM v_daily)"
 DR = ("DATE '2024-01-01'", "DATE '2024-01-30'")
 
 ORACLE: dict[str, str] = {}
@@ -183,7 +185,7 @@ FROM f JOIN v_campaigns c ON f.campaign_id = c.campaign_id"""
 
 ORACLE["A8_platform_share"] = with_views(V_CAMPAIGNS, V_DAILY) + f"""
 , per AS (SELECT c.platform, {msum('d.spend')} AS spend FROM v_daily d JOIN v_campaigns c
-          ON d.campaign_id = c.campaign_id WHERE d.date BETWEEN {_S} AND {_E} GROUP BY c.platform),
+          ON d.campaign_id = c.campaign_id WHERE d.date BETWEEN {_ALL} GROUP BY c.platform),
 tot AS (SELECT *, CAST(SUM(CAST(spend AS DECIMAL(18,2))) OVER () AS DOUBLE) AS total FROM per)
 SELECT upper(substr(platform, 1, 1)) || lower(substr(platform, 2)) AS platform_label, platform, spend,
   CASE WHEN total > 0 THEN {rnd('spend / total * 100', 4)} ELSE 0.0 END AS share_pct FROM tot"""
@@ -469,7 +471,7 @@ _A6 = f"""
 , per6 AS (
   SELECT campaign_id, {csum('impressions')} AS impressions, {csum('clicks')} AS clicks,
     {msum('spend')} AS spend, {csum('conversions')} AS conversions, {msum('revenue')} AS revenue
-  FROM v_daily WHERE date BETWEEN {_S} AND {_E} GROUP BY campaign_id),
+  FROM v_daily WHERE date BETWEEN {_ALL} GROUP BY campaign_id),
 a6 AS (SELECT p.campaign_id, c.campaign_name, c.platform, spend, revenue,
   {ratio_null('revenue', 'spend', 2)} AS roas
   FROM per6 p JOIN v_campaigns c ON p.campaign_id = c.campaign_id)"""
@@ -480,7 +482,7 @@ b13 AS (SELECT *, 30.0 / ((r0 * 0.2 + 0.1) * (r0 * 0.2 + 0.1) + {_EPS}) AS w FRO
 b14 AS (SELECT *, (w * r0) / ({_PRIOR} + w) AS bm FROM b13),
 b15 AS (SELECT *, GREATEST(bm - (SELECT MIN(bm) FROM b14) + 0.1, 0.1) AS sh FROM b14),
 tots AS (SELECT SUM(sh) AS tsh, CAST(SUM(CAST(spend AS DECIMAL(18,2))) AS DOUBLE) AS tsp, COUNT(*) AS n FROM b15),
-b16 AS (SELECT b15.*, tots.tsp / 30 AS budget,
+b16 AS (SELECT b15.*, tots.tsp / (SELECT date_diff('day', MIN(date), MAX(date)) + 1 FROM v_daily) AS budget,
    CASE WHEN tots.tsp > 0 THEN spend / tots.tsp ELSE 1.0 / tots.n END AS cur_exact, sh / tots.tsh AS rec_exact FROM b15, tots),
 b17 AS (SELECT *, {rnd('cur_exact', 4)} AS current_share, {rnd('rec_exact', 4)} AS recommended_share,
    {rnd('cur_exact * budget', 2)} AS current_daily, {rnd('rec_exact * budget', 2)} AS recommended_daily FROM b16),
@@ -555,7 +557,7 @@ SELECT CAST(to_campaign AS VARCHAR) AS campaign_id, 'budget_reallocation' AS act
 
 _CH = f"""
 , per6 AS (SELECT campaign_id, {msum('spend')} AS spend, {msum('revenue')} AS revenue
-  FROM v_daily WHERE date BETWEEN {_S} AND {_E} GROUP BY campaign_id),
+  FROM v_daily WHERE date BETWEEN {_ALL} GROUP BY campaign_id),
 ch AS (SELECT c.platform, {msum('p.spend')} AS spend, {msum('p.revenue')} AS revenue
   FROM per6 p JOIN v_campaigns c ON p.campaign_id = c.campaign_id GROUP BY c.platform),
 a6 AS (SELECT platform AS campaign_id, platform AS campaign_name, spend, revenue,
@@ -876,7 +878,9 @@ def _lin_for(views: str, source: str, keys: str) -> str:
 
 
 ORACLE["S13_store_forecasts"] = _lin_for(
-    with_views(V_DAILY, V_FORECASTS) + ", clk AS (SELECT campaign_id, date, 'clicks' AS metric, CAST(clicks AS DOUBLE) AS value FROM v_daily)",
+    with_views(V_DAILY, V_FORECASTS) + """, clk AS (SELECT campaign_id, date, metric, value FROM (SELECT campaign_id, date, CAST(clicks AS DOUBLE) AS clicks,
+      CAST(conversions AS DOUBLE) AS conversions, CAST(spend AS DOUBLE) AS spend, CAST(revenue AS DOUBLE) AS revenue FROM v_daily)
+    UNPIVOT (value FOR metric IN (clicks, conversions, spend, revenue)))""",
     "clk", "campaign_id, metric") + """
 , newf AS (SELECT CAST(campaign_id AS BIGINT) AS campaign_id, date AS forecast_date, metric, predicted AS predicted_value,
              lower AS lower_bound, upper AS upper_bound FROM forecast WHERE is_forecast),

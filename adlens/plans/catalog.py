@@ -8,18 +8,27 @@ the tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adlens.operators import reports as R
 from adlens.sources.tables import Tables
 
-START, END = "2024-01-01", "2024-01-30"     # the whole events period
+START, END = "2024-01-01", "2024-01-30"     # A2-A6: the range is a parameter of the report
 RECENT_START = "2024-01-16"                 # A3: last 15 days vs the 15 before
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def _period(t: Tables) -> tuple[str, str, int]:
+    """First day, last day and number of days of the stored metrics (A1)."""
+    r = t.daily.agg(F.min("date"), F.max("date")).first()
+    first, last = r[0] or date(1970, 1, 1), r[1] or date(1970, 1, 1)
+    return str(first), str(last), (last - first).days + 1
+
+
 def query(name: str):
     def deco(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir, _fn=fn: _fn(Tables(spark, sf_dir))
@@ -72,7 +81,7 @@ def _a7(t: Tables):
 
 @query("A8_platform_share")
 def _a8(t: Tables):
-    return R.platform_share(t.daily, t.campaigns, START, END)
+    return R.platform_share(t.daily, t.campaigns, *_period(t)[:2])
 
 
 @query("A9_ad_counts")
@@ -278,7 +287,8 @@ def _t4(t: Tables):
 
 
 def _allocation(t: Tables):
-    return DC.budget_allocation(R.campaign_summary(t.daily, t.campaigns, START, END), days=30)
+    first, last, days = _period(t)
+    return DC.budget_allocation(R.campaign_summary(t.daily, t.campaigns, first, last), days=days)
 
 
 @query("M12_budget_allocation")
@@ -298,7 +308,7 @@ def _m12s(t: Tables):
 
 @query("J9_sampled_allocation")
 def _j9(t: Tables):
-    return DC.sampled_allocation_shares(R.campaign_summary(t.daily, t.campaigns, START, END),
+    return DC.sampled_allocation_shares(R.campaign_summary(t.daily, t.campaigns, *_period(t)[:2]),
                                         n_samples=1000, seed=42).drop("share")
 
 
@@ -327,7 +337,8 @@ def _u2(t: Tables):
 
 
 def _channel_allocation(t: Tables):
-    return DC.budget_allocation(R.channel_summary(t.daily, t.campaigns, START, END), days=30)
+    first, last, days = _period(t)
+    return DC.budget_allocation(R.channel_summary(t.daily, t.campaigns, first, last), days=days)
 
 
 @query("M12_channel_allocation")
@@ -462,11 +473,18 @@ def _a23(t: Tables):
     return L.calibration(t.scored)
 
 
+_MODELS: dict[tuple[str, str], tuple] = {}
+
+
 def _gbt(t: Tables):
-    s = _split(t)
-    x = L.transform(s, _vocab(t, s), CLICK_NUM, CLICK_CAT, keep=CLICK_KEYS + ["label", "split"])
-    model = L.train_gbt(x.where(F.col("split") != "test"), CLICK_NUM + CLICK_CAT, max_iter=30, max_depth=4)
-    return model, x
+    """The click model and its transformed rows, trained once per application
+    and input (four queries use it)."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _MODELS:
+        s = _split(t)
+        x = L.transform(s, _vocab(t, s), CLICK_NUM, CLICK_CAT, keep=CLICK_KEYS + ["label", "split"])
+        _MODELS[key] = L.train_gbt(x.where(F.col("split") != "test"), CLICK_NUM + CLICK_CAT), x
+    return _MODELS[key]
 
 
 @query("M4_ctr_predictions")
@@ -552,7 +570,7 @@ def _a11(t: Tables):
 
 
 def _analysis(t: Tables):
-    return TX.analyze_ads(t.ads, k=5, restarts=3, seed=42)
+    return TX.analyze_ads(t.ads, k=5, restarts=10, seed=42)
 
 
 @query("M7_kmeans_clusters")
@@ -674,7 +692,7 @@ def _s12(t: Tables):
 
 @query("S13_store_forecasts")
 def _s13(t: Tables):
-    series = FC.metric_series(t.daily, ["clicks"])
+    series = FC.metric_series(t.daily)
     fc = FC.linear_weekly(series, ["campaign_id", "metric"])["forecast"]
     return SK.store_forecasts(t.forecasts, fc)
 
@@ -804,7 +822,7 @@ def _t6(t: Tables):
 
 @query("F3_parse_multiple")
 def _f3(t: Tables):
-    s = R.campaign_summary(t.daily, t.campaigns, START, END)
+    s = R.campaign_summary(t.daily, t.campaigns, *_period(t)[:2])
     txt = s.select("campaign_id", FMT.multiple("roas", 1).alias("roas_text"))
     return txt.select("campaign_id", "roas_text", FMT.parse_multiple("roas_text").alias("roas_value"))
 
