@@ -236,8 +236,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     short = save(short.select("cid", "v"), "ann-short")
     if not short.isEmpty():
         blocks = max(1, math.ceil(n / CELL_BLOCK))
-        every_block = short.select(F.lit(-1).alias("tab"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast(
-            "bigint").alias("cell"), F.lit(0).alias("kind"), "cid", "v")
+        every_block = short.select(F.lit(-1).alias("tab"), F.explode(F.expr(
+            f"sequence(0L, {blocks - 1}L)")).alias("cell"), F.lit(0).alias("kind"), "cid", "v")
         dealt = classes.select(F.lit(-1).alias("tab"), F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("cell"),
                                F.lit(1).alias("kind"), "cid", "v")
         scan = merged(_search(save(every_block.unionByName(dealt), "ann-scan"), dim, few))

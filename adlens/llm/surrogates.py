@@ -38,7 +38,7 @@ SYLLABLES = {
     "greek": "βα γε δα κο λα λε μα μι να νο ρα ρε ρο σα σο τα τε το".split(),
 }
 _POOL = {n.casefold(): group for group, names in GIVEN.items() for n in names}
-_NAMES = "|".join(re.escape(n) for names in GIVEN.values() for n in names)
+_NAMES = "|".join(re.escape(x) for names in GIVEN.values() for n in names for x in (n, n.upper()))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERN = re.compile(
     r"(?P<email>[^\W_][\w.%+-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,})"
@@ -106,8 +106,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     d = _Draws(key, kind, value, attempt)
     if kind == "given":
         pool = sorted(GIVEN[_POOL[value]], key=lambda n: hmac.new(key, n.encode(), hashlib.sha256).digest())
-        names = [n.casefold() for n in pool]  # one keyed cycle: distinct, and never the name itself
-        return names[(names.index(value) + 1) % len(names)]
+        at = [n.casefold() for n in pool].index(value)  # one keyed cycle: distinct, and never the name itself
+        return pool[(at + 1) % len(pool)]
     if kind == "surname":
         syllables = SYLLABLES[_script(value)]
         return "".join(syllables[d.below(len(syllables))] for _ in range(max(3, (len(value) + 1) // 2 + attempt // 4)))
