@@ -27,21 +27,22 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlens.llm.common import join_salted, run_path, save
+from adlens.llm.common import join_salted, one_each, run_path, save
 
 #: Number of fields after the URL, by version.
 FIELDS = {1: 4, 2: 9}
 NAMES = {1: "URL IP-address Archive-date Content-type Archive-length",
          2: ("URL IP-address Archive-date Content-type Result-code Checksum Location Offset "
              "Filename Archive-length")}
-ITEM = "X-Archive-Item"
+#: HTTP header with a page's id, and WARC field with the length of the payload a revisit leaves out.
+ITEM, LENGTH = "X-Archive-Item", "X-Payload-Length"
 CHUNK = 1 << 20
 
 
 def _create(path: str):
     filesystem, name = pafs.FileSystem.from_uri(path)
     filesystem.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    return filesystem.open_output_stream(name)
+    return filesystem.open_output_stream(name, compression=None)
 
 
 def _member(data: bytes) -> bytes:
@@ -50,7 +51,7 @@ def _member(data: bytes) -> bytes:
 
 def _open(path: str):
     filesystem, name = pafs.FileSystem.from_uri(path)
-    return io.BufferedReader(gzip.GzipFile(fileobj=filesystem.open_input_stream(name)), CHUNK)
+    return io.BufferedReader(gzip.GzipFile(fileobj=filesystem.open_input_stream(name, compression=None)), CHUNK)
 
 
 # --- ARC ------------------------------------------------------------------
@@ -264,7 +265,7 @@ def arc_index(files: DataFrame) -> DataFrame:
     kinds = pa.schema([("path", pa.string()), ("position", pa.int64()), ("item", pa.int64()),
                        ("rid", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()),
                        ("kind", pa.string())])
-    return files.select("path").repartition(F.col("path")).mapInArrow(read, schema)
+    return one_each(files, "path").mapInArrow(read, schema)
 
 
 def convert_arc(files: DataFrame, least: int = 100) -> DataFrame:
@@ -289,7 +290,7 @@ def convert_arc(files: DataFrame, least: int = 100) -> DataFrame:
         "path", "position", "origin")
     # a converting task reads its file's name from a marker row and then its revisits
     marks = files.select("path", F.lit(-1).cast("bigint").alias("position"), F.lit(None).cast("string").alias("origin"))
-    jobs = marks.unionByName(hits).repartition("path").sortWithinPartitions("path", "position")
+    jobs = marks.unionByName(hits).repartition(max(1, files.count()), "path").sortWithinPartitions("path", "position")
     folder = run_path(spark, "warc")
 
     def convert(batches):
@@ -318,7 +319,7 @@ def convert_arc(files: DataFrame, least: int = 100) -> DataFrame:
                     if held is not None and held[0] == source and held[1] == position:
                         kind, block = "revisit", http
                         extra = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                                 ("WARC-Refers-To", f"<{held[2]}>")]
+                                 ("WARC-Refers-To", f"<{held[2]}>"), (LENGTH, str(len(payload)))]
                         held = next(todo, None)
                     data = warc_record(kind, head, rid, block, digest, extra)
                 out.write(_member(data))
@@ -336,8 +337,8 @@ def read_warc(files: DataFrame) -> DataFrame:
     record_type, payload_bytes, payload_digest (bare), refers_rid.
 
     The digest of a record with its payload is computed from the payload and
-    must equal the header's; a revisit has the full payload's digest in its
-    header and the length in the HTTP header it keeps."""
+    must equal the header's; a revisit has the full payload's digest and
+    length in its header."""
     schema = ("item long, rid string, record_type string, payload_bytes long, payload_digest string, "
               "refers_rid string")
     kinds = pa.schema([("item", pa.int64()), ("rid", pa.string()), ("record_type", pa.string()),
@@ -355,7 +356,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                     http = block if kind == "revisit" else split_http({}, block)[1] if kind == "response" else b""
                     stated, item = h["warc-payload-digest"].removeprefix("sha256:"), _item(http)
                     if kind == "revisit":
-                        size = int(re.search(rb"(?mi)^Content-Length:\s*(\d+)", http)[1])
+                        size = int(h[LENGTH.lower()])
                     else:
                         payload = block[len(http):]
                         size = len(payload)
@@ -371,7 +372,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return files.select("path").repartition(F.col("path")).mapInArrow(read, schema)
+    return one_each(files, "path").mapInArrow(read, schema)
 
 
 def archive_pages(pages: DataFrame, item_col: str = "page_id", url_col: str = "url",

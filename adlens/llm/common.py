@@ -45,6 +45,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_each(files: DataFrame, *cols: str) -> DataFrame:
+    """The rows of a small table of files, one per task.  (The number is
+    given, since adaptive coalescing would see a few bytes and put all files into one task.)"""
+    return files.select(*cols).repartition(max(1, files.count()))
+
+
 def join_salted(left: DataFrame, right: DataFrame, key: str, spread, how: str = "left",
                 salts: int = 32) -> DataFrame:
     """Equi-join on ``key`` where ``left`` may have hot keys and ``right`` has
