@@ -24,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.llm.common import run_path, save, text_batches, tokenizer
+from adlens.llm.common import one_each, run_path, save, text_batches, tokenizer
 
 COUNT = np.array([1, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 WIDTH = np.array([60, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -34,8 +34,13 @@ _PAD = int(COUNT.max()) - 1
 _TAIL = 6 * 8 + len(MAGIC)
 
 
+_SMALL = np.array([x.bit_length() for x in range(1 << 16)], dtype=np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bit length of each value."""
+    if not len(values) or values.max() < len(_SMALL):
+        return _SMALL[values.astype(np.int64)]
     out = np.zeros(values.shape, dtype=np.uint8)
     v = values.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -130,7 +135,7 @@ class ShardWriter:
     def __init__(self, path: str):
         filesystem, name = pafs.FileSystem.from_uri(path)
         filesystem.create_dir(name.rsplit("/", 1)[0], recursive=True)
-        self.out = filesystem.open_output_stream(name)
+        self.out = filesystem.open_output_stream(name, compression=None)
         self.out.write(MAGIC)
         self.rest = np.zeros(0, dtype=np.uint64)
         self.offsets, self.raw, self.docs, self.nulls, self.lengths = [], [], [], [], []
@@ -149,8 +154,8 @@ class ShardWriter:
         self.lengths.append(np.asarray(lengths, dtype=np.int64))
         ids = np.concatenate([self.rest, ids.astype(np.uint64)])
         whole = len(ids) // BLOCK * BLOCK
-        for at in range(0, whole, BLOCK * 4096):
-            self._put(ids[at:min(whole, at + BLOCK * 4096)])
+        for at in range(0, whole, BLOCK * 1024):
+            self._put(ids[at:min(whole, at + BLOCK * 1024)])
         self.rest = ids[whole:]
 
     def close(self) -> tuple[int, int]:
@@ -251,7 +256,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, end_id: int | None, id_col: st
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for a, b in text_batches(texts, 8_000_000):
+                for a, b in text_batches(texts, 4_000_000):
                     if out is None:
                         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.s8b"
                         out = ShardWriter(name)
@@ -295,6 +300,5 @@ def read_ids(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
             pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
             names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("path", "base").repartition(F.col("path"))
-    out = files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = one_each(manifest, "path", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("doc_id", id_col)
