@@ -13,27 +13,41 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     component (nodes are longs; links with a null or to itself are ignored).
 
     Large-star and small-star steps alternate: every node's neighbours are
-    moved to its smallest neighbour until each component is a star.  A hub's
-    links are dealt over salted keys; each round is written to the shared
-    folder, and only a count and a checksum come to the driver.
+    moved to its smallest neighbour until each component is a star, that is,
+    until no node is both a centre and a neighbour of one.  A hub's links are
+    dealt over salted keys; each round is written to the shared folder, and
+    only the number of such nodes comes to the driver.
     """
-    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = save(e, "links")
-    before = None
+    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
     while True:
+        roles = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")),
+                                           F.struct(F.col("v").alias("node"), F.lit(None).cast("bigint").alias("to")))).alias("x")).select("x.*")
+        roles = roles.groupBy("node").agg(F.min("to").alias("lo"), F.max("to").alias("hi"),
+                                          F.max(F.col("to").isNull()).alias("centre"))
+        if roles.where("lo < hi or (centre and lo is not null)").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = join_salted(both, least, "u", ["v"], "inner").where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = save(large, "large-star")
+            F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.groupBy("u", "v").agg(F.count(F.lit(1))).select("u", "v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = join_salted(large, least, "u", ["v"], "inner")
-        small = moved.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where(
-            "u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = save(small, "small-star")
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
+        moved = join_salted(large, least, "u", ["v"], "inner").where("v > m").select(
+            F.col("v").alias("u"), F.col("m").alias("v"))
+        e = save(moved.unionByName(least.select("u", F.col("m").alias("v"))), "small-star")
+    one = e.groupBy("u").agg(F.min("v").alias("v"))
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return one.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def near_labels(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of nodes with a link: the smallest neighbour's smallest
+    neighbour (or the node itself).  Nodes with the same root are in one component; nodes
+    of one component may have several roots.  Two aggregations and one join, where
+    ``components`` takes several rounds."""
+    both = links.select(F.explode(F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("to")),
+                                          F.struct(F.col(b).alias("node"), F.col(a).alias("to")))).alias("x")).select("x.*")
+    least = save(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root")),
+                 "near-labels")
+    jump = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return join_salted(least, jump, "root", ["node"], "left").select("node", F.coalesce("next", "root").alias("root"))

@@ -5,15 +5,17 @@ hold last (by their count).  Two sets that overlap enough share an n-gram in
 their prefixes of that order, so only prefixes are shuffled to find candidate pairs.
 A pair is then counted by fragments: the order is cut into ranges, each
 candidate's set is cut at the same places, the overlap inside each fragment is
-counted on its own, and the partial counts are summed per pair.
+counted on its own, and the partial counts are summed per pair.  Before that,
+the sizes of many small fragments bound the overlap (it is at most the sum of the smaller
+sizes), which settles most pairs that only share a passage without their sets.
 
 Equal sets are one class, so copies are never paired.  Classes that share a
 prefix n-gram are first paired with one of them only (a star per n-gram), which
 joins large groups of near copies with a number of pairs in proportion to the
-prefixes; after each such round the pairs inside one component need no count
-any more.  What is left, pairs of classes of different components that
-share a prefix n-gram, is then paired in full, so no link between components
-is lost and the components are exact.
+prefixes; after each such round pairs that the links found already join (two
+classes around the same one) need no count any more.  What is left of the pairs
+that share a prefix n-gram is then counted in full, so no link between
+components is lost and the components are exact.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.llm.common import join_salted, save, shingle_sets, text_batches
-from adlens.llm.graph import components
+from adlens.llm.graph import components, near_labels
 
 #: Entries of the broadcast list of frequent n-grams, and of bits in the
 #: filter of candidate documents (both bounds hold whatever the data).
@@ -55,23 +57,39 @@ def _class_key(s: np.ndarray, seed: int) -> tuple[int, int]:
     return tuple(np.frombuffer(d, dtype="<i8").tolist())
 
 
+def _profile(s: np.ndarray) -> list[int]:
+    """Number of n-grams in each of 2**k equal ranges of the hash, two to four
+    in each (eight ranges at least)."""
+    k = max(3, (len(s) // 2).bit_length() - 1)
+    return np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).tolist()
+
+
+def _most_shared(a: str, b: str):
+    """Upper bound of the overlap of two sets from their profiles; the longer
+    profile is folded to the length of the shorter."""
+    fold = ("case when size({x}) > size({y}) then transform({y}, (_, i) -> aggregate(slice({x}, "
+            "int(i * (size({x}) div size({y})) + 1), int(size({x}) div size({y}))), 0, (t, v) -> t + v)) else {x} end")
+    return F.expr(f"aggregate(zip_with({fold.format(x=a, y=b)}, {fold.format(x=b, y=a)}, (x, y) -> least(x, y)), "
+                  "0L, (t, v) -> t + v)")
+
+
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def _class_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """Rows (id, n, k1, k2) per document, and rows (token, count) of n-grams
-    that a batch of a task holds more than once."""
+    """Rows (id, n, k1, k2, profile) per document, and rows (token, count) of
+    n-grams that a batch of a task holds more than once."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        ("token", pa.int64()), ("count", pa.int64())])
+                        ("profile", pa.list_(pa.int32())), ("token", pa.int64()), ("count", pa.int64())])
 
     def tokens(held):
         t, c = np.unique(np.concatenate(held), return_counts=True)
         t, c = t[c > 1], c[c > 1]
         none = pa.nulls(len(t), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
+            [none, none, none, none, pa.nulls(len(t), pa.list_(pa.int32())), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
 
     def run(batches):
         held, size = [], 0
@@ -81,16 +99,17 @@ def _class_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                 pa.array([_profile(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
                  none, none], schema=schema)
             held += sets
             size += sum(map(len, sets))
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield tokens(held)
                 held, size = [], 0
         if held:
             yield tokens(held)
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, token long, count long")
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, profile array<int>, token long, count long")
 
 
 def _frequent(counts: DataFrame, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -172,9 +191,9 @@ def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _segments(docs: DataFrame, width: int, seed: int, frequent, id_filter, fragments: int) -> DataFrame:
-    """(cls, frag, tokens) of the documents that pass the filter: fragments
+    """(id, cls, frag, tokens) of the documents that pass the filter: fragments
     0.. are equal ranges of the hash, the last holds the frequent n-grams."""
-    schema = pa.schema([("cls", pa.int64()), ("frag", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("frag", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         (tokens, counts), (words, bits) = frequent.value, id_filter.value
@@ -188,9 +207,9 @@ def _segments(docs: DataFrame, width: int, seed: int, frequent, id_filter, fragm
                 keep &= (words[p // 32] >> (p % 32)) & 1 == 1
             return keep | null
 
-        for _, sets in _sets(batches, width, wanted):
-            cls, frag, parts = [], [], []
-            for s in sets:
+        for ids, sets in _sets(batches, width, wanted):
+            doc, cls, frag, parts = [], [], [], []
+            for i, s in zip(ids, sets):
                 if not len(s):
                     continue
                 key = _class_key(s, seed)[0]
@@ -199,6 +218,7 @@ def _segments(docs: DataFrame, width: int, seed: int, frequent, id_filter, fragm
                 cuts = np.searchsorted(rare, np.arange(1, fragments, dtype=np.uint64) * np.uint64((1 << 64) // fragments))
                 for f, part in enumerate([*np.split(rare, cuts), s[often]]):
                     if len(part):
+                        doc.append(i)
                         cls.append(key)
                         frag.append(f)
                         parts.append(part)
@@ -206,17 +226,19 @@ def _segments(docs: DataFrame, width: int, seed: int, frequent, id_filter, fragm
                 flat = np.concatenate(parts).view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(cls, pa.int64()), pa.array(frag, pa.int32()),
+                    pa.array(doc, pa.int64()), pa.array(cls, pa.int64()), pa.array(frag, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
 
-    return docs.mapInArrow(run, "cls long, frag int, tokens array<long>").dropDuplicates(["cls", "frag"])
+    return docs.mapInArrow(run, "id long, cls long, frag int, tokens array<long>")
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-               num: int = 80, den: int = 100, fragments: int = 8, rounds: int = 3) -> DataFrame:
+               num: int = 80, den: int = 100, fragments: int = 4, rounds: int = 4, few: int = 16) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id that
     links reach).  Two documents link when den * |A and B| >= num * |A or B|
-    of their sets of distinct ``width``-word shingles.
+    of their sets of distinct ``width``-word shingles.  Stars go on for at most ``rounds``
+    rounds, or until the n-grams still shared across what is joined have ``few`` classes
+    each (in the mean over their entries); then all their pairs are counted.
 
     Null and empty texts have no shingle and link with nothing.  Null ids
     take part; a component of null ids only has a null id.  Repeated rows are
@@ -227,8 +249,10 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     docs = _documents(df, id_col, text_col)
     for seed in range(8):
         both = save(_class_rows(docs, width, seed), "join-classes")
-        sets = both.where("n is not null").select("id", "n", "k1", "k2")
-        classes = save(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "join-reps")
+        rows = both.where("n is not null")
+        sets = rows.select("id", "n", "k1", "k2")
+        classes = save(rows.where("n > 0").groupBy("k1", "k2").agg(
+            F.min("id").alias("rep"), F.first("profile").alias("profile")), "join-reps")
         # the first 64 bits stand for the class from here on, if they are unique
         if classes.groupBy("k1").count().where("count > 1").isEmpty():
             break
@@ -250,22 +274,39 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return rows.where("cls <> other").where(close).select(*ordered, *sizes).distinct()
 
     def count_links(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct().join(classes, "k1")
-        id_filter = spark.sparkContext.broadcast(_filter_of(named.select(F.col("rep").alias("id"))))
+        of = classes.select("k1", "rep", "profile")
+        pairs = pairs.join(of.toDF("a", "rep_a", "profile_a"), "a").join(of.toDF("b", "rep_b", "profile_b"), "b")
+        pairs = save(pairs.where((num + den) * _most_shared("profile_a", "profile_b") >= num * (F.col("na") + F.col("nb")))
+                     .drop("profile_a", "profile_b"), "join-bounded")
+        ids = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
+        id_filter = spark.sparkContext.broadcast(_filter_of(ids))
         parts = save(_segments(docs, width, seed, frequent, id_filter, fragments), "join-segments")
-        left = parts.select(F.col("cls").alias("a"), "frag", F.col("tokens").alias("ta"))
-        right = parts.select(F.col("cls").alias("b"), "frag", F.col("tokens").alias("tb"))
-        overlap = pairs.join(left, "a").join(right, ["b", "frag"]).select(
-            "a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("shared"))
-        total = overlap.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+        by_part = pairs.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(fragments))))
+        left = parts.select(F.col("cls").alias("a"), F.col("id").alias("rep_a"), "frag", F.col("tokens").alias("ta"))
+        right = parts.select(F.col("cls").alias("b"), F.col("id").alias("rep_b"), "frag", F.col("tokens").alias("tb"))
+        meet = by_part.join(left, (by_part["a"] == left["a"]) & (by_part["frag"] == left["frag"])
+                            & by_part["rep_a"].eqNullSafe(left["rep_a"])).select(by_part["*"], "ta")
+        meet = meet.join(right, (meet["b"] == right["b"]) & (meet["frag"] == right["frag"])
+                         & meet["rep_b"].eqNullSafe(right["rep_b"])).select(meet["*"], "tb")
+        # a repeated row gives its fragments again: a set, of at most one count per fragment
+        partial = meet.select("a", "b", "na", "nb", F.struct(
+            "frag", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("shared")).alias("part"))
+        total = partial.groupBy("a", "b", "na", "nb").agg(F.collect_set("part").alias("parts")).withColumn(
+            "shared", F.aggregate("parts", F.lit(0).cast("bigint"), lambda t, x: t + x["shared"]))
         union = F.col("na") + F.col("nb") - F.col("shared")
         return total.where(den * F.col("shared") >= num * union).select("a", "b")
 
     pairs = save(as_pairs(postings.select("cls", "n", F.col("anchor.cls").alias("other"),
                                           F.col("anchor.n").alias("other_n"))), "join-pairs")
     links = save(count_links(pairs), "join-links")
-    tried, label = pairs, components(links)
-    live = postings.drop("anchor")
+    tried, label = pairs, near_labels(links)
+    # Of a pair, the set whose prefix ends first in the order has every shared
+    # prefix n-gram inside both prefixes; those that no other prefix holds are not
+    # shared, so the overlap is at most its ``reach``, or the larger of both.
+    held = postings.groupBy("cls").agg(F.count(F.lit(1)).alias("held"))
+    prefix = F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1
+    live = save(postings.drop("anchor").join(held, "cls").withColumn(
+        "reach", F.col("n") - prefix + F.col("held")).drop("held"), "join-reach")
     for step in range(rounds):
         named = live.drop("comp").join(label.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
             "comp", F.coalesce("root", "cls")).drop("root")
@@ -273,23 +314,30 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         live = save(named.join(mixed.select("token"), "token", "left_semi"), "join-live")
         if live.isEmpty():
             break
-        if step < rounds - 1:  # another star, around a class drawn for each n-gram
+        load = live.groupBy("token").count().agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
+        last = step == rounds - 1 or load[0] <= few * load[1]
+        if not last:  # another star, around a class drawn for each n-gram
             order = run.orderBy(F.xxhash64(F.lit(step), "token", "cls"), "cls")
-            found = live.withColumn("x", F.first(F.struct("cls", "n", "comp")).over(order)).where("comp <> x.comp")
-            found = found.select("cls", "n", F.col("x.cls").alias("other"), F.col("x.n").alias("other_n"))
+            found = live.withColumn("x", F.first(F.struct("cls", "n", "comp", "reach")).over(order)).where("comp <> x.comp")
+            found = found.where((num + den) * F.greatest("reach", "x.reach") >= num * (F.col("n") + F.col("x.n"))).select(
+                "cls", "n", F.col("x.cls").alias("other"), F.col("x.n").alias("other_n"))
         else:  # all pairs that are left
             right = live.select("token", F.col("cls").alias("other"), F.col("n").alias("other_n"),
-                                F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"))
-            most = F.least("pos", "other_pos") + 1 + F.least(F.col("n") - F.col("pos") - 1,
-                                                             F.col("other_n") - F.col("other_pos") - 1)
+                                F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"),
+                                F.col("reach").alias("other_reach"))
+            most = F.least(F.least("pos", "other_pos") + 1 + F.least(
+                F.col("n") - F.col("pos") - 1, F.col("other_n") - F.col("other_pos") - 1), F.greatest("reach", "other_reach"))
             enough = (num + den) * most >= num * (F.col("n") + F.col("other_n"))
             found = live.join(right, "token").where((F.col("cls") < F.col("other")) & (
                 F.col("comp") != F.col("other_comp")) & enough)
         new = save(as_pairs(found).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
-        if new.isEmpty():
-            continue
-        links = links.unionByName(save(count_links(new), "join-links"))
-        tried, label = tried.unionByName(new), components(links)
+        if not new.isEmpty():
+            links = links.unionByName(save(count_links(new), "join-links"))
+            tried = tried.unionByName(new)
+        if last:
+            break
+        label = near_labels(links)
+    label = components(links)
 
     named = classes.select(F.col("k1").alias("node"), "rep").join(label, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
