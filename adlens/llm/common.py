@@ -117,7 +117,7 @@ class ChunkTokenizer:
     ones in segments cut where a letter, one space and a letter meet.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -230,9 +230,11 @@ _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
-    """One tokenizer per Python worker and file."""
+    """One tokenizer per Python worker and file.  Spark uses a worker again
+    for other operators, so what these keep is let go here, and the tokenizer there."""
     if path not in _TOKENIZERS:
         _TOKENIZERS.clear()
+        _POWERS.clear()
         _TOKENIZERS[path] = ChunkTokenizer(path)
     return _TOKENIZERS[path]
 
@@ -263,6 +265,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(1 << 16, 1 << (n - 1).bit_length()) if n else 1 << 16
     if size not in _POWERS:
         _POWERS.clear()
+        _TOKENIZERS.clear()
         with np.errstate(over="ignore"):
             up = np.full(size, np.uint64(_BASE))
             up[0] = 1

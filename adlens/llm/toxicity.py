@@ -163,7 +163,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 texts, y = part.column(0).to_pylist(), part.column(1).to_numpy()
-                for a, b in text_batches(texts, 4_000_000):
+                for a, b in text_batches(texts, 2_000_000):
                     hashes, owner = letter_terms(texts[a:b], stem)
                     order = np.lexsort((owner, hashes))
                     h, o = hashes[order], owner[order]
@@ -219,7 +219,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 texts = part.column(1).to_pylist()
-                for a, b in text_batches(texts, 4_000_000):
+                for a, b in text_batches(texts, 2_000_000):
                     t, w, n = doc_vectors(texts[a:b], *words.value, stem)
                     ends = np.cumsum(n)
                     own = [place[i] for i in part.column(0).to_pylist()[a:b]] if place else [-1] * (b - a)
