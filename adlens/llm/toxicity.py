@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples.
 
-Documents and examples are TF-IDF vectors over the terms (words and their
-first bytes) whose link with the label is significant among the examples.  The examples
-with the largest cosines are found exactly with a block-max inverted index:
-postings carry, for each term and block of examples, the largest weight, so
-the blocks that cannot hold one of the best are never scored.  The votes of
+Documents and examples are TF-IDF vectors over all terms of the examples (words
+and their first bytes); a term's link with the label adds to its weight.  The
+examples with the largest cosines are found exactly with a block-max inverted
+index: postings carry, for each term and block of examples, the largest weight, so
+the blocks that cannot hold one of the best need no scores.  The votes of
 the nearest, weighted by cosine and by class, are calibrated on the examples
 themselves, each scored without itself.
 """
@@ -18,13 +18,23 @@ from pyspark.sql import functions as F
 
 from adlens.llm.common import letter_terms, ragged, save, text_batches
 
-#: Bounds of what is fitted: examples with label 1 and 0, and terms.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS = 8_192, 16_384, 65_536
+#: Bounds of what is fitted: examples with label 1 and 0.
+MAX_POSITIVE, MAX_NEGATIVE = 8_192, 16_384
 EXAMPLES_PER_BLOCK = 64
+#: Terms of so large a part (1/n) of the examples are scored by a matrix product.
+FREQUENT = 8
+#: More than the rounding of single-precision sums of cosines.
+SLACK = 1e-4
 
 
 class BlockMaxIndex:
-    """Exact cosine top-k over unit vectors of examples."""
+    """Exact cosine top-k over unit vectors of examples.
+
+    Postings lie in blocks with the largest weight of each.  Terms of at least
+    one in ``FREQUENT`` examples are a dense matrix too, so that one product per
+    batch scores all examples on them in single precision; these sums only find
+    the candidates, whose cosines are taken in double precision.
+    """
 
     def __init__(self, terms, weights, lengths, labels, ids, n_terms: int):
         # examples with the same heaviest term become neighbours, so that blocks share terms
@@ -32,47 +42,93 @@ class BlockMaxIndex:
         heavy = np.array([terms[s + np.argmax(weights[s:s + n])] if n else -1 for s, n in zip(starts, lengths)], dtype=np.int64)
         order = np.lexsort((ids, heavy))
         self.labels, self.ids = labels[order], ids[order]
-        at = ragged(starts[order], lengths[order])
-        example = np.repeat(np.arange(len(order)), lengths[order])
-        by_term = np.lexsort((example, terms[at]))
-        term, self.example, self.weight = terms[at][by_term], example[by_term], weights[at][by_term]
-        key = term * (len(order) // EXAMPLES_PER_BLOCK + 1) + self.example // EXAMPLES_PER_BLOCK
-        self.first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.count = np.diff(np.append(self.first, len(key)))
-        self.block = self.example[self.first] // EXAMPLES_PER_BLOCK
-        self.most = np.maximum.reduceat(self.weight, self.first) if len(key) else np.zeros(0)
-        self.lists = np.searchsorted(term[self.first], np.arange(n_terms + 1))
         self.blocks = len(order) // EXAMPLES_PER_BLOCK + 1
+        # small types throughout: every worker holds the index
+        small = np.uint16 if len(order) < 1 << 16 else np.int32
+        parts = [slice(s, s + n) for s, n in zip(starts[order].tolist(), lengths[order].tolist())] or [slice(0, 0)]
+        term = np.concatenate([terms[x] for x in parts]).astype(np.int32)
+        by_term = np.argsort(term, kind="stable")
+        self.example = np.repeat(np.arange(len(order), dtype=small), lengths[order])[by_term]
+        self.weight = np.concatenate([weights[x] for x in parts])[by_term]
+        self.postings = np.searchsorted(term[by_term], np.arange(n_terms + 1, dtype=np.int32)).astype(np.int32)
+        often = np.diff(self.postings) >= max(EXAMPLES_PER_BLOCK, len(order) // FREQUENT)
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.dense = None
+
+    def _open(self):
+        """Blocks and dense matrix, made by each worker: neither travels."""
+        if self.dense is None:
+            block = self.example // EXAMPLES_PER_BLOCK
+            new = np.ones(len(block), dtype=bool)
+            new[1:] = block[1:] != block[:-1]
+            new[self.postings[:-1][self.postings[:-1] < len(new)]] = True
+            self.first = np.flatnonzero(new).astype(np.int32)
+            self.count = np.diff(np.append(self.first, len(new))).astype(np.uint8)
+            self.block = block[self.first]
+            self.most = np.maximum.reduceat(self.weight, self.first) if len(new) else np.zeros(0)
+            self.lists = np.searchsorted(self.first, self.postings)
+            dense = np.zeros((len(self.ids), int(self.row.max(initial=-1)) + 1), dtype=self.weight.dtype)
+            for t in np.flatnonzero(self.row >= 0):
+                at = slice(self.postings[t], self.postings[t + 1])
+                dense[self.example[at], self.row[t]] = self.weight[at]
+            self.dense = dense
+
+    def bases(self, terms, weights, lengths) -> np.ndarray:
+        """Sums of the frequent terms of some queries, a row of all examples each."""
+        self._open()
+        q = np.zeros((len(lengths), self.dense.shape[1]), dtype=self.dense.dtype)
+        row = self.row[terms]
+        often = row >= 0
+        q[np.repeat(np.arange(len(lengths)), lengths)[often], row[often]] = weights[often]
+        return q @ self.dense.T
 
-    def _score(self, runs, query, chosen):
-        mine = runs[chosen[self.block[runs]]]
-        at = ragged(self.first[mine], self.count[mine])
-        value = np.repeat(query[chosen[self.block[runs]]], self.count[mine]) * self.weight[at]
-        who, inverse = np.unique(self.example[at], return_inverse=True)
-        return who, np.bincount(inverse, weights=value, minlength=len(who))
+    def _add(self, total, runs, query):
+        count = self.count[runs].astype(np.int64)
+        at = ragged(self.first[runs].astype(np.int64), count)
+        total += np.bincount(self.example[at], weights=np.repeat(query, count) * self.weight[at], minlength=len(total))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1):
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, base=None):
         """(examples, cosines) of the k best with a cosine over 0, best first,
-        ties to the smaller id's place; example ``without`` is passed over."""
-        lengths = self.lists[terms + 1] - self.lists[terms]
-        runs = ragged(self.lists[terms], lengths)
-        query = np.repeat(weights, lengths)
-        bound = np.bincount(self.block[runs], weights=query * self.most[runs], minlength=self.blocks)
+        ties to the smaller id's place; example ``without`` is passed over.
+        ``base`` is the query's row of ``bases``."""
+        self._open()
         k = k + (without >= 0)
-        live = np.flatnonzero(bound > 0)
-        head = live[np.argsort(-bound[live], kind="stable")[:4]]
-        chosen = np.zeros(self.blocks, dtype=bool)
-        chosen[head] = True
-        who, cosine = self._score(runs, query, chosen)
-        least = np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) >= k else 0.0
-        rest = (bound >= least * (1 - 1e-12)) & (bound > 0) & ~chosen
-        if rest.any():
-            more, c = self._score(runs, query, rest)
-            who, cosine = np.concatenate([who, more]), np.concatenate([cosine, c])
+        if base is None:
+            base = self.bases(terms, weights, np.array([len(terms)]))[0]
+        row = self.row[terms]
+        t, w = terms[row < 0], weights[row < 0]
+        lengths, n_runs = self.postings[t + 1] - self.postings[t], self.lists[t + 1] - self.lists[t]
+        total = np.zeros(len(base))
+        if lengths.sum() < 8 * n_runs.sum():  # short runs: the bounds would cost more than whole lists
+            parts = [slice(a, a + n) for a, n in zip(self.postings[t].tolist(), lengths.tolist())]
+            if parts:
+                value = np.concatenate([self.weight[x] for x in parts]) * np.repeat(w, lengths)
+                total = np.bincount(np.concatenate([self.example[x] for x in parts]), weights=value, minlength=len(base))
+        elif len(t):
+            runs, query = ragged(self.lists[t], n_runs), np.repeat(w, n_runs)
+            pad = np.zeros(self.blocks * EXAMPLES_PER_BLOCK)
+            pad[:len(base)] = base
+            bound = pad.reshape(self.blocks, -1).max(1) + np.bincount(
+                self.block[runs], weights=query * self.most[runs], minlength=self.blocks)
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[np.argsort(-bound, kind="stable")[:4]] = True
+            mine = chosen[self.block[runs]]
+            self._add(total, runs[mine], query[mine])
+            # sums of part of the terms give a least value of the k-th best
+            rest = ~mine & (bound[self.block[runs]] >= self._least(total + base, k) - SLACK)
+            self._add(total, runs[rest], query[rest])
+        score = total + base
+        who = np.flatnonzero((score > 0) & (score >= self._least(score, k) - SLACK))
+        exact = (self.dense[who][:, row[row >= 0]] * weights[row >= 0]).T.copy().sum(0) if len(who) else 0.0
+        cosine = np.minimum(total[who] + exact, 1.0)
         best = np.lexsort((who, -cosine))[:k]
         best = best[who[best] != without][:k - (without >= 0)]
         return who[best], cosine[best]
 
+    @staticmethod
+    def _least(score, k: int) -> float:
+        return np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
+
 
 def doc_vectors(texts: list[str], vocabulary: np.ndarray, idf: np.ndarray, stem: int = 5):
     """(terms, weights, lengths): unit TF-IDF vectors, ragged."""
@@ -89,13 +145,20 @@ def doc_vectors(texts: list[str], vocabulary: np.ndarray, idf: np.ndarray, stem:
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray, class_weight) -> float:
-    """Share of label 1 among the nearest, by cosine and class; -1 without any."""
+    """Share of label 1 among the nearest, by class and by the odds of the
+    cosine, so that copies outweigh the rest; -1 without any."""
     if not len(labels):
         return -1.0
-    w = cosines * np.where(labels == 1, class_weight[1], class_weight[0])
+    w = cosines / np.maximum(1.001 - cosines, 0.001) * np.where(labels == 1, class_weight[1], class_weight[0])
     return float((w * labels).sum() / w.sum())
 
 
+def of_copies(score: float, labels: np.ndarray, cosines: np.ndarray) -> float:
+    """The score, drawn to the labels of the examples that equal the text in their terms."""
+    same = labels[cosines >= 1 - 1e-6]
+    return (score + same.sum()) / (1 + len(same))
+
+
 def calibration(raw: np.ndarray, labels: np.ndarray, class_weight) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression of the label on the vote: (votes, scores), both
     increasing, to interpolate between.  Each level is drawn toward the prior
@@ -125,8 +188,7 @@ def calibration(raw: np.ndarray, labels: np.ndarray, class_weight) -> tuple[np.n
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
-                    text_col: str = "text", neighbours: int = 16, least_chi2: float = 40.0,
-                    least_lift: float = 3.0, least_docs: int = 8,
+                    text_col: str = "text", neighbours: int = 16, link_weight: float = 8.0,
                     stem: int = 5, folds: int = 5) -> DataFrame:
     """One row per document: id, held_out, score, predicted, evidence (ids of
     the nearest examples) and their cosines.
@@ -134,13 +196,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     Rows whose crc32 of the id as text is divisible by ``folds`` are held out:
     their labels are not read.  Of the others at most MAX_POSITIVE and
     MAX_NEGATIVE, by a hash of the id, are the examples; class weights restore
-    the share of each label among all of them.  Terms need ``least_docs`` examples,
-    ``least_chi2`` and a rate under one label of ``least_lift`` times the other's; at most
-    MAX_TERMS stay.  Label, language, source and id are no
-    input of a score.
+    the share of each label among all of them.  All terms of the examples count;
+    TF-IDF weights are multiplied by 1 + ``link_weight`` * phi, where phi (root of
+    chi2 over the number of examples, 0 to 1) is the term's link with the label.
+    A text that equals examples (cosine 1) is drawn to their labels.  Label, language, source
+    and id are no input of a score.
 
-    Null and empty texts, and texts without a term that matters, get the rate
-    of such texts among the examples.  Rows with a null id are scored, never held out and
+    Null and empty texts, and texts without a term of the examples, get the rate
+    of such texts among the examples, drawn to the prior.  Rows with a null id are scored, never held out and
     never examples.  A label given twice counts with its larger value, a null label
     not at all; without labels every score is 0.5.  Repeated rows get equal
     scores.  An empty table gives an empty result; other columns are ignored.
@@ -180,18 +243,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     n1, n0 = size.get(1, 0), size.get(0, 0)
     weight = (totals.get(0, 0) / max(n0, 1), totals.get(1, 0) / max(n1, 1))
     counts = examples.select("text", "y").mapInArrow(count_terms, "term long, n1 long, n0 long").groupBy("term").agg(
-        F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= least_docs)
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    cross = a * (n0 - b) - b * (n1 - a)
+        F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    terms = counts.toArrow()
+    vocabulary = terms["term"].to_numpy().view(np.uint64)
+    a, b = (terms[c].to_numpy().astype(float) for c in ("n1", "n0"))
     below = (a + b) * (n1 + n0 - a - b) * float(n1 or 1) * float(n0 or 1)
-    chosen = counts.withColumn("chi2", F.when(below > 0, (n1 + n0) * cross * cross / below)).where(
-        F.col("chi2") >= least_chi2).where(
-        (a * n0 >= least_lift * b * n1) | (b * n1 >= least_lift * a * n0)).orderBy(F.col("chi2").desc(), "term").limit(MAX_TERMS)
-    terms = chosen.select("term", (a + b).alias("df")).toPandas()
-    vocabulary = terms["term"].to_numpy(dtype=np.int64).view(np.uint64)
+    phi = np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt(np.where(below > 0, below, np.inf))
     order = np.argsort(vocabulary)
-    idf = np.log((1 + n1 + n0) / (1 + terms["df"].to_numpy(dtype=float)[order])) + 1
-    words = spark.sparkContext.broadcast((vocabulary[order], idf))
+    idf = (np.log((1 + n1 + n0) / (1 + a + b)) + 1) * (1 + link_weight * phi)
+    words = spark.sparkContext.broadcast((vocabulary[order], idf[order]))
 
     def vectors(batches):
         for batch in batches:
@@ -200,16 +260,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
                 t, w, n = doc_vectors(part.column(2).to_pylist(), *words.value, stem)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(t)),
-                     pa.ListArray.from_arrays(offsets, pa.array(w))], ["id", "y", "t", "w"])
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(t.astype(np.int32))),
+                     pa.ListArray.from_arrays(offsets, pa.array(w.astype(np.float32)))], ["id", "y", "t", "w"])
 
-    # bounded: MAX_POSITIVE + MAX_NEGATIVE rows of the few terms that matter
+    # bounded: MAX_POSITIVE + MAX_NEGATIVE rows, weights in single precision
     fit = examples.select("id", "y", "text").mapInArrow(
-        vectors, "id long, y int, t array<long>, w array<double>").orderBy("id").toArrow()
-    t, w = (fit[c].combine_chunks() for c in ("t", "w"))
-    lengths = np.diff(t.offsets.to_numpy()) if len(fit) else np.zeros(0, np.int64)
-    index = BlockMaxIndex(t.flatten().to_numpy(), w.flatten().to_numpy(), lengths.astype(np.int64),
-                          fit["y"].to_numpy().astype(np.int64), fit["id"].to_numpy(), len(vocabulary))
+        vectors, "id long, y int, t array<int>, w array<float>").orderBy("id").toArrow()
+    def flat(column, kind):
+        return np.concatenate([np.zeros(0, kind), *(c.flatten().to_numpy() for c in fit[column].chunks)])
+
+    # the Arrow table goes before the index is built: the driver holds one copy
+    t, w, y = flat("t", np.int32), flat("w", np.float32), fit["y"].to_numpy().astype(np.int64)
+    lengths = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in fit["t"].chunks)])
+    ids = fit["id"].to_numpy().copy()
+    del fit
+    index = BlockMaxIndex(t, w, lengths.astype(np.int64), y, ids, len(vocabulary))
+    del t, w
     shared = spark.sparkContext.broadcast(index)
 
     def search(batches, make):
@@ -223,8 +289,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
                     t, w, n = doc_vectors(texts[a:b], *words.value, stem)
                     ends = np.cumsum(n)
                     own = [place[i] for i in part.column(0).to_pylist()[a:b]] if place else [-1] * (b - a)
-                    found = [index.nearest(t[e - m:e], w[e - m:e], neighbours, x) if m else (
-                        np.zeros(0, np.int64), np.zeros(0)) for e, m, x in zip(ends, n, own)]
+                    found = []
+                    for c in range(0, len(n), 64):
+                        base = index.bases(t[ends[c] - n[c]:ends[min(c + 64, len(n)) - 1]],
+                                           w[ends[c] - n[c]:ends[min(c + 64, len(n)) - 1]], n[c:c + 64])
+                        found += [index.nearest(t[e - m:e], w[e - m:e], neighbours, x, q) if m else (
+                            np.zeros(0, np.int64), np.zeros(0))
+                            for e, m, x, q in zip(ends[c:c + 64], n[c:c + 64], own[c:c + 64], base)]
                     raw = np.array([vote(index.labels[i], c, weight) for i, c in found])
                     yield make(part.slice(a, b - a), raw, found, index)
 
@@ -233,12 +304,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
 
     loo = examples.select("id", "text", "y").mapInArrow(
         lambda batches: search(batches, _leave_out), "raw double, y int").toPandas()
-    curve = calibration(loo["raw"].to_numpy(), loo["y"].to_numpy(), weight) if len(loo) else (
+    raw, y = loo["raw"].to_numpy(dtype=float), loo["y"].to_numpy()
+    curve = calibration(raw[raw >= 0], y[raw >= 0], weight) if (raw >= 0).any() else (
         np.array([-1.0, 1.0]), np.array([0.5, 0.5]))
+    mass = np.where(y == 1, weight[1], weight[0])
+    prior = float((mass * y).sum() / mass.sum()) if len(y) else 0.5
+    blank = float(((mass * y)[raw < 0].sum() + prior) / (mass[raw < 0].sum() + 1))
 
     def _scored(part, raw, found, index):
+        score = np.where(raw < 0, blank, np.interp(raw, *curve))
         return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(np.interp(raw, *curve)),
+            [part.column(0), pa.array([of_copies(s, index.labels[i], c) for s, (i, c) in zip(score, found)], pa.float64()),
              pa.array([index.ids[i[:3]].tolist() for i, _ in found], pa.list_(pa.int64())),
              pa.array([c[:3].tolist() for _, c in found], pa.list_(pa.float64()))],
             ["id", "score", "evidence", "cosines"])

@@ -145,6 +145,20 @@ def test_held_out_labels_are_not_read(spark):
     assert {r.doc_id: r.score for r in a} == {r.doc_id: r.score for r in b}
 
 
+def test_copies_of_any_toxic_example_are_toxic(spark):
+    # some toxic examples hold none of the words that tell the labels apart; digits are no letters
+    rows, marks = labelled(spark, 400)
+    odd = [(i, prose(5000 + i, 60), "a") for i in range(1000, 1020)]
+    rows, odd = ([(i, t.translate(str.maketrans("0123456789", "abcdefghij")), s) for i, t, s in x] for x in (rows, odd))
+    marks = marks.unionByName(spark.createDataFrame([(i, 0, 1) for i, _, _ in odd], marks.schema))
+    bad = [r for r in rows if r[0] % 7 == 0] + odd
+    copies = [(20_000 + i, t, "b") for i, t, _ in bad if zlib.crc32(str(i).encode()) % 5]
+    got = {r.doc_id: r for r in T.toxicity_scores(docs(spark, rows + odd + copies), marks).collect()}
+    for i, _, _ in copies:
+        assert got[i].score >= 0.5 and got[i].evidence[0] == i - 20_000 and got[i].cosines[0] > 1 - 1e-6
+    assert all(r.evidence for r in got.values())
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([(None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
     assert {r.score for r in T.toxicity_scores(docs(spark, awkward()), none).collect()} == {0.5}
