@@ -5,12 +5,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adlens.llm.arc_convert import archive_pages
+from adlens.llm.collocations import collocations
 from adlens.llm.common import table
 from adlens.llm.cross_polytope import nearest
 from adlens.llm.exact_dedup import exact_dedup
 from adlens.llm.fair_mix import fair_mix
+from adlens.llm.hard_negatives import hard_negatives
+from adlens.llm.language_tree import identify_languages
 from adlens.llm.line_spread import drop_boilerplate
 from adlens.llm.packing import pack_documents
 from adlens.llm.simple8b import read_ids, write_ids
@@ -61,6 +65,20 @@ def op10_vertical_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), width=5, num=80, den=100)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), every=100, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000, num=80, den=100, scale=2_000_000)
+
+
+def op13_language_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), folds=4, left_out=2)
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_exact_dedup": op2_exact_dedup,
@@ -72,6 +90,9 @@ QUERIES = {
     "op8_fair_mix": op8_fair_mix,
     "op9_toxic_neighbours": op9_toxic_neighbours,
     "op10_vertical_join": op10_vertical_join,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_language_tree": op13_language_tree,
 }
 
 ORACLE = {
@@ -142,4 +163,43 @@ ORACLE = {
               UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.seen = l.a)
         SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.seen) AS component_id
         FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op11_hard_negatives": """
+        WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same,
+                     CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+              FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor AS anchor_id, p.other AS positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+               s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same
+          AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        QUALIFY rank <= 10""",
+    "op12_collocations": r"""
+        WITH p AS (
+          SELECT doc_id, row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+                 unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (SELECT lang, unnest(flatten([[ws[i:i + m - 1] FOR i IN range(1, len(ws) - m + 2)]
+                                           FOR m IN range(1, 5)])) AS ph FROM w),
+        f AS (SELECT lang, ph, count(*) AS n FROM g GROUP BY ALL),
+        t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE len(ph) = 1 GROUP BY lang),
+        c AS (SELECT lang, ph, n AS a FROM f WHERE len(ph) > 1 AND n >= 30),
+        k AS (SELECT lang, ph, a, unnest(range(1, len(ph))) AS k FROM c),
+        s AS (SELECT k.*, x.n AS l, y.n AS r, CAST(2000000::HUGEINT * a // (x.n + y.n) AS BIGINT) AS score
+              FROM k JOIN f x ON x.lang = k.lang AND x.ph = k.ph[1:k.k]
+                     JOIN f y ON y.lang = k.lang AND y.ph = k.ph[k.k + 1:]),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+        i AS (SELECT lang, unnest(flatten([[ph[i:i + m - 1] FOR i IN range(1, len(ph) - m + 2)]
+                                           FOR m IN range(2, len(ph))])) AS ph, a FROM c WHERE len(ph) > 2),
+        h AS (SELECT lang, ph, max(a) AS longest FROM i GROUP BY ALL),
+        o AS (SELECT b.*, array_to_string(b.ph, ' ') AS phrase FROM b LEFT JOIN h ON h.lang = b.lang AND h.ph = b.ph
+              WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a)
+        SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, t.n, score
+        FROM o JOIN t ON t.lang = o.lang QUALIFY rank <= 2000""",
 }
