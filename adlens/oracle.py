@@ -609,6 +609,56 @@ fut AS (SELECT f.series, f.metric, f.date, CAST(NULL AS DOUBLE) AS actual,
 forecast AS (SELECT * FROM hist UNION ALL SELECT series, metric, date, actual, {rnd('fp', 4)} AS predicted,
     {rnd('fp - 1.28 * sd', 4)} AS lower, {rnd('fp + 1.28 * sd', 4)} AS upper, TRUE AS is_forecast FROM fut)"""
 
+# least squares on the day and one regressor, by the normal equations of centred rows; a
+# regressor without variance of its own beside the day has the coefficient 0
+def _two(pre: str, rows: str) -> str:
+    m = {c: f"AVG({c}) FILTER ({rows})" for c in ("t", "s", "y_fit")}
+    g = lambda a, b: f"COVAR_POP({a}, {b}) FILTER ({rows})"
+    return ", ".join([f"{m[c]} AS {pre}m_{c}" for c in m] + [
+        f"{g('t', 't')} AS {pre}tt, {g('t', 's')} AS {pre}ts, {g('s', 's')} AS {pre}ss, "
+        f"{g('t', 'y_fit')} AS {pre}ty, {g('s', 'y_fit')} AS {pre}sy"])
+
+
+def _solved(pre: str) -> str:
+    own = f"({pre}ss - {pre}ts * {pre}ts / {pre}tt)"
+    b1 = f"(CASE WHEN {own} > 1e-9 * {pre}ss THEN ({pre}sy - {pre}ts / {pre}tt * {pre}ty) / {own} ELSE 0.0 END)"
+    b0 = f"(({pre}ty - {pre}ts * {b1}) / {pre}tt)"
+    return (f"{b0} AS {pre}slope, {b1} AS {pre}b1, "
+            f"{pre}m_y_fit - {b0} * {pre}m_t - {b1} * {pre}m_s AS {pre}icpt")
+
+
+_X_TREND = """, x_avg AS (SELECT date, AVG(CAST(interest AS DOUBLE)) AS st FROM v_trends
+    WHERE keyword IN (SELECT keyword FROM (SELECT DISTINCT keyword FROM v_trends) ORDER BY keyword LIMIT 3) GROUP BY date),
+x_series AS (SELECT v.*, COALESCE(LAST_VALUE(st IGNORE NULLS) OVER (PARTITION BY series, metric ORDER BY date
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FIRST_VALUE(st IGNORE NULLS) OVER (PARTITION BY series, metric
+      ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS s
+    FROM v_series v LEFT JOIN x_avg USING (date))"""
+_LIN_X = with_views(V_SERIES, V_TRENDS) + _X_TREND + f"""
+, p0 AS (SELECT series, metric, date, value AS y, s, ROW_NUMBER() OVER (PARTITION BY {_K} ORDER BY date DESC) AS rn,
+    COUNT(*) OVER (PARTITION BY {_K}) AS n_rows FROM x_series),
+p1 AS (SELECT *, rn <= CAST(LEAST(15, FLOOR(n_rows / 4)) AS INTEGER) AS is_test FROM p0 WHERE n_rows >= 30),
+p2 AS (SELECT *, CAST(date_diff('day', MIN(date) OVER (PARTITION BY {_K}), date) AS DOUBLE) AS t,
+    GREATEST(y, 1.0) AS y_fit, dayname(date) AS dow FROM p1),
+fit0 AS (SELECT {_K}, MIN(date) AS first_date, MAX(date) AS last_date, arg_max(s, date) AS s_last,
+    arg_max(s, date) FILTER (NOT is_test) AS s_head, {_two('', 'TRUE')}, {_two('bt_', 'NOT is_test')} FROM p2 GROUP BY {_K}),
+fit AS (SELECT {_K}, first_date, last_date, s_last, s_head, {_solved('')}, {_solved('bt_')} FROM fit0),
+p3 AS (SELECT p2.*, fit.* EXCLUDE (series, metric), y_fit - (bt_icpt + bt_slope * t + bt_b1 * s) AS bt_res,
+    y_fit - (icpt + slope * t + b1 * s) AS res FROM p2 JOIN fit USING (series, metric)),
+eff AS (SELECT {_K}, dow, AVG(bt_res) FILTER (NOT is_test) AS bt_eff, AVG(res) AS eff FROM p3 GROUP BY {_K}, dow),
+p4 AS (SELECT p3.*, icpt + slope * t + b1 * s + eff.eff AS fitted, bt_res - COALESCE(eff.bt_eff, 0.0) AS bt_left,
+    bt_icpt + bt_slope * t + bt_b1 * s_head + COALESCE(eff.bt_eff, 0.0) AS bt_pred
+    FROM p3 LEFT JOIN eff USING (series, metric, dow)),
+sd AS (SELECT {_K}, STDDEV_POP(bt_left) FILTER (NOT is_test) AS bt_sd, STDDEV_POP(y_fit - fitted) AS sd FROM p4 GROUP BY {_K}),
+ahead AS (SELECT f.*, CAST(last_date + CAST(h AS INTEGER) AS DATE) AS date FROM fit f, range(1, 15) r(h)),
+pred AS (SELECT {_K}, date, y AS actual, fitted, FALSE AS is_forecast FROM p4
+  UNION ALL SELECT a.series, a.metric, a.date, NULL, icpt + slope * date_diff('day', first_date, a.date) + b1 * s_last
+    + COALESCE(e.eff, 0.0), TRUE FROM ahead a LEFT JOIN eff e ON e.series = a.series AND e.metric = a.metric
+    AND e.dow = dayname(a.date))"""
+ORACLE["M1_regressor_forecast"] = _LIN_X + f""" SELECT series, metric, date, actual, {rnd('fitted', 4)} AS predicted,
+  {rnd('fitted - 1.28 * sd', 4)} AS lower, {rnd('fitted + 1.28 * sd', 4)} AS upper, is_forecast FROM pred JOIN sd USING (series, metric)"""
+ORACLE["M1_regressor_backtest"] = _LIN_X + f""" SELECT series, metric, date, y AS actual, {rnd('bt_pred', 4)} AS predicted,
+  {rnd('bt_pred - 1.28 * bt_sd', 4)} AS lower, {rnd('bt_pred + 1.28 * bt_sd', 4)} AS upper
+  FROM p4 JOIN sd USING (series, metric) WHERE is_test"""
 ORACLE["M1_linear_forecast"] = _LIN + " SELECT * FROM forecast"
 ORACLE["M1_linear_backtest"] = _LIN + " SELECT * FROM backtest"
 ORACLE["A20_forecast_evaluation"] = _LIN + f"""

@@ -396,9 +396,40 @@ def _m1r(t: Tables):
     return FC.rejected_series(FC.metric_series(t.daily), ["campaign_id", "metric"])
 
 
+def _with_trend(t: Tables):
+    """The long series beside the mean interest of their keywords (matched by the series' name)."""
+    named = t.series.select(F.col("series").alias("campaign_id"), F.col("series").alias("campaign_name")).distinct()
+    kw = FC.match_trend_keywords(named, t.trends).withColumnRenamed("campaign_id", "series")
+    return FC.with_trend_regressor(t.series, kw, t.trends, _SERIES_KEYS)
+
+
+def _regressed(t: Tables):
+    return FC.linear_weekly(_with_trend(t).where("not is_forecast"), _SERIES_KEYS, regressors=["search_trend"])
+
+
+@query("M1_regressor_forecast")
+def _m1x(t: Tables):
+    return _regressed(t)["forecast"]
+
+
+@query("M1_regressor_backtest")
+def _m1xb(t: Tables):
+    return _regressed(t)["backtest"]
+
+
 @query("M1_holt_winters")
 def _m1hw(t: Tables):
-    return FC.holt_winters(t.series, _SERIES_KEYS)
+    return FC.holt_winters(t.series, _SERIES_KEYS)["forecast"]
+
+
+@query("M1_holt_winters_backtest")
+def _m1hwb(t: Tables):
+    return FC.holt_winters(t.series, _SERIES_KEYS)["backtest"]
+
+
+@query("A20_holt_winters_evaluation")
+def _a20hw(t: Tables):
+    return FC.holt_winters(t.series, _SERIES_KEYS)["evaluation"]
 
 
 @query("J7_trend_keywords")

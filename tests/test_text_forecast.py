@@ -67,7 +67,10 @@ def test_forecast_14_days_and_backtest_quality(spark, engine):
         ev = out["evaluation"].first()
         assert ev["mape"] < 50 and ev["coverage"] >= 0.5
     else:
-        fc = FC.holt_winters(s, ["campaign_id", "metric"])
+        out = FC.holt_winters(s, ["campaign_id", "metric"])
+        fc = out["forecast"]
+        ev = out["evaluation"].first()
+        assert ev["mape"] < 50 and ev["coverage"] >= 0.5 and ev["test_days"] == 15
     assert fc.where("is_forecast").count() == 14
     assert fc.where("not is_forecast").count() == 90
 
