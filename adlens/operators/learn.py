@@ -5,8 +5,8 @@
 * Transform (M2/J6): numerics -> log1p(|x|) with 0 for null; categoricals ->
   code by broadcast join against the vocabulary (at most K rows per column, a
   proven size bound), unseen -> 0.
-* Split (M3): stratified 70/15/15 by a portable hash, exact per-label counts
-  from a distributed global rank (no single-partition window).
+* Split (M3): stratified 70/15/15 by a portable hash, exact per-label counts; a
+  histogram of the hash finds the cuts and only rows near one are ranked.
 * Model (M4): Spark ML GBTClassifier with a validation column (early
   stopping), or logistic regression on hashed features for very wide logs.
 * Evaluation (M5): AUC and average precision from scores grouped to distinct
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
 from adlens.session import ensure_checkpoint_dir
-from adlens.functions.ranking import (global_row_number, global_running_sums, portable_hash,
-                                      top_k_per_group)
+from adlens.functions.ranking import (global_running_sums, lowest_draws, part_by_rank, portable_hash,
+                                      row_draw, top_k_per_group)
 from adlens.functions.ratios import round_half_up
 
 MISSING = "__MISSING__"
@@ -42,9 +42,10 @@ def read_click_log(spark: SparkSession, path: str, sample_size: int | None = Non
     """Headerless TSV (gz allowed), explicit 40-field schema, '' -> NULL.
 
     With ``sample_size``: an exact, seeded sample of n rows (all rows when
-    the file has fewer).  The n rows are chosen by a distributed rank over a
-    seeded random key, so no task ever holds the whole sample; the
-    original's read cap of 3n rows was a single-machine memory guard and is
+    the file has fewer), those with the lowest draws, a hash of the seed and
+    the row.  A histogram of the draws finds the threshold, so nothing but the rows
+    at the threshold is sorted; equal rows are interchangeable.  The original's
+    read cap of 3n rows was a single-machine memory guard and is
     not needed.  A .gz file is one split: pass ``partitions`` to spread it.
     """
     df = (spark.read.schema(schema).option("sep", "\t").option("nullValue", "")
@@ -52,9 +53,7 @@ def read_click_log(spark: SparkSession, path: str, sample_size: int | None = Non
     if partitions:
         df = df.repartition(partitions)
     if sample_size is not None:
-        keyed = df.withColumn("_r", F.rand(seed)).withColumn("_t", F.monotonically_increasing_id())
-        ranked = global_row_number(keyed, ["_r", "_t"], "_k")
-        df = ranked.where(F.col("_k") <= sample_size).drop("_r", "_t", "_k")
+        df = lowest_draws(df, sample_size, row_draw(seed, *df.columns))
     return df
 
 
@@ -98,24 +97,17 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], seed: int =
     rows by hash go to test, the next ceil(.176 * rest) to val, the rest to
     train (the reference's 70/15/15 two-step split).
 
-    Rows are ordered by (label, hash of keys, keys, all other columns by
+    Rows of a label are ordered by (hash of keys, keys, all other columns by
     name), so rows that share a key still get a fixed order; only rows equal
-    in every column can trade places, and those are interchangeable."""
-    h = portable_hash(*key_cols, seed=seed)
-    d = df.withColumn("_h", h)
-    rest = sorted(c for c in df.columns if c not in key_cols and c != label)
-    ranked = global_row_number(d, [F.col(label), F.col("_h"), *[F.col(k) for k in key_cols + rest]], "_g")
-    per = d.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per label: a tiny table, so the running sum is cheap
-    per = per.select(label, "_n", F.coalesce(F.sum("_n").over(
-        Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    r = ranked.join(F.broadcast(per), label)
-    r = r.withColumn("_rk", F.col("_g") - F.col("_start"))
-    n_test = F.ceil(F.col("_n") * test_frac)
-    n_val = F.ceil((F.col("_n") - n_test) * val_frac)
-    split = (F.when(F.col("_rk") <= n_test, "test").when(F.col("_rk") <= n_test + n_val, "val")
-             .otherwise("train"))
-    return r.withColumn("split", split).drop("_h", "_g", "_n", "_start", "_rk")
+    in every column can trade places, and those are interchangeable.  Ranks are
+    taken near the cuts alone (``part_by_rank``): the table is neither sorted nor stored."""
+    def cuts(n):
+        n_test = F.ceil(n * test_frac)
+        return [n_test, n_test + F.ceil((n - n_test) * val_frac)]
+
+    parts = part_by_rank(df, label, portable_hash(*key_cols, seed=seed), key_cols, cuts, "_part")
+    return parts.select(*df.columns, F.element_at(F.array(F.lit("test"), F.lit("val"), F.lit("train")),
+                                                  F.col("_part") + 1).alias("split"))
 
 
 # ── M4 model ─────────────────────────────────────────────────────────

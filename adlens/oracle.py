@@ -756,6 +756,10 @@ SELECT spl.l_orderkey, spl.l_linenumber, spl.label, spl.split, """ + ", ".join(
         ON COALESCE(CAST(spl.{c} AS VARCHAR), '__MISSING__') = v_{c}.value""" for c in _CAT)
 
 ORACLE["S2_read_click_log"] = with_views(V_CLICKS) + "SELECT label, " + ", ".join(_NUM + _CAT) + " FROM v_clicks"
+_S2_COLS = ["label"] + _NUM + _CAT
+ORACLE["S2_sampled_click_log"] = with_views(V_CLICKS) + f"""
+SELECT {", ".join(_S2_COLS)} FROM v_clicks ORDER BY CAST('0x' || substr(md5(concat_ws('|', '42', {", ".join(
+    f"COALESCE(CAST({c} AS VARCHAR), '')" for c in _S2_COLS)})), 1, 8) AS BIGINT) // 2, {", ".join(sorted(_S2_COLS))} LIMIT 20000"""
 
 _LL_EPS = "CAST('2.220446049250313e-16' AS DOUBLE)"
 _LL_HI = f"CAST('{1 - 2.220446049250313e-16!r}' AS DOUBLE)"

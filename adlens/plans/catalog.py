@@ -480,8 +480,7 @@ def _m2(t: Tables):
     return x.select(*[round_half_up(c, 9).alias(c) if c in CLICK_NUM else F.col(c) for c in x.columns])
 
 
-@query("S2_read_click_log")
-def _s2(t: Tables):
+def _click_log(t: Tables, sample_size: int | None = None):
     """Write the click log as headerless TSV to the shared folder, read it back."""
     from pyspark.sql import types as TT
     cols = ["label"] + CLICK_NUM + CLICK_CAT
@@ -491,7 +490,18 @@ def _s2(t: Tables):
     schema = TT.StructType([TT.StructField("label", TT.IntegerType())]
                            + [TT.StructField(c, TT.DoubleType()) for c in CLICK_NUM]
                            + [TT.StructField(c, TT.StringType()) for c in CLICK_CAT])
-    return L.read_click_log(t.spark, path, schema=schema)
+    return L.read_click_log(t.spark, path, sample_size=sample_size, schema=schema)
+
+
+@query("S2_read_click_log")
+def _s2(t: Tables):
+    return _click_log(t)
+
+
+@query("S2_sampled_click_log")
+def _s2s(t: Tables):
+    """An exact sample of 20,000 rows of the written log (a sampling operator)."""
+    return _click_log(t, 20_000)
 
 
 @query("A22_binary_metrics")
