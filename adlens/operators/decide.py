@@ -75,6 +75,15 @@ def beta_posterior(obs: DataFrame, keys, success: str = "reward",
                     (F.col("_s") + F.col("_f")).alias("n_obs"))
 
 
+def relative_gap(best: Column, second: Column) -> Column:
+    return F.when(second.isNull(), F.lit(0.0)).otherwise((best - second) / (F.abs(best) + F.lit(EPS)))
+
+
+def gap_confidence(gap: Column, n_obs: Column) -> Column:
+    return (F.when((gap > 0.15) & (n_obs >= 20), "high")
+            .when((gap > 0.05) & (n_obs >= 10), "medium").otherwise("low"))
+
+
 def best_arm_confidence(beliefs: DataFrame, entity, arm: str = "arm", mean: str = "mean",
                         n_obs: str = "n_obs") -> DataFrame:
     """Best arm per entity and a confidence from the best-vs-second gap.
@@ -87,12 +96,8 @@ def best_arm_confidence(beliefs: DataFrame, entity, arm: str = "arm", mean: str
     r = beliefs.withColumn("_rk", F.row_number().over(w)).withColumn(
         "_next", F.lead(F.col(mean)).over(w))
     top = r.where(F.col("_rk") == 1)
-    gap = F.when(F.col("_next").isNull(), F.lit(0.0)).otherwise(
-        (F.col(mean) - F.col("_next")) / (F.abs(F.col(mean)) + F.lit(EPS)))
-    top = top.withColumn("relative_gap", gap)
-    conf = (F.when((F.col("relative_gap") > 0.15) & (F.col(n_obs) >= 20), "high")
-             .when((F.col("relative_gap") > 0.05) & (F.col(n_obs) >= 10), "medium")
-             .otherwise("low"))
+    top = top.withColumn("relative_gap", relative_gap(F.col(mean), F.col("_next")))
+    conf = gap_confidence(F.col("relative_gap"), F.col(n_obs))
     return top.select(*entity, F.col(arm).alias("best_arm"), F.col(mean).alias("best_mean"),
                       F.col(n_obs).alias("best_n_obs"),
                       round_half_up("relative_gap", 6).alias("relative_gap"), conf.alias("confidence"))
@@ -113,17 +118,34 @@ def bid_response_grid(base: DataFrame, levels=BID_LEVELS) -> DataFrame:
     profit(m) = impr*m^0.5*ctr*(cr*aov - cpc*m), maximised at m* = roas/3.
     """
     g = base.select("*", bid_levels_column(levels).alias("bid_multiplier"))
-    impr = F.col("base_impressions") * F.sqrt(F.col("bid_multiplier"))
+    return g.select("*", *[c.alias(name) for name, c in bid_response(F.col("bid_multiplier")).items()])
+
+
+def bid_response(m: Column) -> dict[str, Column]:
+    """The expected outcomes of one bid multiplier, over the base metrics of a row."""
+    impr = F.col("base_impressions") * F.sqrt(m)
     clicks = impr * F.col("base_ctr")
-    cpc = F.col("base_cpc") * F.col("bid_multiplier")
-    spend = clicks * cpc
+    spend = clicks * (F.col("base_cpc") * m)
     conv = clicks * F.col("base_conv_rate")
     revenue = conv * F.col("base_aov")
-    g = g.select("*", impr.alias("exp_impressions"), clicks.alias("exp_clicks"),
-                 spend.alias("exp_spend"), conv.alias("exp_conversions"), revenue.alias("exp_revenue"))
-    return g.select("*", (F.col("exp_revenue") - F.col("exp_spend")).alias("exp_profit"),
-                    F.when(F.col("exp_spend") > 0, F.col("exp_revenue") / F.col("exp_spend"))
-                     .otherwise(F.lit(0.0)).alias("exp_roas"))
+    return {"exp_impressions": impr, "exp_clicks": clicks, "exp_spend": spend, "exp_conversions": conv,
+            "exp_revenue": revenue, "exp_profit": revenue - spend,
+            "exp_roas": F.when(spend > 0, revenue / spend).otherwise(F.lit(0.0))}
+
+
+def best_bid(base: DataFrame, levels=BID_LEVELS) -> DataFrame:
+    """The best bid level of every campaign by expected profit (ties to the lower level) and the
+    confidence of its lead over the second (A33): the levels are few, so both are
+    found inside the row."""
+    def level(m):
+        out = bid_response(F.lit(float(m)))
+        return F.struct((-out["exp_profit"]).alias("order"), F.lit(float(m)).alias("arm"), out["exp_profit"].alias("profit"),
+                        out["exp_roas"].alias("roas"))
+    g = base.withColumn("_by", F.array_sort(F.array(*[level(m) for m in levels])))
+    g = g.select("*", F.get("_by", F.lit(0)).alias("_1"), F.get("_by", F.lit(1)).alias("_2"))
+    gap = relative_gap(F.col("_1.profit"), F.col("_2.profit"))
+    return g.select(*base.columns, F.col("_1.arm").alias("best_arm"), F.col("_1.roas").alias("exp_roas"),
+                    gap_confidence(gap, F.col("n_days")).alias("confidence"))
 
 
 # ── M10: bid recommendations ─────────────────────────────────────────
@@ -140,17 +162,14 @@ def bid_recommendations(daily: DataFrame, campaigns: DataFrame, forecasts: DataF
                         targets: dict | None = None, levels=BID_LEVELS) -> DataFrame:
     """One bid recommendation per campaign with >= 14 rows and spend.
 
-    A13 base metrics -> M11 grid -> best and second-best level by expected
-    profit (A33 gap rules with n = rows in the 30-row window) -> action
+    A13 base metrics -> best and second-best level by expected profit inside
+    each row (M11, A33 gap rules with n = rows in the 30-row window) -> action
     (hold below 3 %) -> reasoning text (F5).
     """
     targets = targets or ROAS_TARGETS
     base = T.recent_base_metrics(daily).join(
         campaigns.select("campaign_id", "campaign_name", "platform"), "campaign_id")
-    grid = bid_response_grid(base, levels).withColumn("arm", F.col("bid_multiplier"))
-    best = best_arm_confidence(grid, "campaign_id", arm="arm", mean="exp_profit", n_obs="n_days")
-    exp_roas = grid.select("campaign_id", F.col("arm").alias("best_arm"), "exp_roas")
-    r = (base.join(best, "campaign_id").join(exp_roas, ["campaign_id", "best_arm"]))
+    r = best_bid(base, levels)
     change = round_half_up((F.col("best_arm") - 1.0) * 100, 1)
     r = r.withColumn("_chg", change)
     hold = F.abs(F.col("_chg")) < HOLD_BELOW_PCT

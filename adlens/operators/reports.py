@@ -191,18 +191,22 @@ def campaign_summary(daily: DataFrame, campaigns: DataFrame, start, end) -> Data
 # ── A7 (J2), J4, A8, A9 ──────────────────────────────────────────────
 
 def forecast_summary(forecasts: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """A7 (J2): stored-forecast summary per campaign x metric."""
+    """A7 (J2): stored-forecast summary per campaign x metric, with the time of the
+    newest row (NULL when the rows carry none)."""
+    made = F.col("created_at") if "created_at" in forecasts.columns else F.lit(None).cast("timestamp_ntz")
     f = forecasts.groupBy("campaign_id", "metric").agg(
         F.count("*").alias("forecast_days"),
         F.min("forecast_date").alias("first_date"),
         F.max("forecast_date").alias("last_date"),
         F.sum("predicted_value").alias("_sum_pred"),
+        F.max(made).alias("generated_at"),
     )
     j = f.join(campaigns.select("campaign_id", "campaign_name", "platform"), "campaign_id")
     return j.select(
         "campaign_id", "campaign_name", "platform", "metric", "forecast_days",
         "first_date", "last_date",
         round_half_up(F.col("_sum_pred") / F.col("forecast_days"), 1).alias("avg_predicted"),
+        "generated_at",
     ).orderBy("platform", "campaign_name", "metric")
 
 
@@ -314,3 +318,16 @@ def channel_summary(daily: DataFrame, campaigns: DataFrame, start, end) -> DataF
     ch = j.groupBy("platform").agg(money_sum("spend").alias("spend"), money_sum("revenue").alias("revenue"))
     return ch.select(F.col("platform").alias("campaign_id"), F.col("platform").alias("campaign_name"),
                      "spend", "revenue", ratio_null("revenue", "spend", 2).alias("roas"))
+
+
+def segment_summary(daily: DataFrame, campaigns: DataFrame, start, end) -> DataFrame:
+    """A6 at segment grain: platform and spend tier of the campaign (whole powers of e), keyed
+    like a campaign row, so that the allocator can move budget between small and large spenders."""
+    per = in_range(daily, start, end).groupBy("campaign_id").agg(
+        money_sum("spend").alias("spend"), money_sum("revenue").alias("revenue"))
+    tier = F.floor(F.ln(F.greatest(F.col("spend"), F.lit(1.0)))).cast("string")
+    j = per.join(campaigns.select("campaign_id", "platform"), "campaign_id").select(
+        F.concat(F.col("platform"), F.lit("/"), tier).alias("campaign_id"), "spend", "revenue")
+    seg = j.groupBy("campaign_id").agg(money_sum("spend").alias("spend"), money_sum("revenue").alias("revenue"))
+    return seg.select("campaign_id", F.col("campaign_id").alias("campaign_name"), "spend", "revenue",
+                      ratio_null("revenue", "spend", 2).alias("roas"))

@@ -174,26 +174,31 @@ def label_scores(tops: DataFrame, group: str = "cluster") -> DataFrame:
         F.count_distinct(F.col("_k.keyword")).alias("score"))
 
 
-def assign_labels(scores: DataFrame, groups: list, group: str = "cluster") -> DataFrame:
-    """M9: greedy over groups in order; each takes the unused label with the
-    highest score (strict >, label order as listed), else 'Other'; a label
-    already used gets ' (2)'.  Runs on the driver over at most
-    groups x labels score rows (k <= a handful)."""
-    spark = scores.sparkSession
-    got = {(r[group], r["label"]): r["score"] for r in scores.collect()}
-    used, rows = set(), []
-    for g in groups:
-        best, best_score = OTHER_LABEL, 0
-        for lbl in LABEL_KEYWORDS:
-            s = got.get((g, lbl), 0)
-            if s > best_score and lbl not in used:
-                best, best_score = lbl, s
-        if best in used:
-            best = f"{best} (2)"
-        used.add(best)
-        rows.append((g, best))
-    dtype = scores.schema[group].dataType.simpleString()
-    return spark.createDataFrame(rows, f"{group} {dtype}, label string")
+def assign_labels(scores: DataFrame, groups: DataFrame, group: str = "cluster") -> DataFrame:
+    """M9: one label per row of ``groups``, taken in the order of the group.
+
+    A group prefers its labels by score, ties in the listed order, and takes the first
+    that no earlier group took; without one it is 'Other'.  A label that is taken
+    again gets ' (2)'.  The choices depend on each other, so they are one fold: the
+    groups, a handful, with their preferences (at most five each) as an ordered
+    array, and the labels taken so far as the state."""
+    kind = groups.schema[group].dataType.simpleString()
+    place = F.create_map(*[F.lit(x) for lbl, i in zip(LABEL_KEYWORDS, range(len(LABEL_KEYWORDS))) for x in (lbl, i)])
+    liked = scores.where("score > 0").groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        (-F.col("score")).alias("s"), place[F.col("label")].alias("i"), "label"))), lambda x: x["label"]).alias("liked"))
+    row = F.struct(group, F.coalesce("liked", F.array().cast("array<string>")).alias("liked"))
+    every = groups.select(group).distinct().join(liked, group, "left").agg(F.array_sort(F.collect_list(row)).alias("every"))
+
+    def take(state, g):
+        free = F.filter(g["liked"], lambda x: ~F.array_contains(state["taken"], x))
+        first = F.coalesce(F.get(free, F.lit(0)), F.lit(OTHER_LABEL))
+        label = F.when(F.array_contains(state["taken"], first), F.concat(first, F.lit(" (2)"))).otherwise(first)
+        return F.struct(F.array_append(state["taken"], label).alias("taken"), F.array_append(
+            state["made"], F.struct(g[group].alias(group), label.alias("label"))).alias("made"))
+
+    start = F.struct(F.array().cast("array<string>").alias("taken"),
+                     F.array().cast(f"array<struct<{group}:{kind},label:string>>").alias("made"))
+    return every.select(F.explode(F.aggregate("every", start, take, lambda x: x["made"])).alias("x")).select("x.*")
 
 
 # ── A10 / A11 ────────────────────────────────────────────────────────
@@ -230,8 +235,7 @@ def analyze_ads(ads: DataFrame, k: int = N_CLUSTERS, restarts: int = 10, seed: i
     coords, explained = projection_2d(clustered.select("doc_id", "features"))
     mw = mean_tfidf_per_group(weights, assignment)
     tops = top_terms(mw)
-    labels = assign_labels(label_scores(tops), sorted(r["cluster"] for r in
-                                                      assignment.select("cluster").distinct().collect()))
+    labels = assign_labels(label_scores(tops), assignment.select("cluster").distinct())
     clusters = group_sizes(assignment).join(tops, "cluster", "left").join(labels, "cluster")
     ads_out = (ads.join(assignment.withColumnRenamed("doc_id", "ad_id"), "ad_id")
                .join(coords.withColumnRenamed("doc_id", "ad_id"), "ad_id")

@@ -69,6 +69,14 @@ v_forecasts AS (
     CAST(s1 AS DOUBLE) / n + 1.28 * (SQRT(CAST(n * s2 - s1 * s1 AS DOUBLE)) / n) AS upper_bound
   FROM v_fc_raw WHERE n > 0)"""
 
+_FC_METRICS = ("clicks", "conversions", "spend", "revenue")
+V_ALL_FC = """v_allfc0 AS (SELECT campaign_id, date, COUNT(*) OVER w AS n, """ + ", ".join(
+    f"CAST(SUM(CAST({m} AS DECIMAL(18,2))) OVER w AS DOUBLE) / COUNT(*) OVER w AS {m}" for m in _FC_METRICS) + """
+  FROM v_daily WINDOW w AS (PARTITION BY campaign_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+v_allfc AS (""" + " UNION ALL ".join(
+    f"SELECT campaign_id, date AS forecast_date, '{m}' AS metric, {m} AS predicted_value, CAST(date - 1 AS TIMESTAMP) AS created_at "
+    "FROM v_allfc0 WHERE n > 0" for m in _FC_METRICS) + ")"
+
 V_ADS = """v_ads AS (
   SELECT CAST(doc_id AS BIGINT) AS ad_id, source AS advertiser_name, lang AS platform, text AS ad_copy,
     source || ' ad ' || CAST(doc_id AS VARCHAR) AS headline, 'Shop now' AS cta,
@@ -175,12 +183,12 @@ ORACLE["A5_daily_roas"] = with_views(V_DAILY) + f"""
         FROM v_daily WHERE date BETWEEN {_S} AND {_E} GROUP BY date)
 SELECT date, spend, revenue, {ratio_case('revenue', 'spend', 2)} AS roas FROM a ORDER BY date"""
 
-ORACLE["A7_forecast_summary"] = with_views(V_CAMPAIGNS, V_DAILY, V_FORECASTS) + f"""
+ORACLE["A7_forecast_summary"] = with_views(V_CAMPAIGNS, V_DAILY, V_ALL_FC) + f"""
 , f AS (SELECT campaign_id, metric, COUNT(*) AS forecast_days, MIN(forecast_date) AS first_date,
-          MAX(forecast_date) AS last_date, SUM(predicted_value) AS s
-        FROM v_forecasts GROUP BY campaign_id, metric)
+          MAX(forecast_date) AS last_date, SUM(predicted_value) AS s, MAX(created_at) AS generated_at
+        FROM v_allfc GROUP BY campaign_id, metric)
 SELECT f.campaign_id, c.campaign_name, c.platform, metric, forecast_days, first_date, last_date,
-  {rnd('s / forecast_days', 1)} AS avg_predicted
+  {rnd('s / forecast_days', 1)} AS avg_predicted, generated_at
 FROM f JOIN v_campaigns c ON f.campaign_id = c.campaign_id"""
 
 ORACLE["A8_platform_share"] = with_views(V_CAMPAIGNS, V_DAILY) + f"""
@@ -350,15 +358,39 @@ ORACLE["A17_forecast_means"] = with_views(V_DAILY, V_FORECASTS) + _A17 + " SELEC
 ORACLE["A18_mean_interest_by_date"] = with_views(V_TRENDS) + \
     "SELECT date, AVG(CAST(interest AS DOUBLE)) AS search_trend FROM v_trends GROUP BY date"
 
-_M14 = with_views(V_CAMPAIGNS, V_DAILY, V_FORECASTS) + _A14 + _A15 + _A17 + f"""
-, m14 AS (SELECT t14.*, t15.trend_pct AS roas_mean_trend_pct, t15.direction AS roas_mean_direction,
-    t17.avg_predicted AS forecast_clicks_avg,
-    campaign_name || ' (' || platform || '): ROAS=' || printf('%.1f', {rnd('roas_14d', 1)}) || 'x, Spend=$'
+_M14 = with_views(V_CAMPAIGNS, V_DAILY, V_ALL_FC) + _A14 + _A15 + _A17.replace("v_forecasts", "v_allfc") + f"""
+, ln14 AS (SELECT *, campaign_name || ' (' || platform || '): ROAS=' || printf('%.1f', {rnd('roas_14d', 1)}) || 'x, Spend=$'
       || format('{{:,}}', CAST({rnd('spend_14d', 0)} AS BIGINT)) || ', Conv=' || CAST(conversions_14d AS VARCHAR)
-      || ', Trend=' || trend || ' (' || (CASE WHEN t14.trend_pct < 0 THEN '-' ELSE '+' END)
-      || printf('%.1f', {rnd('ABS(t14.trend_pct)', 1)}) || '%)' AS line
-  FROM t14 LEFT JOIN t15 ON t14.campaign_id = t15.campaign_id
-  LEFT JOIN (SELECT * FROM t17 WHERE metric = 'clicks') t17 ON t14.campaign_id = t17.campaign_id)"""
+      || ', Trend=' || trend || ' (' || (CASE WHEN trend_pct < 0 THEN '-' ELSE '+' END)
+      || printf('%.1f', {rnd('ABS(trend_pct)', 1)}) || '%)' AS line FROM t14),
+m14 AS (SELECT ln14.* EXCLUDE (line), t15.trend_pct AS roas_mean_trend_pct, t15.direction AS roas_mean_direction,
+    {", ".join(f"f.forecast_{m}_avg" for m in _FC_METRICS)}, line
+  FROM ln14 LEFT JOIN t15 ON ln14.campaign_id = t15.campaign_id
+  LEFT JOIN (SELECT campaign_id, {", ".join(f"MAX(avg_predicted) FILTER (metric = '{m}') AS forecast_{m}_avg" for m in _FC_METRICS)}
+             FROM t17 GROUP BY campaign_id) f ON ln14.campaign_id = f.campaign_id)"""
+
+_K14 = [("1 spend", "'Spend: $' || " + "format('{:,}', CAST(" + rnd("total_spend", 0) + " AS BIGINT))"),
+        ("2 revenue", "'Revenue: $' || " + "format('{:,}', CAST(" + rnd("total_revenue", 0) + " AS BIGINT))"),
+        ("3 roas", f"'ROAS: ' || printf('%.2f', {rnd('overall_roas', 2)}) || 'x'"),
+        *[(f"{i} {name}", f"'{text}: ' || format('{{:,}}', CAST({c} AS BIGINT))") for i, name, text, c in (
+            (4, "conversions", "Conversions", "total_conversions"), (5, "clicks", "Clicks", "total_clicks"),
+            (6, "impressions", "Impressions", "total_impressions"), (7, "campaigns", "Campaigns with data", "active_campaigns"))]]
+ORACLE["M14_digest_lines"] = _M14.replace("WITH ", "WITH " + V_TRENDS + ",\n", 1) + f"""
+, k0 AS (SELECT {_kpi_sql("TRUE")} FROM v_daily),
+k AS (SELECT *, {_kpi_ratio_sql()} FROM k0),
+x16 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY keyword ORDER BY date DESC) AS rn,
+          COUNT(*) OVER (PARTITION BY keyword) AS n_rows FROM v_trends),
+a16 AS (SELECT keyword, SUM(CASE WHEN rn <= 7 THEN interest END) / 7 AS r,
+        SUM(CASE WHEN rn > 7 THEN interest END) / 7 AS p FROM x16 WHERE rn <= 14 AND n_rows >= 14 GROUP BY keyword),
+t16 AS (SELECT keyword, {rnd('r', 1)} AS recent, {rnd('(r - p) / (p + 1) * 100', 1)} AS pct FROM a16)
+SELECT '1 period' AS section, 'dates' AS item,
+  'Period: ' || CAST(MIN(date) AS VARCHAR) || ' to ' || CAST(MAX(date) AS VARCHAR) AS line FROM v_daily
+""" + "".join(f"UNION ALL SELECT '2 kpis', '{i}', {c} FROM k\n" for i, c in _K14) + f"""
+UNION ALL SELECT '3 campaigns', CAST(campaign_id AS VARCHAR), line FROM ln14
+UNION ALL SELECT '4 forecasts', CAST(campaign_id AS VARCHAR) || '/' || metric, metric || ': '
+  || printf('%.1f', {rnd('avg_predicted', 1)}) || ' a day over ' || CAST(forecast_days AS VARCHAR) || ' days' FROM t17
+UNION ALL SELECT '5 keywords', keyword, keyword || ': interest ' || printf('%.1f', {rnd('recent', 1)}) || ' ('
+  || CASE WHEN pct < 0 THEN '-' ELSE '+' END || printf('%.1f', {rnd('ABS(pct)', 1)}) || '%)' FROM t16"""
 
 ORACLE["M14_portfolio_digest"] = _M14 + " SELECT * FROM m14"
 
@@ -462,6 +494,9 @@ bids AS (SELECT campaign_id, campaign_name, platform, {rnd('current_roas', 2)} A
 
 ORACLE["M10_bid_recommendations"] = _M10 + " SELECT * FROM bids"
 
+ORACLE["M10_platform_targets"] = _M10.replace("c_mktsegment AS platform", "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'google' "
+    "WHEN 'BUILDING' THEN 'meta' WHEN 'FURNITURE' THEN 'amazon' ELSE lower(c_mktsegment) END AS platform") + " SELECT * FROM bids"
+
 ORACLE["T4_top_bid_rows"] = _M10 + """
 , top AS (SELECT * FROM bids ORDER BY platform, campaign_name, campaign_id LIMIT 8)
 SELECT CAST(ROW_NUMBER() OVER (ORDER BY platform, campaign_name, campaign_id) AS INTEGER) AS priority, campaign_id, campaign_name,
@@ -545,7 +580,18 @@ pol AS (SELECT DISTINCT policy FROM choices)
 SELECT pol.policy, arms.arm, CAST(COALESCE(cnt.n, 0) AS BIGINT) AS pulls
 FROM pol CROSS JOIN arms LEFT JOIN cnt ON cnt.policy = pol.policy AND cnt.arm = arms.arm"""
 
-ORACLE["U2_recommendation_log"] = _M10 + _A6 + _M12_BODY + _SHIFTS_BODY + """
+# segments: platform and whole power of e of the campaign's spend
+_SEG = f"""
+, per6 AS (SELECT campaign_id, {msum('spend')} AS spend, {msum('revenue')} AS revenue
+  FROM v_daily WHERE date BETWEEN {_ALL} GROUP BY campaign_id),
+sg0 AS (SELECT c.platform || '/' || CAST(CAST(FLOOR(LN(GREATEST(p.spend, 1.0))) AS BIGINT) AS VARCHAR) AS campaign_id, p.spend, p.revenue
+  FROM per6 p JOIN v_campaigns c ON p.campaign_id = c.campaign_id),
+sg AS (SELECT campaign_id, {msum('spend')} AS spend, {msum('revenue')} AS revenue FROM sg0 GROUP BY campaign_id),
+a6 AS (SELECT campaign_id, campaign_id AS campaign_name, spend, revenue, {ratio_null('revenue', 'spend', 2)} AS roas FROM sg)"""
+ORACLE["M12_segment_allocation"] = with_views(V_CAMPAIGNS, V_DAILY) + _SEG + _M12_BODY + " SELECT * FROM alloc"
+ORACLE["M12_segment_shifts"] = with_views(V_CAMPAIGNS, V_DAILY) + _SEG + _M12_BODY + _SHIFTS_BODY + " SELECT * FROM shifts"
+
+ORACLE["U2_recommendation_log"] = _M10 + _SEG + _M12_BODY + _SHIFTS_BODY + """
 SELECT CAST(campaign_id AS VARCHAR) AS campaign_id, 'bid_adjustment' AS action_type,
   to_json({'action': recommended_action, 'change_pct': recommended_change_pct,
            'multiplier': recommended_multiplier, 'expected_roas': expected_roas_after}) AS action_detail,
@@ -685,7 +731,11 @@ ORACLE["U3_metric_series"] = with_views(V_DAILY) + _U3
 ORACLE["M1_rejected_series"] = with_views(V_DAILY) + f"""
 SELECT campaign_id, metric, COUNT(*) AS n_rows FROM ({_U3}) GROUP BY campaign_id, metric HAVING COUNT(*) < 30"""
 
-_J7 = with_views(V_CAMPAIGNS, V_TRENDS) + """
+_J7 = with_views(
+    V_CAMPAIGNS.replace("c_name AS campaign_name", "c_name || ' ' || (['Gaming Laptop', 'Headphones', '4K Monitor', "
+                        "'Laptop and Monitor', 'Chairs', 'Earbuds'])[c_custkey % 6 + 1] AS campaign_name"),
+    V_TRENDS.replace("event_type AS keyword", "CASE event_type WHEN 'view' THEN 'laptop' WHEN 'click' THEN 'headphones' "
+                     "WHEN 'purchase' THEN 'computer monitor' ELSE event_type END AS keyword")) + """
 , trig AS (SELECT * FROM (VALUES ('laptop', 'laptop'), ('headphone', 'headphones'), ('monitor', 'computer monitor'),
     ('earbud', 'wireless earbuds'), ('keyboard', 'gaming keyboard')) t(trig, keyword)),
 hits AS (SELECT c.campaign_id, t.keyword FROM v_campaigns c JOIN trig t ON contains(lower(c.campaign_name), t.trig)),
@@ -830,6 +880,38 @@ tt AS (SELECT category, unnest(top_terms) AS term FROM tops)
 SELECT category, label, COUNT(DISTINCT keyword) AS score FROM tt CROSS JOIN kw
 WHERE contains(term, keyword) OR contains(keyword, term) GROUP BY category, label"""
 
+def _fold_sql() -> str:
+    """Labels of the groups in order, one recursion step a group."""
+    from adlens.operators.text import LABEL_KEYWORDS
+    place = " ".join(f"WHEN '{lbl}' THEN {i}" for i, lbl in enumerate(LABEL_KEYWORDS))
+    first = "COALESCE(list_filter(g.liked, lambda x: NOT list_contains(r.taken, x))[1], 'Other')"
+    label = f"CASE WHEN list_contains(r.taken, {first}) THEN {first} || ' (2)' ELSE {first} END"
+    return f"""
+, kw AS (SELECT * FROM (VALUES {_label_kw_sql()}) t(label, keyword)),
+tt AS (SELECT category, unnest(top_terms) AS term FROM tops),
+js AS (SELECT category, label, COUNT(DISTINCT keyword) AS score FROM tt CROSS JOIN kw
+  WHERE contains(term, keyword) OR contains(keyword, term) GROUP BY category, label),
+lk AS (SELECT category, list(label ORDER BY score DESC, CASE label {place} END) AS liked FROM js GROUP BY category),
+gr AS (SELECT category, ROW_NUMBER() OVER (ORDER BY category) AS pos, COALESCE(liked, CAST([] AS VARCHAR[])) AS liked
+  FROM (SELECT DISTINCT category FROM v_ads) LEFT JOIN lk USING (category)),
+fold AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS label, CAST([] AS VARCHAR[]) AS taken
+  UNION ALL SELECT g.pos, g.category, {label}, list_append(r.taken, {label}) FROM fold r JOIN gr g ON g.pos = r.pos + 1),
+lb AS (SELECT category, label FROM fold WHERE pos > 0),
+nads AS (SELECT category, COUNT(*) AS n_ads FROM v_ads GROUP BY category)"""
+
+
+_M9 = _TFIDF.replace("WITH ", "WITH RECURSIVE ", 1) + _fold_sql()
+ORACLE["M9_group_labels"] = _M9 + " SELECT category, label FROM lb"
+ORACLE["M9_group_summary"] = _M9 + """
+SELECT category, n_ads, top_terms, label FROM nads LEFT JOIN tops USING (category) JOIN lb USING (category)"""
+ORACLE["S16_store_cluster_results"] = _M9 + """
+, new AS (SELECT CAST(category AS BIGINT) AS cluster_id, label AS cluster_label, top_terms, n_ads, DATE '2024-01-31' AS analysis_date
+  FROM nads LEFT JOIN tops USING (category) JOIN lb USING (category)),
+ids AS (SELECT DISTINCT CAST(category AS BIGINT) AS cluster_id FROM v_ads)
+SELECT * FROM new
+UNION ALL SELECT cluster_id, 'Stale', ['old'], CAST(1 AS BIGINT), DATE '2024-01-30' FROM ids
+UNION ALL SELECT cluster_id + 100, 'Stale', ['old'], CAST(1 AS BIGINT), DATE '2024-01-31' FROM ids"""
+
 ORACLE["A26_group_sizes"] = with_views(V_ADS) + "SELECT category, COUNT(*) AS n_ads FROM v_ads GROUP BY category"
 
 ORACLE["A10_crosstab"] = with_views(V_ADS) + "SELECT advertiser_name, " + ", ".join(
@@ -849,17 +931,26 @@ _UPL = with_views(V_CAMPAIGNS, V_DAILY) + f"""
 upr AS (SELECT *, {ratio_zero('clicks', 'impressions', 6)} AS ctr, {ratio_zero('spend', 'clicks', 4)} AS cpc,
           {ratio_zero('revenue', 'spend', 4)} AS roas FROM up)"""
 
-ORACLE["S5_validate_upload"] = with_views(V_CAMPAIGNS, V_DAILY) + f"""
+# the last file of the upload: of the rows of one day the fifth part loads, with a clamped spend
+_BAD = """, bad AS (SELECT CAST(d.campaign_id AS VARCHAR) AS campaign_id, d.campaign_id % 5 AS k, DATE '2024-02-05' AS date, impressions,
+    clicks, conversions, CAST(0.0 AS DOUBLE) AS spend, revenue, c.campaign_name, ROW_NUMBER() OVER (ORDER BY d.campaign_id) AS row
+  FROM v_daily d JOIN v_campaigns c ON d.campaign_id = c.campaign_id WHERE d.date = DATE '2024-01-05')"""
+_RATIOS = (f"{ratio_zero('clicks', 'impressions', 6)} AS ctr, {ratio_zero('spend', 'clicks', 4)} AS cpc, "
+           f"{ratio_zero('revenue', 'spend', 4)} AS roas")
+ORACLE["S5_validate_upload"] = with_views(V_CAMPAIGNS, V_DAILY) + _BAD + f"""
 , up AS (SELECT CAST(d.campaign_id AS VARCHAR) AS campaign_id, d.date, impressions, clicks, conversions, spend, revenue,
            c.campaign_name FROM v_daily d JOIN v_campaigns c ON d.campaign_id = c.campaign_id),
 both_ AS (SELECT * FROM up UNION ALL SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue * 2, campaign_name
-          FROM up WHERE date >= DATE '2024-01-25')
-SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue,
-  {ratio_zero('clicks', 'impressions', 6)} AS ctr, {ratio_zero('spend', 'clicks', 4)} AS cpc,
-  {ratio_zero('revenue', 'spend', 4)} AS roas, campaign_name, 'google' AS platform, CAST(0.0 AS DOUBLE) AS daily_budget FROM both_"""
+          FROM up WHERE date >= DATE '2024-01-25'
+          UNION ALL SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue, campaign_name FROM bad WHERE k = 4)
+SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue, {_RATIOS},
+  campaign_name, 'google' AS platform, CAST(0.0 AS DOUBLE) AS daily_budget FROM both_"""
 
-ORACLE["S6_upsert_metrics"] = _UPL + """
-SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue, ctr, cpc, roas FROM upr"""
+ORACLE["S6_upsert_metrics"] = _UPL + _BAD + f"""
+SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue, ctr, cpc, roas FROM upr
+UNION ALL SELECT campaign_id, date, impressions, clicks, conversions, spend, revenue, {_RATIOS} FROM bad WHERE k = 4
+UNION ALL SELECT CAST(campaign_id AS VARCHAR), CAST(date - INTERVAL 12 MONTH AS DATE), impressions, clicks, conversions, spend, revenue,
+  ctr, cpc, roas FROM v_daily WHERE date < DATE '2024-01-16'"""
 
 ORACLE["S7_upsert_campaigns"] = with_views(V_CAMPAIGNS, V_DAILY) + """
 , seen AS (SELECT DISTINCT campaign_id FROM v_daily)
@@ -868,12 +959,15 @@ SELECT CAST(c.campaign_id AS VARCHAR) AS campaign_id, c.campaign_name,
   CASE WHEN s.campaign_id IS NULL THEN c.daily_budget ELSE 0.0 END AS daily_budget
 FROM v_campaigns c LEFT JOIN seen s ON c.campaign_id = s.campaign_id"""
 
-ORACLE["S8_ingestion_report"] = with_views(V_DAILY) + """
+ORACLE["S8_ingestion_report"] = with_views(V_CAMPAIGNS, V_DAILY) + _BAD + """
 , n AS (SELECT COUNT(*) + COUNT(*) FILTER (WHERE date >= DATE '2024-01-25') AS total,
-          COUNT(DISTINCT campaign_id) AS nc FROM v_daily)
-SELECT 'success' AS status, 'google' AS platform_detected, total AS rows_total, total AS rows_loaded,
-  CAST(0 AS BIGINT) AS rows_skipped, CAST(0 AS BIGINT) AS rows_clamped, nc AS n_campaigns,
-  CAST([] AS VARCHAR[]) AS errors FROM n"""
+          COUNT(DISTINCT campaign_id) AS nc FROM v_daily),
+w AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE k = 4) AS ok FROM bad),
+e AS (SELECT row, 'Row ' || CAST(row AS VARCHAR) || ': ' || CASE k WHEN 0 THEN 'missing campaign id' WHEN 1 THEN 'invalid date'
+        WHEN 2 THEN 'invalid count' ELSE 'invalid amount' END AS text FROM bad WHERE k <> 4 ORDER BY row LIMIT 20)
+SELECT 'partial' AS status, 'google' AS platform_detected, n.total + w.total AS rows_total, n.total + w.ok AS rows_loaded,
+  w.total - w.ok AS rows_skipped, w.ok AS rows_clamped, nc AS n_campaigns,
+  (SELECT list(text ORDER BY row) FROM e) AS errors FROM n, w"""
 
 _COMP = """
 SELECT ad_id, advertiser_name, platform, ad_copy, headline, cta, category, first_seen, last_seen, is_active, spend_tier
@@ -885,14 +979,24 @@ FROM v_ads WHERE ad_copy IS NOT NULL AND trim(ad_copy) <> '')) WHERE rn = 1"""
 
 ORACLE["S9_competitor_ingest"] = with_views(V_ADS) + _COMP.format(headline="headline", cta="''", seen="2024-01-31")
 ORACLE["S10_competitor_upsert"] = with_views(V_ADS) + f"""
-, a AS ({_COMP.format(headline="headline", cta="''", seen="2024-01-31")})
-SELECT ad_id, advertiser_name, platform, ad_copy, headline || ' v2' AS headline, cta, category, first_seen,
-  DATE '2024-02-01' AS last_seen, is_active, spend_tier FROM a"""
+, o AS ({_COMP.format(headline="headline", cta="''", seen="2024-01-31").replace("FROM v_ads WHERE", "FROM v_ads WHERE category <> '1' AND")}),
+n AS ({_COMP.format(headline="headline || ' v2'", cta="'Buy now'", seen="2024-02-01").replace("FROM v_ads WHERE", "FROM v_ads WHERE category <> '2' AND")})
+SELECT COALESCE(o.ad_id, n.ad_id) AS ad_id, COALESCE(o.advertiser_name, n.advertiser_name) AS advertiser_name,
+  COALESCE(o.platform, n.platform) AS platform, COALESCE(n.ad_copy, o.ad_copy) AS ad_copy, COALESCE(n.headline, o.headline) AS headline,
+  COALESCE(o.cta, n.cta) AS cta, COALESCE(o.category, n.category) AS category, COALESCE(o.first_seen, n.first_seen) AS first_seen,
+  COALESCE(n.last_seen, o.last_seen) AS last_seen, COALESCE(n.is_active, o.is_active) AS is_active,
+  COALESCE(n.spend_tier, o.spend_tier) AS spend_tier FROM o FULL JOIN n ON o.ad_id = n.ad_id"""
 
 ORACLE["S11_trends_wide_to_long"] = with_views(V_TRENDS) + "SELECT keyword, date, interest FROM v_trends"
-ORACLE["S12_upsert_trends"] = with_views(V_TRENDS) + "SELECT keyword, date, interest FROM v_trends"
+ORACLE["S12_upsert_trends"] = with_views(V_TRENDS) + \
+    "SELECT keyword, date, interest + CASE WHEN date >= DATE '2024-01-15' THEN 2 ELSE 0 END AS interest FROM v_trends"
 
-ORACLE["S15_truncate"] = with_views(V_DAILY) + "SELECT * FROM v_daily WHERE FALSE"
+_S15_ROWS = {"campaigns": "v_campaigns", "daily_metrics": "v_daily", "forecasts": "v_allfc", "recommendations": "v_campaigns",
+             "search_trends": "v_trends", "competitor_ads": "(SELECT * FROM v_ads WHERE ad_copy IS NOT NULL)",
+             "competitor_clusters": "(SELECT DISTINCT category FROM v_ads)"}
+ORACLE["S15_truncate"] = with_views(V_CAMPAIGNS, V_DAILY, V_ALL_FC, V_TRENDS, V_ADS) + " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, COUNT(*) AS rows_before, " + ("COUNT(*)" if name.startswith("competitor") else "CAST(0 AS BIGINT)")
+    + f" AS rows_after FROM {rows}" for name, rows in _S15_ROWS.items())
 
 ORACLE["S17_export_csv"] = with_views(V_CAMPAIGNS, V_DAILY) + """
 SELECT d.campaign_id, d.date, impressions, clicks, conversions, spend, revenue, c.campaign_name, c.platform
@@ -911,13 +1015,12 @@ FROM events"""
 
 _S14 = ORACLE["U2_recommendation_log"].replace(
     "'pending' AS status FROM bids", "'pending' AS status, TIMESTAMP '2024-01-31 00:00:00' AS created_at FROM bids").replace(
-    "'pending' AS status FROM shifts", "'pending' AS status, TIMESTAMP '2024-01-31 00:00:00' AS created_at FROM shifts").replace(
-    "SELECT campaign_id, 'bid_adjustment'", "SELECT CAST(campaign_id AS VARCHAR) AS campaign_id, 'bid_adjustment'").replace(
-    "SELECT from_campaign AS campaign_id,", "SELECT CAST(from_campaign AS VARCHAR) AS campaign_id,")
+    "'pending' AS status FROM shifts", "'pending' AS status, TIMESTAMP '2024-01-31 00:00:00' AS created_at FROM shifts") + """
+UNION ALL
+SELECT CAST(c_custkey AS VARCHAR), 'bid_adjustment', '{}', '', 'medium', 'pending', TIMESTAMP '2024-01-15 00:00:00' FROM customer"""
 ORACLE["S14_store_recommendations"] = _S14
-_T2_LOG = _S14.replace(_A6 + _M12_BODY, _CH + _M12_BODY)
-ORACLE["T2_recent_recommendations"] = "WITH lg AS (" + _T2_LOG.replace("WITH ", "WITH ", 1) + """)
-SELECT lg.campaign_id, c.campaign_name, c.platform, lg.action_type, lg.confidence, lg.status
+ORACLE["T2_recent_recommendations"] = "WITH lg AS (" + _S14 + """)
+SELECT lg.campaign_id, c.campaign_name, c.platform, lg.action_type, lg.action_detail, lg.reasoning, lg.confidence, lg.status, lg.created_at
 FROM lg LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS campaign_id, c_name AS campaign_name, c_mktsegment AS platform
                    FROM customer) c ON lg.campaign_id = c.campaign_id
 ORDER BY lg.created_at DESC, lg.campaign_id, lg.action_type, lg.action_detail LIMIT 20"""

@@ -22,11 +22,12 @@ RECENT_START = "2024-01-16"                 # A3: last 15 days vs the 15 before
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def _period(t: Tables) -> tuple[str, str, int]:
-    """First day, last day and number of days of the stored metrics (A1)."""
-    r = t.daily.agg(F.min("date"), F.max("date")).first()
-    first, last = r[0] or date(1970, 1, 1), r[1] or date(1970, 1, 1)
-    return str(first), str(last), (last - first).days + 1
+def _period(t: Tables):
+    """First day, last day and number of days of the stored metrics (A1), as scalar subqueries."""
+    day = F.lit(date(1970, 1, 1))
+    first = F.coalesce(t.daily.select(F.min("date")).scalar(), day)
+    last = F.coalesce(t.daily.select(F.max("date")).scalar(), day)
+    return first, last, F.datediff(last, first) + 1
 
 
 def query(name: str):
@@ -76,7 +77,7 @@ def _a5(t: Tables):
 
 @query("A7_forecast_summary")
 def _a7(t: Tables):
-    return R.forecast_summary(t.forecasts, t.campaigns)
+    return R.forecast_summary(t.all_forecasts, t.campaigns)
 
 
 @query("A8_platform_share")
@@ -227,12 +228,17 @@ def _a18(t: Tables):
 
 @query("M14_portfolio_digest")
 def _m14(t: Tables):
-    return D.portfolio_digest(t.daily, t.campaigns, t.forecasts)
+    return D.portfolio_digest(t.daily, t.campaigns, t.all_forecasts)
+
+
+@query("M14_digest_lines")
+def _m14l(t: Tables):
+    return D.digest_lines(t.daily, t.campaigns, t.all_forecasts, t.trends)
 
 
 @query("A34_portfolio_health")
 def _a34(t: Tables):
-    return D.portfolio_health(D.portfolio_digest(t.daily, t.campaigns, t.forecasts))
+    return D.portfolio_health(D.portfolio_digest(t.daily, t.campaigns, t.all_forecasts))
 
 
 # ── Phase 4: decide ──────────────────────────────────────────────────
@@ -280,6 +286,14 @@ def _m10(t: Tables):
     return _bids(t)
 
 
+@query("M10_platform_targets")
+def _m10p(t: Tables):
+    """Bids where campaigns run on the platforms that have a target of their own."""
+    names = {"AUTOMOBILE": "google", "BUILDING": "meta", "FURNITURE": "amazon"}
+    p = F.coalesce(*[F.when(F.col("platform") == k, F.lit(v)) for k, v in names.items()], F.lower("platform"))
+    return DC.bid_recommendations(t.daily, t.campaigns.withColumn("platform", p), t.forecasts)
+
+
 @query("T4_top_bid_rows")
 def _t4(t: Tables):
     return DC.top_bid_rows(_bids(t), 8).select(
@@ -333,7 +347,7 @@ def _a37(t: Tables):
 
 @query("U2_recommendation_log")
 def _u2(t: Tables):
-    return DC.recommendation_log(_bids(t), DC.budget_shifts(_allocation(t)))
+    return _recommended(t)
 
 
 def _channel_allocation(t: Tables):
@@ -351,6 +365,25 @@ def _m12cs(t: Tables):
     return DC.budget_shifts(_channel_allocation(t))
 
 
+def _segment_allocation(t: Tables):
+    first, last, days = _period(t)
+    return DC.budget_allocation(R.segment_summary(t.daily, t.campaigns, first, last), days=days)
+
+
+@query("M12_segment_allocation")
+def _m12g(t: Tables):
+    return _segment_allocation(t)
+
+
+@query("M12_segment_shifts")
+def _m12gs(t: Tables):
+    return DC.budget_shifts(_segment_allocation(t))
+
+
+def _recommended(t: Tables):
+    return DC.recommendation_log(_bids(t), DC.budget_shifts(_segment_allocation(t)))
+
+
 # ── Phase 5: forecast ────────────────────────────────────────────────
 from adlens.operators import forecast as FC  # noqa: E402
 
@@ -432,15 +465,28 @@ def _a20hw(t: Tables):
     return FC.holt_winters(t.series, _SERIES_KEYS)["evaluation"]
 
 
+PRODUCTS = ("Gaming Laptop", "Headphones", "4K Monitor", "Laptop and Monitor", "Chairs", "Earbuds")
+
+
+def _named(t: Tables):
+    """Campaigns named after products, and the trends of these products."""
+    products = F.array(*[F.lit(x) for x in PRODUCTS])
+    name = F.concat("campaign_name", F.lit(" "), F.element_at(products, (F.col("campaign_id") % len(PRODUCTS) + 1).cast("int")))
+    keyword = F.coalesce(*[F.when(F.col("keyword") == k, F.lit(v)) for k, v in (
+        ("view", "laptop"), ("click", "headphones"), ("purchase", "computer monitor"))], F.col("keyword"))
+    return t.campaigns.withColumn("campaign_name", name), t.trends.withColumn("keyword", keyword)
+
+
 @query("J7_trend_keywords")
 def _j7(t: Tables):
-    return FC.match_trend_keywords(t.campaigns, t.trends)
+    return FC.match_trend_keywords(*_named(t))
 
 
 @query("J5_trend_regressor")
 def _j5(t: Tables):
+    camps, trends = _named(t)
     return FC.with_trend_regressor(t.daily.select("campaign_id", "date", "clicks"),
-                                   FC.match_trend_keywords(t.campaigns, t.trends), t.trends)
+                                   FC.match_trend_keywords(camps, trends), trends)
 
 
 # ── Phase 6: learn (click-through) and ad-copy text ──────────────────
@@ -590,14 +636,24 @@ def _j11(t: Tables):
     return TX.label_scores(_tops(t), "category")
 
 
-def _categories(t: Tables) -> list:
-    """The distinct groups, from the ads table itself (a handful of values)."""
-    return sorted(r["category"] for r in t.ads.select("category").distinct().collect())
+def _group_labels(t: Tables, tops):
+    return TX.assign_labels(TX.label_scores(tops, "category"), t.ads.select("category"), "category")
 
 
 @query("M9_group_labels")
 def _m9(t: Tables):
-    return TX.assign_labels(TX.label_scores(_tops(t), "category"), _categories(t), "category")
+    return _group_labels(t, _tops(t))
+
+
+def _group_summary(t: Tables):
+    tops = _tops(t).checkpoint(eager=True)  # one row per group, used twice
+    sizes = TX.group_sizes(_by_category(t), "category")
+    return sizes.join(tops, "category", "left").join(_group_labels(t, tops), "category")
+
+
+@query("M9_group_summary")
+def _m9g(t: Tables):
+    return _group_summary(t)
 
 
 @query("A10_crosstab")
@@ -639,6 +695,7 @@ from adlens.functions.formatting import strip_code_fence  # noqa: E402
 from adlens.sources import ingest as IN  # noqa: E402
 from adlens.sources import sinks as SK  # noqa: E402
 
+BAD_DAY, CLAMPED_DAY = "2024-01-05", "2024-02-05"
 LATE_COPY_FROM = "2024-01-25"   # rows from this day appear again later in the upload
 
 
@@ -661,15 +718,26 @@ def _google_upload(t: Tables):
             F.concat(F.format_string("%.2f", F.col("ctr") * 100), F.lit("%")).alias("CTR"))
     late = d.where(F.col("date") >= F.lit(LATE_COPY_FROM).cast("date")).withColumn("revenue", F.col("revenue") * 2)
     path = shared_path(t.spark, f"upload_google_{_tag(t)}")
-    export(d).unionByName(export(late)).write.mode("overwrite").option("header", True).csv(path)
-    return IN.read_upload(t.spark, path)
+    export(d).unionByName(export(late)).write.option("header", True).csv(f"{path}/part=1")
+    # a last file whose rows are bad in turn: id, date, count, amount; or a clamped one that loads
+    bad = export(d.where(F.col("date") == F.lit(BAD_DAY).cast("date"))).withColumn("_k", F.col("Campaign ID").cast("bigint") % 5)
+    bad = bad.select(
+        "Campaign", F.when(F.col("_k") == 0, F.lit(" ")).otherwise(F.col("Campaign ID")).alias("Campaign ID"),
+        F.when(F.col("_k") == 1, F.lit("someday")).otherwise(F.lit(CLAMPED_DAY)).alias("Day"),
+        F.when(F.col("_k") == 2, F.lit("many")).otherwise(F.col("Impressions")).alias("Impressions"), "Clicks",
+        F.when(F.col("_k") == 3, F.lit("inf")).otherwise(F.concat(F.lit("-1"), F.col("Cost"))).alias("Cost"), "Conversions",
+        "`Conv. value`", "CTR", F.col("Campaign ID").cast("bigint").alias("_id"))
+    bad.repartition(1).sortWithinPartitions("_id").drop("_id").write.option("header", True).csv(f"{path}/part=2")
+    return IN.read_upload(t.spark, [f"{path}/part=1", f"{path}/part=2"])
 
 
 def _ingested(t: Tables):
     camps = t.campaigns.withColumn("campaign_id", F.col("campaign_id").cast("string"))
     target = t.daily.withColumn("campaign_id", F.col("campaign_id").cast("string")).where(
         F.col("date") < F.lit("2024-01-16").cast("date"))
-    return IN.ingest(t.spark, _google_upload(t), target, camps)
+    # rows of the year before are in no upload: they stay
+    target = target.unionByName(target.withColumn("date", F.add_months("date", -12)))
+    return {**IN.ingest(t.spark, _google_upload(t), target, camps), "target": target}
 
 
 GOOD_COLS = ["campaign_id", "date", "impressions", "clicks", "conversions", "spend", "revenue",
@@ -681,9 +749,21 @@ def _s5(t: Tables):
     return IN.good_rows(_ingested(t)["validated"]).select(*GOOD_COLS)
 
 
+METRIC_COLS = ["campaign_id", "date", "impressions", "clicks", "conversions", "spend", "revenue", "ctr", "cpc", "roas"]
+
+
+def _store(t: Tables) -> SK.Store:
+    """A database of its own per call, below the shared folder."""
+    folder = shared_path(t.spark, "store")
+    return SK.Store(t.spark, folder, "adlens_" + folder.rpartition("_")[2])
+
+
 @query("S6_upsert_metrics")
 def _s6(t: Tables):
-    return _ingested(t)["metrics"]
+    """The upload merged into a stored table, which is read and replaced."""
+    store, got = _store(t), _ingested(t)
+    store.replace("daily_metrics", got["target"])
+    return store.upsert("daily_metrics", IN.good_rows(got["validated"]), ["campaign_id", "date"], "_row_idx").select(*METRIC_COLS)
 
 
 @query("S7_upsert_campaigns")
@@ -712,8 +792,9 @@ def _s9(t: Tables):
 
 @query("S10_competitor_upsert")
 def _s10(t: Tables):
-    first = IN.ingest_competitor_ads(_competitor_upload(t, 1), seen="2024-01-31")
-    second = IN.ingest_competitor_ads(_competitor_upload(t, 2), seen="2024-02-01")
+    # some ads are in the first upload only, some in the second only
+    first = IN.ingest_competitor_ads(_competitor_upload(t, 1).where("vertical <> '1'"), seen="2024-01-31")
+    second = IN.ingest_competitor_ads(_competitor_upload(t, 2).where("vertical <> '2'"), seen="2024-02-01")
     return IN.upsert_competitor_ads(first, second)
 
 
@@ -727,7 +808,10 @@ def _s11(t: Tables):
 def _s12(t: Tables):
     tr = t.trends
     target = tr.where(F.col("date") < F.lit("2024-01-20").cast("date"))
-    batch = tr.where(F.col("date") >= F.lit("2024-01-15").cast("date")).withColumn("_row_idx", F.lit(0))
+    # the batch has another interest for the days that both have, and each key twice: the last row counts
+    batch = tr.where(F.col("date") >= F.lit("2024-01-15").cast("date")).select(
+        "keyword", "date", "interest", F.explode(F.array(F.lit(1), F.lit(2))).alias("_row_idx")).withColumn(
+        "interest", F.col("interest") + F.col("_row_idx"))
     return IN.upsert_last_wins(target, batch, ["keyword", "date"])
 
 
@@ -738,34 +822,58 @@ def _s13(t: Tables):
     return SK.store_forecasts(t.forecasts, fc)
 
 
+def _log(t: Tables):
+    """An older entry per campaign, all by default values, then the recommendations of the day."""
+    none = F.lit(None).cast("string")
+    old = t.campaigns.select("campaign_id", none.alias("action_type"), none.alias("action_detail"), none.alias("reasoning"),
+                             none.alias("confidence"))
+    log = SK.store_recommendations(None, old, created_at="2024-01-15 00:00:00")
+    return SK.store_recommendations(log, _recommended(t), created_at="2024-01-31 00:00:00")
+
+
 @query("S14_store_recommendations")
 def _s14(t: Tables):
-    recs = DC.recommendation_log(_bids(t), DC.budget_shifts(_allocation(t)))
-    return SK.store_recommendations(None, recs, created_at="2024-01-31 00:00:00")
+    return _log(t)
 
 
 @query("T2_recent_recommendations")
 def _t2(t: Tables):
-    recs = DC.recommendation_log(_bids(t), DC.budget_shifts(_channel_allocation(t)))
-    log = SK.store_recommendations(None, recs, created_at="2024-01-31 00:00:00")
     camps = t.campaigns.withColumn("campaign_id", F.col("campaign_id").cast("string"))
-    return R.recent_recommendations(log, camps, 20).select(
-        "campaign_id", "campaign_name", "platform", "action_type", "confidence", "status")
+    return R.recent_recommendations(_log(t), camps, 20)
 
 
 @query("S15_truncate")
 def _s15(t: Tables):
-    return SK.empty_like(t.daily)
+    """All seven tables written, five of them reset, and all read back."""
+    store = _store(t)
+    text = F.col("campaign_id").cast("string").alias("campaign_id")
+    store.replace("campaigns", t.campaigns.select(text, "campaign_name", "platform"))
+    store.replace("daily_metrics", t.daily.withColumn("campaign_id", text))
+    store.replace("forecasts", t.all_forecasts.withColumn("campaign_id", text))
+    store.append("recommendations", SK.store_recommendations(None, t.campaigns.select(
+        "campaign_id", *[F.lit(None).cast("string").alias(c) for c in ("action_type", "action_detail", "reasoning", "confidence")])))
+    store.replace("search_trends", t.trends)
+    store.replace("competitor_ads", t.ads.withColumn("ad_id", F.col("ad_id").cast("string")).where("ad_copy is not null"))
+    store.replace("competitor_clusters", t.ads.groupBy(F.col("category").cast("bigint").alias("cluster_id")).agg(
+        F.count(F.lit(1)).alias("n_ads")).select("cluster_id", "n_ads", F.lit("Other").alias("cluster_label"), F.array(
+            F.lit("x")).alias("top_terms"), F.lit("2024-01-31").cast("date").alias("analysis_date")))
+    before = t.spark.createDataFrame(store.counts().collect(), "table_name string, rows_before bigint")
+    store.reset()
+    return before.join(store.counts().withColumnRenamed("n_rows", "rows_after"), "table_name")
 
 
 @query("S16_store_cluster_results")
 def _s16(t: Tables):
-    # one row per group, used three times below: compute the text pipeline once
-    tops = _tops(t).checkpoint(eager=True)
-    labels = TX.assign_labels(TX.label_scores(tops, "category"), _categories(t), "category")
-    sizes = TX.group_sizes(_by_category(t), "category")
-    cl = tops.join(labels, "category").join(sizes, "category").withColumn("cluster_id", F.col("category"))
-    return SK.store_cluster_results(None, cl, "2024-01-31")
+    """Two stored snapshots, of which the later is partly older: its groups are replaced,
+    those that are gone and the earlier snapshot stay."""
+    store = _store(t)
+    groups = t.ads.select("category").distinct().select(F.col("category").cast("bigint").alias("cluster_id"))
+    stale = groups.select("cluster_id", F.lit("Stale").alias("label"), F.array(F.lit("old")).alias("top_terms"), F.lit(1).alias("n_ads"))
+    gone = stale.withColumn("cluster_id", F.col("cluster_id") + 100)
+    store.append("competitor_clusters", SK.store_cluster_results(None, stale, "2024-01-30"))
+    store.append("competitor_clusters", SK.store_cluster_results(None, stale.where("cluster_id % 2 = 0").unionByName(gone), "2024-01-31"))
+    new = SK.store_cluster_results(None, _group_summary(t).withColumnRenamed("category", "cluster_id"), "2024-01-31")
+    return store.upsert("competitor_clusters", new, ["cluster_id", "analysis_date"]).drop("created_at")
 
 
 @query("S17_export_csv")

@@ -9,12 +9,16 @@ is reading from.  Written tables live under the shared checkpoint folder
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
+from adlens.operators.reports import table_counts
 from adlens.sources import schemas as S
-from adlens.sources.ingest import upsert_by_key
+from adlens.sources.ingest import upsert_by_key, upsert_last_wins
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -56,16 +60,63 @@ def store_recommendations(log: DataFrame | None, recs: DataFrame, created_at=Non
     return r if log is None else log.unionByName(r)
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    """truncate = an empty frame with the same schema."""
-    return df.sparkSession.createDataFrame([], df.schema)
+class Store:
+    """The stored tables (S20) as external Parquet tables of one catalog database.
 
+    A table's files are never changed: ``replace`` writes the new rows, with the schema's
+    defaults, to a new folder and then points the table there, so an upsert or a reset may
+    read the very table that it replaces, and a job that fails leaves the old table in place.
+    """
 
-def reset_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    """The five-table reset (competitor tables are not touched)."""
-    return {name: spark.createDataFrame([], schema) for name, schema in [
-        ("campaigns", S.CAMPAIGNS), ("daily_metrics", S.DAILY_METRICS), ("forecasts", S.FORECASTS),
-        ("recommendations", S.RECOMMENDATIONS), ("search_trends", S.SEARCH_TRENDS)]}
+    def __init__(self, spark: SparkSession, folder: str, database: str, tables=None):
+        self.spark, self.folder, self.database, self.tables = spark, folder.rstrip("/"), database, dict(tables or S.TABLES)
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{self.folder}'")
+
+    def _name(self, name: str) -> str:
+        return f"`{self.database}`.`{name}`"
+
+    def read(self, name: str) -> DataFrame:
+        """The rows now stored; an empty frame before the first write."""
+        if not self.spark.catalog.tableExists(self._name(name)):
+            return self.spark.createDataFrame([], self.tables[name])
+        return self.spark.table(self._name(name))
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        S.with_defaults(df, self.tables[name]).write.parquet(path)
+        if self.spark.catalog.tableExists(self._name(name)):
+            self.spark.sql(f"ALTER TABLE {self._name(name)} SET LOCATION '{path}'")
+            self.spark.catalog.refreshTable(self._name(name))
+        else:
+            plain = T.StructType([T.StructField(f.name, f.dataType) for f in self.tables[name]])
+            self.spark.catalog.createTable(self._name(name), path=path, source="parquet", schema=plain)
+        return self.read(name)
+
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Adds rows: files beside those that are there."""
+        if not self.spark.catalog.tableExists(self._name(name)):
+            return self.replace(name, df)
+        S.with_defaults(df, self.tables[name]).write.insertInto(self._name(name))
+        self.spark.catalog.refreshTable(self._name(name))
+        return self.read(name)
+
+    def upsert(self, name: str, batch: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
+        """Rows of ``batch`` replace stored rows with their keys; with
+        ``order_col`` the last row of each key counts, else keys are unique in the batch."""
+        new = S.with_defaults(batch, self.tables[name])
+        if order_col is None:
+            return self.replace(name, upsert_by_key(self.read(name), new, keys))
+        new = S.with_defaults(batch, T.StructType([*self.tables[name], batch.schema[order_col]]))
+        return self.replace(name, upsert_last_wins(self.read(name), new, keys, order_col))
+
+    def reset(self) -> None:
+        """Empties the five campaign tables; the competitor tables are not touched."""
+        for name in S.RESET:
+            self.replace(name, self.spark.createDataFrame([], self.tables[name]))
+
+    def counts(self) -> DataFrame:
+        """(table_name, n_rows) of every table."""
+        return table_counts({name: self.read(name) for name in sorted(self.tables)})
 
 
 def store_cluster_results(existing: DataFrame | None, clusters: DataFrame, analysis_date) -> DataFrame:
@@ -125,22 +176,27 @@ def load_metadata(spark: SparkSession, path: str) -> dict | None:
     return json.loads(row[0]) if row else None
 
 
+#: Partition values that a merge lists one by one.
+MAX_LISTED = 4_096
+
+
 def merge_into_partitioned(spark: SparkSession, table_path: str, batch: DataFrame, keys: list[str],
                            partition_col: str = "date", order_col: str = "_row_idx") -> DataFrame:
     """Upsert ``batch`` into a parquet table partitioned by ``partition_col``,
     rewriting only the partitions the batch touches (dynamic partition
     overwrite) instead of the whole table.
 
-    The touched partitions are read (a semi-join on the batch's partition
-    values, which Spark turns into dynamic partition pruning), merged with
-    last-row-wins, checkpointed (so the write never reads the files it
-    replaces) and written back.  A batch whose columns are not the table's is refused.  Re-running the same batch gives the same
-    partitions, so a retried job is idempotent.
+    The values of ``partition_col`` in the batch, at most as many as the table gets
+    partitions, come to the driver and are the scan's partition filter: up to MAX_LISTED
+    as a literal list, more as their least and greatest value (a semi-join drops the rest).  The
+    touched partitions are merged with last-row-wins, checkpointed (so the write never
+    reads the files it replaces) and written back.  A batch whose columns are not the
+    table's is refused.  Re-running the same batch gives the same partitions, so a
+    retried job is idempotent.
     """
     from pyspark.errors import AnalysisException
 
     from adlens.session import ensure_checkpoint_dir
-    from adlens.sources.ingest import upsert_last_wins
     ensure_checkpoint_dir(spark)
     data_cols = [c for c in batch.columns if c != order_col]
     # evaluated once: the days, the merge and a retried write read the same rows
@@ -153,10 +209,18 @@ def merge_into_partitioned(spark: SparkSession, table_path: str, batch: DataFram
         current = spark.createDataFrame([], batch.select(*data_cols).schema)  # first write
     if set(current.columns) != set(data_cols):
         raise ValueError(f"the batch's columns {sorted(data_cols)} are not the table's {sorted(current.columns)}")
-    # the batch's days prune the scan to the touched partitions; a join, not a
-    # list on the driver, since the partition column may have any number of values
     touched = batch.select(partition_col).distinct()
-    current = current.join(touched, partition_col, "left_semi").select(*data_cols)
+    values = [r[0] for r in touched.limit(MAX_LISTED + 1).collect()]
+    if len(values) <= MAX_LISTED:
+        pruned = F.col(partition_col).isin([v for v in values if v is not None])
+        if None in values:
+            pruned = pruned | F.col(partition_col).isNull()
+        current = current.where(pruned)
+    else:
+        low, high = touched.agg(F.min(partition_col), F.max(partition_col)).first()
+        current = current.where(F.col(partition_col).between(low, high) | F.col(partition_col).isNull())
+        current = current.join(touched, current[partition_col].eqNullSafe(touched[partition_col]), "left_semi")
+    current = current.select(*data_cols)
     merged = upsert_last_wins(current, batch, keys, order_col).checkpoint(eager=True)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(table_path))

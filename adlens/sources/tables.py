@@ -20,6 +20,7 @@ TABLE_NAMES = ("region nation customer supplier part orders lineitem events "
 
 # Fixed values of the stand-in views (FIXTURES.md part B).
 EPOCH = "2024-01-01"          # first day of the events table
+FORECAST_METRICS = ("clicks", "conversions", "spend", "revenue")
 SPEND_TIER_BANDS = (2000, 20000)  # n_chars < 2000 low, < 20000 medium, else high
 
 
@@ -115,6 +116,17 @@ class Tables:
             (mean + F.lit(1.28) * sd).alias("upper_bound"),
         )
 
+    @cached_property
+    def all_forecasts(self) -> DataFrame:
+        """Stored forecasts of four metrics: the mean of the 7 preceding rows, made on the day before."""
+        d = self.daily.select("campaign_id", "date", *[F.col(m).cast("decimal(18,2)").alias(m) for m in FORECAST_METRICS])
+        w = Window.partitionBy("campaign_id").orderBy("date").rowsBetween(-7, -1)
+        d = d.select("campaign_id", "date", F.count(F.lit(1)).over(w).alias("n"), *[
+            (F.sum(m).over(w).cast("double") / F.count(F.lit(1)).over(w)).alias(m) for m in FORECAST_METRICS])
+        long = d.where("n > 0").unpivot(["campaign_id", "date"], list(FORECAST_METRICS), "metric", "predicted_value")
+        return long.select("campaign_id", F.col("date").alias("forecast_date"), "metric", "predicted_value",
+                           F.date_sub("date", 1).cast("timestamp_ntz").alias("created_at"))
+
     # ── v_ads ──────────────────────────────────────────────────────
     @cached_property
     def ads(self) -> DataFrame:

@@ -88,7 +88,7 @@ def run_upload_stream(spark: SparkSession, upload_dir: str, header: list[str], t
                       rejects_path: str, checkpoint_path: str, platform: str | None = None) -> DataFrame:
     """Ingest every CSV dropped into ``upload_dir`` (all with the given header)."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    src = spark.readStream.schema(schema).option("header", True).csv(upload_dir)
+    src = IN.with_position(spark.readStream.schema(schema).option("header", True).csv(upload_dir))
     keys = ["campaign_id", "date"]
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:

@@ -11,7 +11,7 @@ INTERNAL = ["campaign_id", "campaign_name", "platform", "date", "impressions", "
 
 def upload(spark, rows, cols=INTERNAL):
     df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in cols))
-    return df.withColumn("_row_idx", F.struct(F.lit("f").alias("file"),
+    return df.withColumn("_row_idx", F.struct(F.lit("f").alias("file"), F.lit(0).cast("bigint").alias("block"),
                                               F.monotonically_increasing_id().alias("pos")))
 
 
@@ -46,8 +46,8 @@ def test_three_good_rows_and_a_bad_date(spark):
 
 
 @pytest.mark.parametrize("field,value,reason", [
-    ("campaign_id", "   ", "campaign_id cannot be empty"),
-    ("campaign_id", None, "campaign_id cannot be empty"),
+    ("campaign_id", "   ", "missing campaign id"),
+    ("campaign_id", None, "missing campaign id"),
     ("date", None, "invalid date"),
     ("impressions", "1,234", "invalid count"),
     ("clicks", None, "invalid count"),

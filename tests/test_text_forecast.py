@@ -45,7 +45,7 @@ def test_cluster_errors_and_shrinking_k(spark):
 
 def test_label_greedy_gives_second_cluster_another_label(spark):
     tops = spark.createDataFrame([(0, ["sale", "deal"]), (1, ["discount", "price"])], "cluster int, top_terms array<string>")
-    labels = {r["cluster"]: r["label"] for r in TX.assign_labels(TX.label_scores(tops), [0, 1]).collect()}
+    labels = {r["cluster"]: r["label"] for r in TX.assign_labels(TX.label_scores(tops), tops).collect()}
     assert labels[0] == "Price & Deals" and labels[1] != "Price & Deals"
 
 
