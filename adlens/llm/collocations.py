@@ -3,15 +3,17 @@
 Counting is level by level.  Each task counts word sequences in a shallow trie
 over task-local word ids: a node holds a hash container (suffix of ids -> count)
 that bursts into one container per next word when it grows.  Beyond a bound of
-entries whole subtrees leave as sorted runs of (phrase, count); the runs are dealt
-by ranges of the phrase, so that each partition holds a few prefixes and a hot
-prefix is cut into longer ones, and are summed there.  A sequence is counted only if its
-parts may be frequent: bit filters of bounded size, made of the level before, say so.  They
+entries whole subtrees leave as sorted runs of (phrase, count), one compressed block per
+prefix partition; a prefix partition gets its blocks of all tasks and sums them.  It holds
+the sequences that agree in all words but the last two and in a few bits of the next
+word, so the subtree of a hot prefix is dealt over many.  A sequence is counted only if its parts may be frequent: bit
+filters of bounded size, made of the level before, say so.  They
 only steer: a false hit costs a row and never changes a count.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import _count_elements
 from itertools import chain
@@ -23,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.llm.common import mix64, save
+from adlens.llm.common import mix64, save, sorted_groups
 
 #: Entries of a task's trie before subtrees leave, of a container before it bursts,
 #: and bytes of text that are cut into words at once.
 MAX_ENTRIES, BURST, SLICE = 600_000, 4_096, 4 << 20
 #: Local word ids have 16 bits (a few are kept free); 0 is no word.
 MAX_IDS = (1 << 16) - 64
+#: Bits of a word that cut the subtree below a prefix; prefix partitions per shuffle partition.
+NEXT_BITS, SHARES = np.uint64(63), 4
 #: Least and most bits of a filter (at most 16 MB), and bits per entry between.
 FILTER_BITS = (1 << 16, 1 << 27, 16)
 
@@ -210,11 +214,55 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 # --- levels ---------------------------------------------------------------
 
-def _run(lang: str, phrases: pa.Array, counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()),
+def _run(lang: str, phrases, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
                                        pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
 
 
+def blocks(runs: list[tuple[pa.Array, np.ndarray, np.ndarray]], parts: int):
+    """Runs (keys, counts, hashes of the prefixes) as rows (part, size, body): the lengths, counts and bytes of
+    the keys of a prefix partition, compressed."""
+    if not sum(len(n) for _, n, _ in runs):
+        return
+    keys = pa.concat_arrays([k.cast(pa.large_binary()) for k, _, _ in runs])
+    counts, part = np.concatenate([n for _, n, _ in runs]), np.concatenate([h for _, _, h in runs]) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")             # keys stay in order inside a part
+    keys, counts, part = keys.take(pa.array(order)), counts[order], part[order].astype(np.int32)
+    offsets = np.frombuffer(keys.buffers()[1], dtype=np.int64)[keys.offset:keys.offset + len(keys) + 1]
+    data, lengths = memoryview(keys.buffers()[2]), np.diff(offsets).astype(np.uint32)
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
+    rows = ([], [], [])
+    for a, b in zip(cuts, cuts[1:]):
+        body = lengths[a:b].tobytes() + counts[a:b].astype(np.uint64).tobytes() + bytes(data[offsets[a]:offsets[b]])
+        for col, x in zip(rows, (part[a], b - a, np.uint32(len(body)).tobytes() + pa.compress(body, "zstd", asbytes=True))):
+            col.append(x)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())],
+                                     ["part", "size", "body"])
+
+
+def unpacked(size: int, body: bytes) -> tuple[pa.Array, np.ndarray]:
+    raw = pa.decompress(body[4:], int(np.frombuffer(body[:4], np.uint32)[0]), "zstd", asbytes=True)
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, size), dtype=np.int64)])
+    keys = pa.Array.from_buffers(pa.large_binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(raw[12 * size:])])
+    return keys, np.frombuffer(raw, np.uint64, size, 4 * size).astype(np.int64)
+
+
+def sum_blocks(least: int):
+    """Sums the blocks of each prefix partition; keys with ``least`` or more as (lang, phrase, n)."""
+    def run(batches):
+        for group in sorted_groups(batches, 1):
+            parts = [unpacked(n, body) for n, body in zip(group["size"].to_pylist(), group["body"].to_pylist())]
+            keys = pa.concat_arrays([k for k, _ in parts]).dictionary_encode()
+            total = np.zeros(len(keys.dictionary), dtype=np.int64)
+            np.add.at(total, keys.indices.to_numpy(), np.concatenate([n for _, n in parts]))
+            often = np.flatnonzero(total >= least)
+            named = [k.split(b"\n", 1) for k in keys.dictionary.take(pa.array(often)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([json.loads(g) for g, _ in named], pa.string()),
+                                              pa.array([p for _, p in named], pa.binary()).cast(pa.string()),
+                                              pa.array(total[often])], ["lang", "phrase", "n"])
+    return run
+
+
 def count_words(batches):
     """Sorted runs of the words of a task's rows (lang, text)."""
     held: dict[str, dict[bytes, int]] = {}
@@ -224,7 +272,7 @@ def count_words(batches):
             words = sorted(counts)
             for k in range(0, len(words), 100_000):
                 part = words[k:k + 100_000]
-                yield _run(lang, pa.array(part, pa.binary()), [counts[w] for w in part])
+                yield _run(lang, part, [counts[w] for w in part])
         held.clear()
 
     for batch in batches:
@@ -251,7 +299,7 @@ class LocalCounter:
         self.trie = HatTrie()
 
     def add(self, codes: np.ndarray, words: list[bytes], same: np.ndarray):
-        """Counts a slice; yields runs that leave."""
+        """Counts a slice; yields the runs that leave (keys, counts, hashes of the prefixes)."""
         unknown = [w for w in words if w not in self.index]
         h = np.fromiter((word_hash(w, self.lang) for w in unknown), dtype=np.uint64, count=len(unknown))
         maybe = passes(self.single, h)
@@ -315,42 +363,47 @@ class LocalCounter:
                 yield from self.leave(MAX_ENTRIES // 2)
 
     def leave(self, keep: int):
+        """The run of (keys, counts, hashes of the prefixes) that leaves; a key is the language and the phrase."""
         keys, counts = self.trie.spill(keep)
-        words = pa.array(self.words, pa.binary())
-        for k in range(0, len(keys), 100_000):
-            part, n = keys[k:k + 100_000], counts[k:k + 100_000]
-            ids = [(part >> np.uint64(s) & np.uint64(0xFFFF)).astype(np.int64) for s in (48, 32, 16, 0)]
-            length = 2 + (ids[2] > 0) + (ids[3] > 0)
-            for m in (2, 3, 4):
-                mine = length == m
-                if mine.any():
-                    yield _run(self.lang, pc.binary_join_element_wise(*[words.take(pa.array(x[mine])) for x in ids[:m]], b" "), n[mine])
-
-
-def count_phrases(single, pairs=None):
-    """Sorted runs of the two-word phrases of frequent words, or, with the filter of
+        words, hashes = pa.array(self.words, pa.binary()), np.array(self.hashes, dtype=np.uint64)
+        heads = pc.binary_join_element_wise(json.dumps(self.lang).encode(), words, b"\n")
+        ids = [(keys >> np.uint64(s) & np.uint64(0xFFFF)).astype(np.int64) for s in (48, 32, 16, 0)]
+        length = 2 + (ids[2] > 0) + (ids[3] > 0)
+        h = [hashes[x] for x in ids[:3]]
+        parts = np.where(length == 2, pair_hash(h[0], h[1] & NEXT_BITS), pair_hash(pair_hash(h[0], h[1]), h[2] & NEXT_BITS))
+        for m in (2, 3, 4):
+            mine = np.flatnonzero(length == m)
+            if len(mine):
+                at = [pa.array(x[mine]) for x in ids[:m]]
+                yield pc.binary_join_element_wise(heads.take(at[0]), *[words.take(x) for x in at[1:]], b" "), counts[mine], parts[mine]
+
+
+def count_phrases(parts: int, single, pairs=None):
+    """Sorted runs, as blocks, of the two-word phrases of frequent words, or, with the filter of
     frequent pairs, of three and four words."""
     def run(batches):
         counters: dict[str, LocalCounter] = {}
+
+        def leave():
+            yield from blocks([r for x in counters.values() for r in x.leave(0)], parts)
+            counters.clear()
+
         for batch in batches:
             for lang, texts in by_lang(batch):
                 for part in word_batches(texts):
                     if lang not in counters:
                         counters[lang] = LocalCounter(lang, single.value, pairs.value if pairs else None)
-                    yield from counters[lang].add(*part)
+                    yield from blocks(list(counters[lang].add(*part)), parts)
             if sum(x.trie.entries for x in counters.values()) > 2 * MAX_ENTRIES or len(counters) > 64:
-                for x in counters.values():
-                    yield from x.leave(0)
-                counters.clear()
-        for x in counters.values():
-            yield from x.leave(0)
+                yield from leave()
+        yield from leave()
     return run
 
 
-def merged(runs: DataFrame, least: int, name: str) -> DataFrame:
-    """(lang, phrase, n) with n >= ``least``: the runs, dealt by ranges of (lang, phrase), summed."""
-    total = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return save(total.where(F.col("n") >= least), name)
+def merged(blocks_of: DataFrame, least: int, name: str) -> DataFrame:
+    """(lang, phrase, n) with n >= ``least``: the blocks, summed in their prefix partitions."""
+    dealt = blocks_of.repartition("part").sortWithinPartitions("part")
+    return save(dealt.mapInArrow(sum_blocks(least), "lang string, phrase string, n long"), name)
 
 
 def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -359,14 +412,15 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "lang string, phrase string, n long"
-    runs = save(rows.mapInArrow(count_words, schema), "phrase-words")
-    totals = runs.groupBy("lang").agg(F.sum("n").alias("n"))
-    one = merged(runs, least, "phrase-1")
+    # a word is a subtree of its own; the table of all words also gives the totals
+    words = save(rows.mapInArrow(count_words, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(
+        F.sum("n").alias("n")), "phrase-words")
+    totals, one = words.groupBy("lang").agg(F.sum("n").alias("n")), words.where(F.col("n") >= least)
+    schema, parts = "part int, size int, body binary", SHARES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     single = spark.sparkContext.broadcast(bit_filter(one, 1))
-    two = merged(save(rows.mapInArrow(count_phrases(single), schema), "phrase-runs"), least, "phrase-2")
+    two = merged(rows.mapInArrow(count_phrases(parts, single), schema), least, "phrase-2")
     pairs = spark.sparkContext.broadcast(bit_filter(two, 2))
-    more = merged(save(rows.mapInArrow(count_phrases(single, pairs), schema), "phrase-runs"), least, "phrase-34")
+    more = merged(rows.mapInArrow(count_phrases(parts, single, pairs), schema), least, "phrase-34")
     every = one.unionByName(two).unionByName(more)
     return totals, every.withColumn("words", F.split("phrase", " "))
 

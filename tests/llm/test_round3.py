@@ -137,13 +137,17 @@ def count_locally(rows, words):
     ones = np.full(1 << 10, np.uint64(2 ** 64 - 1))
     value = type("V", (), {"value": ones})
     batch = pa.RecordBatch.from_arrays([pa.array([g or "und" for g, _ in rows]), pa.array([t or "" for _, t in rows])], ["lang", "text"])
-    run = C.count_words if words == 1 else C.count_phrases(value) if words == 2 else C.count_phrases(value, value)
-    out = Counter()
-    for part in run(iter([batch.slice(0, 50), batch.slice(50)])):
-        keys = list(zip(part["lang"].to_pylist(), part["phrase"].to_pylist()))
-        assert keys == sorted(keys, key=lambda k: (k[0],)) and len(set(keys)) == len(keys)
-        for k, n in zip(keys, part["n"].to_pylist()):
-            out[k] += n
+    out, parts = Counter(), 5
+    run = C.count_words if words == 1 else C.count_phrases(parts, value) if words == 2 else C.count_phrases(parts, value, value)
+    made = list(run(iter([batch.slice(0, 50), batch.slice(50)])))
+    if words > 1:       # the blocks of each prefix partition, as its task gets them
+        rows = pa.Table.from_batches(made).sort_by("part").to_batches() if made else []
+        assert all(0 <= p < parts for b in rows for p in b["part"].to_pylist())
+        made = list(C.sum_blocks(1)(iter(rows)))
+    for part in made:
+        for g, p, n in zip(part["lang"].to_pylist(), part["phrase"].to_pylist(), part["n"].to_pylist()):
+            assert words == 1 or (g, p) not in out      # one prefix partition has all of a phrase
+            out[g, p] += n
     return out
 
 
