@@ -172,16 +172,10 @@ def portable_hash(*cols, seed: int = 42):
 _TWO52 = float(1 << 52)
 
 
-def hashed_uniform(seed: int, *cols, stream: int = 0):
-    """A uniform draw in (0, 1) fixed by (seed, stream, cols): recomputing a
-    lost partition gives the same numbers whatever the row order."""
-    h = F.xxhash64(F.lit(seed), F.lit(stream), *cols)
-    return (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / _TWO52
-
-
 def hashed_normal(seed: int, *cols):
-    """A standard normal draw fixed by (seed, cols) (Box-Muller on two hashed
-    uniforms)."""
-    u1 = hashed_uniform(seed, *cols, stream=1)
-    u2 = hashed_uniform(seed, *cols, stream=2)
+    """A standard normal draw fixed by (seed, cols): Box-Muller on two uniforms of 52 bits
+    each, the first and the next 13 digits of an md5.  Recomputing a lost partition gives
+    the same numbers whatever the row order, and any SQL engine with md5 can repeat them."""
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
+    u1, u2 = ((F.conv(F.substring(text, at, 13), 16, 10).cast("bigint").cast("double") + 0.5) / _TWO52 for at in (1, 14))
     return F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * 3.141592653589793 * u2)

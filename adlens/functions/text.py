@@ -9,7 +9,7 @@ lambdas it is about 10x slower on long documents.)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Spark ML's default English stop words
@@ -38,30 +38,10 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
 
 
-def drop_stop_words(arr: Column, stop_words=ENGLISH_STOP_WORDS) -> Column:
-    """Remove stop words, keeping order (so bigrams skip over them)."""
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(arr, lambda x: ~F.array_contains(stop, x))
-
-
-def bigrams(arr: Column) -> Column:
-    """Adjacent pairs joined by a space: [a, b, c] -> [a b, b c]."""
-    n = F.size(arr)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(
-        F.zip_with(F.slice(arr, 1, n - 1), F.slice(arr, 2, n - 1),
-                   lambda a, b: F.concat_ws(" ", a, b)))
-
-
-def unigrams_and_bigrams(text) -> Column:
-    """M6 terms: stop words removed first, then unigrams followed by bigrams."""
-    t = drop_stop_words(tokens(text))
-    return F.concat(t, bigrams(t))
-
-
 def with_terms(df: DataFrame, text_col: str, out_col: str = "terms",
                stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """Adds ``out_col``: unigrams (stop words removed) followed by bigrams of
-    the remaining tokens — the same terms as ``unigrams_and_bigrams``."""
+    the remaining tokens, so that bigrams skip over stop words."""
     from pyspark.ml.feature import NGram, StopWordsRemover
     x = df.withColumn("_tok", tokens(text_col))
     x = StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=list(stop_words),

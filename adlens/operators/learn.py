@@ -126,16 +126,24 @@ def train_gbt(train_val: DataFrame, feature_cols: list[str], label: str = "label
 
 
 def train_hashed_logistic(train: DataFrame, feature_cols: list[str], label: str = "label",
-                          num_features: int = 1 << 18, reg: float = 0.0):
-    """M4 wide path: FeatureHasher + logistic regression (no vocabulary needed)."""
+                          num_features: int = 1 << 18, reg: float = 1e-4, categorical=()):
+    """M4 wide path: features hashed into a sparse vector and a logistic regression on it (no
+    vocabulary, so any number of distinct values).  Numbers are hashed by column, text and the
+    columns in ``categorical`` by (column, value); a null adds nothing."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import FeatureHasher
-    fh = FeatureHasher(inputCols=feature_cols, outputCol="features", numFeatures=num_features)
+    fh = FeatureHasher(inputCols=feature_cols, outputCol="features", numFeatures=num_features,
+                       **({"categoricalCols": list(categorical)} if categorical else {}))
     lr = LogisticRegression(labelCol=label, featuresCol="features", regParam=reg, maxIter=50)
     return Pipeline(stages=[fh, lr]).fit(train)
 
 
+def log_numbers(df: DataFrame, num_cols: list[str]) -> DataFrame:
+    """Numeric columns as log1p(|x|), null as 0 (M2), in place; others untouched."""
+    return df.withColumns({c: F.log1p(F.abs(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))) for c in num_cols})
+
+
 def score(model, df: DataFrame, keep: list[str]) -> DataFrame:
     """Positive-class probability as a DOUBLE column ``score``."""
     from pyspark.ml.functions import vector_to_array
@@ -194,3 +202,21 @@ def calibration(scored: DataFrame, label: str = "label", score_col: str = "score
     return t.select("bin", "n", round_half_up("_mp", 4).alias("mean_predicted"),
                     round_half_up("_fp", 4).alias("fraction_positive"),
                     round_half_up(ece, 4).alias("ece"))
+
+
+def evaluation_report(scored: DataFrame, importance: DataFrame, label: str = "label", score_col: str = "score") -> DataFrame:
+    """M5: the whole evaluation of one model as rows (section, item, value): the metrics (A22) with the
+    calibration error, the calibration bins (A23), and the features' importance (A24).  ``scored`` is read
+    several times: pass a stored frame."""
+    metrics, bins = binary_metrics(scored, label, score_col), calibration(scored, label, score_col)
+    names = ["auc_roc", "pr_auc", "log_loss", "base_rate", "test_size"]
+
+    def rows(df, section, item, values):
+        pairs = F.array(*[F.struct(F.concat(item, F.lit(n)).alias("item"), F.col(c).cast("double").alias("value")) for n, c in values])
+        return df.select(F.lit(section).alias("section"), F.explode(pairs).alias("x")).select("section", "x.item", "x.value")
+
+    out = rows(metrics, "metrics", F.lit(""), [(n, n) for n in names])
+    out = out.unionByName(rows(bins.agg(F.max("ece").alias("ece")), "metrics", F.lit(""), [("calibration_error", "ece")]))
+    out = out.unionByName(rows(bins, "calibration", F.concat(F.lit("bin "), F.col("bin").cast("string"), F.lit(" ")), [
+        ("n", "n"), ("mean predicted", "mean_predicted"), ("fraction positive", "fraction_positive")]))
+    return out.unionByName(rows(importance, "importance", F.col("feature"), [("", "importance")]))

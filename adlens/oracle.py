@@ -1068,3 +1068,29 @@ SELECT campaign_id, printf('%.1f', {rnd('roas', 1)}) || 'x' AS roas_text,
   TRY_CAST(replace(printf('%.1f', {rnd('roas', 1)}) || 'x', 'x', '') AS DOUBLE) AS roas_value FROM a6"""
 
 ORACLE["F6_join_top_terms"] = _TFIDF + " SELECT category, array_to_string(top_terms[1:3], ', ') AS top_3 FROM tops"
+
+ORACLE["P8_optional_filters"] = with_views(V_ADS) + \
+    "SELECT ad_id, advertiser_name, platform, category, spend_tier FROM v_ads WHERE category = '3' AND spend_tier = 'low'"
+ORACLE["F2_campaign_labels"] = with_views(V_CAMPAIGNS) + """
+SELECT campaign_id, upper(substr(platform, 1, 1)) || lower(substr(platform, 2)) AS platform_label,
+  upper(substr(platform, 1, 1)) || lower(substr(platform, 2)) || ' Active' AS segment_label, campaign_name AS short_name FROM v_campaigns"""
+ORACLE["F10_date_labels"] = with_views(V_DAILY) + """
+SELECT DISTINCT date, strftime(date, '%b %d') AS label, dayname(date) AS weekday, CAST(date_trunc('week', date) AS DATE) AS week_start FROM v_daily"""
+
+# standard normal draws: Box-Muller on the first and the next 13 hex digits of an md5
+_U = "((CAST('0x' || substr(h, {}, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
+ORACLE["J9_sampled_allocation"] = with_views(V_CAMPAIGNS, V_DAILY) + _A6 + f"""
+, b AS (SELECT campaign_id, COALESCE(roas, 0.0) AS r, 30.0 / ((COALESCE(roas, 0.0) * 0.2 + 0.1) * (COALESCE(roas, 0.0) * 0.2 + 0.1) + {_EPS}) AS w FROM a6),
+c AS (SELECT campaign_id, (w * r) / ({_PRIOR} + w) AS mu, 1.0 / SQRT({_PRIOR} + w) AS sd FROM b),
+d AS (SELECT c.*, s.s, md5(concat_ws('|', '42', CAST(campaign_id AS VARCHAR), CAST(s.s AS VARCHAR))) AS h FROM c, range(0, 1000) s(s)),
+x AS (SELECT campaign_id, s, mu + sd * (SQRT(-2.0 * LN({_U.format(1)})) * COS(2.0 * CAST('3.141592653589793' AS DOUBLE) * {_U.format(14)})) AS x FROM d),
+p AS (SELECT s, MIN(x) AS lo, SUM(x) - COUNT(*) * (MIN(x) - 0.1) AS tot FROM x GROUP BY s),
+sh AS (SELECT campaign_id, SUM((x - lo + 0.1) / tot) / 1000 AS share FROM x JOIN p USING (s) GROUP BY campaign_id)
+SELECT campaign_id, {rnd('share', 4)} AS recommended_share FROM sh"""
+
+ORACLE["M5_model_checks"] = _SPLIT + f"""
+, n AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM spl WHERE split = 'test')
+SELECT item, CASE WHEN item IN ('loaded model differs', 'negative importances') THEN CAST(0 AS DOUBLE)
+  WHEN item = 'importance total' THEN CAST(1 AS DOUBLE) WHEN item = 'features' THEN CAST({len(_NUM + _CAT)} AS DOUBLE) ELSE n END AS value
+FROM n, (SELECT unnest(['tree rows', 'tree scores in range', 'loaded model differs', 'hashed rows', 'hashed scores in range', 'features',
+  'negative importances', 'importance total', 'rows in calibration bins']) AS item)"""

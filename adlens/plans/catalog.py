@@ -560,18 +560,16 @@ def _a23(t: Tables):
     return L.calibration(t.scored)
 
 
-_MODELS: dict[tuple[str, str], tuple] = {}
+def _gbt(t: Tables):
+    """The click model and its transformed rows, trained anew by each query that uses it."""
+    s = _split(t)
+    x = L.transform(s, _vocab(t, s), CLICK_NUM, CLICK_CAT, keep=CLICK_KEYS + ["label", "split"])
+    return L.train_gbt(x.where(F.col("split") != "test"), CLICK_NUM + CLICK_CAT), x
 
 
-def _gbt(t: Tables):
-    """The click model and its transformed rows, trained once per application
-    and input (four queries use it)."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _MODELS:
-        s = _split(t)
-        x = L.transform(s, _vocab(t, s), CLICK_NUM, CLICK_CAT, keep=CLICK_KEYS + ["label", "split"])
-        _MODELS[key] = L.train_gbt(x.where(F.col("split") != "test"), CLICK_NUM + CLICK_CAT), x
-    return _MODELS[key]
+def _tested(model, x):
+    """Scores of the test rows, stored: evaluations read them several times."""
+    return L.score(model, x.where(F.col("split") == "test"), CLICK_KEYS + ["label"]).checkpoint(eager=True)
 
 
 @query("M4_ctr_predictions")
@@ -580,10 +578,57 @@ def _m4(t: Tables):
     return L.score(model, x.where(F.col("split") == "test"), CLICK_KEYS + ["label"])
 
 
+def _hashed(t: Tables):
+    """The wide-log model (hashed features, no vocabulary) and its rows."""
+    x = L.log_numbers(_split(t), CLICK_NUM)
+    return L.train_hashed_logistic(x.where(F.col("split") != "test"), CLICK_NUM + CLICK_CAT), x
+
+
+@query("M4_hashed_predictions")
+def _m4h(t: Tables):
+    model, x = _hashed(t)
+    return L.score(model, x.where(F.col("split") == "test"), CLICK_KEYS + ["label"])
+
+
 @query("M5_ctr_evaluation")
 def _m5(t: Tables):
     model, x = _gbt(t)
-    return L.binary_metrics(L.score(model, x.where(F.col("split") == "test"), CLICK_KEYS + ["label"]))
+    return L.evaluation_report(_tested(model, x), L.feature_importance(model, CLICK_NUM + CLICK_CAT))
+
+
+@query("M5_model_comparison")
+def _m5c(t: Tables):
+    """The trees beside the hashed logistic model, on the same test rows."""
+    parts = [L.binary_metrics(_tested(*made(t))).withColumn("model", F.lit(name)) for name, made in (("trees", _gbt), ("hashed", _hashed))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("M5_model_checks")
+def _m5i(t: Tables):
+    """What must hold for any trained model, as rows (item, value): the test rows are all scored, in
+    [0, 1], by the trees, by the model read back from storage alike, and by the hashed model;
+    importances are not negative and add up to 1; calibration bins hold all rows."""
+    model, x = _gbt(t)
+    path = shared_path(t.spark, f"ctr_model_{_tag(t)}")
+    SK.save_model(model, path, {"features": CLICK_NUM + CLICK_CAT})
+    scored = _tested(model, x)
+    again = _tested(SK.load_model(path), x)
+    differing = scored.exceptAll(again).unionByName(again.exceptAll(scored))     # rows share keys: compared as bags
+    hashed = _tested(*_hashed(t))
+    imp = L.feature_importance(model, CLICK_NUM + CLICK_CAT)
+    count = lambda df, **c: df.agg(*[F.coalesce(x.cast("double"), F.lit(0.0)).alias(k.replace("_", " ")) for k, x in c.items()])
+    inside = F.count_if(F.col("score").between(0.0, 1.0))
+    parts = [count(scored, tree_rows=F.count(F.lit(1)), tree_scores_in_range=inside),
+             count(differing, loaded_model_differs=F.count(F.lit(1))),
+             count(hashed, hashed_rows=F.count(F.lit(1)), hashed_scores_in_range=inside),
+             count(imp, features=F.count(F.lit(1)), negative_importances=F.count_if(F.col("importance") < 0),
+                   importance_total=F.round(F.sum("importance"), 3)),
+             count(L.calibration(scored), rows_in_calibration_bins=F.sum("n"))]
+    long = [p.unpivot([], p.columns, "item", "value") for p in parts]
+    out = long[0]
+    for p in long[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("A24_feature_importance")
@@ -979,3 +1024,28 @@ def _f3(t: Tables):
 @query("F6_join_top_terms")
 def _f6(t: Tables):
     return _tops(t).select("category", FMT.join_first("top_terms", 3).alias("top_3"))
+
+
+@query("P8_optional_filters")
+def _p8(t: Tables):
+    """A category and a tier are chosen; "All", an empty text and None choose nothing."""
+    return R.filter_optional(t.ads.select("ad_id", "advertiser_name", "platform", "category", "spend_tier"),
+                             category="3", spend_tier="low", platform="All", advertiser_name="", ad_id=None)
+
+
+@query("F2_campaign_labels")
+def _f2(t: Tables):
+    """Chart labels: platform capitalised, segment in title case, name without its platform."""
+    c = t.campaigns
+    prefix = F.when(F.col("campaign_id") % 3 == 0, F.lit("Google - ")).when(F.col("campaign_id") % 3 == 1, F.lit("Meta - ")).otherwise("")
+    return c.select("campaign_id", FMT.capitalize("platform").alias("platform_label"),
+                    FMT.title_case(F.concat_ws(" ", F.lower("platform"), F.col("status"))).alias("segment_label"),
+                    FMT.shorten_name(F.concat(prefix, F.col("campaign_name"))).alias("short_name"))
+
+
+@query("F10_date_labels")
+def _f10(t: Tables):
+    """Axis labels of every stored day."""
+    return t.daily.select("date").distinct().select(
+        "date", FMT.month_day_label("date").alias("label"), FMT.weekday_name("date").alias("weekday"),
+        FMT.monday_week_start("date").alias("week_start"))

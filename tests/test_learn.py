@@ -86,3 +86,24 @@ def test_click_log_sample_is_exact_and_seeded(spark, tmp_path):
     assert len(a) == 50 and sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert all(r["I2"] is None for r in a)
     assert L.read_click_log(spark, str(p), sample_size=500, schema=schema).count() == 200
+
+
+def test_hashed_logistic_learns_from_values_without_a_vocabulary(spark):
+    rows = [(float(i % 13), f"u{i}", ["red", "green", "blue", None][i % 4], int(i % 4 == 0 or i % 13 > 10), "test" if i % 5 == 0 else "train")
+            for i in range(3000)]
+    df = L.log_numbers(spark.createDataFrame(rows, "n double, user string, colour string, label int, split string"), ["n"])
+    model = L.train_hashed_logistic(df.where("split = 'train'"), ["n", "user", "colour"], num_features=1 << 12)
+    scored = L.score(model, df.where("split = 'test'"), ["user", "label"])
+    assert scored.where("score < 0 or score > 1 or score is null").isEmpty() and scored.count() == 600
+    assert L.binary_metrics(scored).first()["auc_roc"] > 0.85       # "user" is new in every row
+
+
+def test_evaluation_report_has_every_section(spark):
+    scored = spark.createDataFrame([(i % 2, (i % 10) / 10) for i in range(100)], "label int, score double")
+    imp = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "feature string, importance double")
+    got = {(r["section"], r["item"]): r["value"] for r in L.evaluation_report(scored, imp).collect()}
+    m, c = L.binary_metrics(scored).first(), L.calibration(scored).collect()
+    assert got["metrics", "auc_roc"] == m["auc_roc"] and got["metrics", "test_size"] == 100.0
+    assert got["metrics", "calibration_error"] == c[0]["ece"] and got["importance", "a"] == 0.75
+    assert sum(v for (s, i), v in got.items() if s == "calibration" and i.endswith(" n")) == 100.0
+    assert len(got) == 6 + 3 * len(c) + 2
