@@ -106,11 +106,41 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+#: ASCII letters, and ASCII marks other than the apostrophe (which begins contractions).
+_ASCII_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = True
+
+
+def cut_texts(texts: pa.Array, blanks: bool) -> pa.Array:
+    """The texts with a zero byte where an ASCII letter and an ASCII mark meet, and for each space and
+    line break (``blanks``) or before it."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[-1] == offsets[0]:
+        return texts.cast(pa.large_string())
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    letter, mark, blank = _ASCII_LETTER[data], _MARK[data], (data == 32) | (data == 10)
+    cut = np.zeros(len(data), dtype=bool)
+    cut[1:] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+    cut[offsets[(offsets > 0) & (offsets < len(data))]] = False     # a text begins: nothing meets there
+    if blanks:
+        data = np.where(blank, np.uint8(0), data)
+    else:
+        cut |= blank
+    at = np.flatnonzero(cut)
+    offsets = offsets + np.searchsorted(at, offsets)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)),
+                                                                 pa.py_buffer(np.insert(data, at, 0))])
+
+
 class ChunkTokenizer:
     """Whole-text encoding with a tokenizers file, by distinct word.
 
     Both tokenizers cut a text before every single space or line break that
-    stands between non-blank characters, and encode the pieces independently,
+    stands between non-blank characters, and between an ASCII letter and an ASCII mark other than
+    the apostrophe, and encode the pieces independently,
     so the ids of a text are the joined ids of these pieces.  Each distinct
     piece of a batch is encoded once and remembered (up to ``keep`` pieces).
     Texts in which such a cut is not certain go to the tokenizer whole; long
@@ -137,7 +167,7 @@ class ChunkTokenizer:
     def _word(self, piece: str):
         """Ids of a piece that is one pre-token of Latin letters, else None."""
         if self.lower:
-            word = unicodedata.normalize("NFC", piece).lower()
+            word = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).lower()
         else:
             word = piece[1:] if piece[:1] == " " else piece
         if not word.isalpha() or max(word) >= "ɐ":
@@ -184,18 +214,13 @@ class ChunkTokenizer:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined, length of each text's ids)."""
         arr = pa.array(texts, type=pa.large_string())
-        if self.lower:
-            odd = pc.match_substring(arr, "<|")
+        if self.lower:  # a capital sigma is lowered by what follows it
+            odd = pc.match_substring_regex(arr, "<\\||\\x00|\u03a3")
         else:
             odd = pc.match_substring_regex(arr, _ODD)
         odd = np.asarray(odd.to_numpy(zero_copy_only=False), dtype=bool)
         plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), arr)
-        if self.lower:
-            plain = pc.replace_substring(plain, "\n", " ")
-            lists = pc.split_pattern(plain, " ")
-        else:
-            plain = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n")
-            lists = pc.split_pattern(plain, "\0")
+        lists = pc.split_pattern(cut_texts(plain, self.lower), "\0")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         idx = np.fromiter((self.index.get(w, -1) for w in words), dtype=np.int64, count=len(words))

@@ -134,3 +134,24 @@ def test_packing_awkward_rows(spark):
         padding += (128 - at) if at & (at - 1) else 0
     assert padding <= 0.02 * sum(r.length for r in got)
     assert packing.pack_documents(docs(spark, []), BYTE).collect() == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_cut_at_marks_equal_the_library(name):
+    """Texts of odd neighbours: letters, marks, apostrophes, composing characters, blanks."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from adlens.llm.common import ChunkTokenizer
+    r = random.Random(1)
+    parts = ["a", "B", "the", "it's", "'s", "''s", ",", ".", "!", "-", " ", "  ", "\n", "\t", "é", "é", "Σ", "ΑΣ.",
+             "ς", "漢", "1", "23", "<", "=", "̸", "…", "\"", "İ", " ", "\x00", "<|endoftext|>", "ß",
+             "’", "don't", "x.y", "(a)", "_", "@"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(4000)] + ["", "word, and (more)! it's 'quoted'.\nx; y"]
+    mine, theirs = ChunkTokenizer(public_tokenizers.path(name), keep=200), Tokenizer.from_file(public_tokenizers.path(name))
+    for at in range(0, len(texts), 700):
+        ids, sizes = mine.encode(texts[at:at + 700])
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(texts[at:at + 700], ends - sizes, ends):
+            assert ids[a:b].tolist() == theirs.encode(text, add_special_tokens=False).ids, text
