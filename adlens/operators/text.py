@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.functions.text import with_terms
+from adlens.operators import cluster as C
 
 MAX_FEATURES = 500
 MAX_DF = 0.85
@@ -48,17 +49,16 @@ def term_statistics(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_
 
 def tfidf(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_copy",
           max_features: int = MAX_FEATURES, max_df: float = MAX_DF) -> dict:
-    """M6: ``vectors`` (doc_id, w: the weight of every vocabulary term, by
-    term_index), ``weights`` (doc_id, term, term_index, weight of the terms a document
-    has) and ``vocabulary`` (term, term_index, df, corpus_tf).
+    """M6: ``sparse`` (doc_id, idx, val: the places in the vocabulary of a document's terms and
+    their weights), ``weights`` (doc_id, term, term_index, weight) and ``vocabulary`` (term,
+    term_index, df, corpus_tf).
 
     min_df is 2 when there are more than 10 documents, else 1; terms in more
     than 85 % of documents are dropped.  The vocabulary (at most
     ``max_features`` rows) comes to the driver; terms are then counted,
-    weighted and normed inside each row, with no exchange.
+    weighted and normed inside each row, with no exchange, and only those that occur.
     """
     from pyspark.ml.feature import CountVectorizerModel
-    from pyspark.ml.functions import vector_to_array
 
     spark = docs.sparkSession
     n_docs = docs.count()
@@ -73,67 +73,27 @@ def tfidf(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_copy",
     if rows:
         terms = [r[0] for r in rows]
         model = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="_tf", minTF=1.0)
-        d = model.transform(d.select("doc_id", "terms")).select("doc_id", vector_to_array("_tf").alias("tf"))
+        d = model.transform(d.select("doc_id", "terms")).select("doc_id", F.unwrap_udt("_tf").alias("tf"))
         idf = F.array(*[F.ln(F.lit(1.0 + n_docs) / F.lit(1.0 + r[2])) + 1.0 for r in rows])
-        raw = F.zip_with("tf", idf, lambda n, i: F.when(n > 0, (1.0 + F.ln(n)) * i).otherwise(0.0))
-        d = d.select("doc_id", raw.alias("raw"))
+        raw = F.zip_with("tf.indices", "tf.values", lambda i, n: (1.0 + F.ln(n)) * F.element_at(idf, i + 1))
+        d = d.select("doc_id", F.col("tf.indices").alias("idx"), raw.alias("raw"))
         norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
-        d = d.select("doc_id", "raw", norm.alias("norm"))
-        vectors = d.select("doc_id", F.transform("raw", lambda x: F.when(
-            F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("w"))
+        d = d.select("doc_id", "idx", "raw", norm.alias("norm"))
+        sparse = d.select("doc_id", "idx", F.transform("raw", lambda x: x / F.col("norm")).alias("val"))
     else:
-        vectors = d.select("doc_id", F.array(F.lit(0.0)).alias("w"))
-    return {"vectors": vectors, "weights": term_weights(vectors, vocab), "vocabulary": vocab, "n_docs": n_docs}
+        sparse = d.select("doc_id", F.array().cast("array<int>").alias("idx"), F.array().cast("array<double>").alias("val"))
+    return {"sparse": sparse, "weights": term_weights(sparse, [r[0] for r in rows]), "vocabulary": vocab, "n_docs": n_docs,
+            "dim": len(rows), "terms": [r[0] for r in rows]}
 
 
-def term_weights(vectors: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, term, term_index, weight) of the terms each document has; the
-    vocabulary has at most ``max_features`` rows (a proven bound): broadcast."""
+def term_weights(sparse: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, term, term_index, weight) of the terms each document has; ``terms`` is the
+    vocabulary in order, a literal array."""
     # outer: no filter on the size is derived, which would repeat the whole text work below it
-    w = vectors.select("doc_id", F.posexplode_outer("w").alias("term_index", "weight")).where("weight > 0")
-    return w.join(F.broadcast(vocab.select("term", "term_index")), "term_index").select(
-        "doc_id", "term", "term_index", "weight")
-
-
-def doc_vectors(vectors: DataFrame) -> DataFrame:
-    """The weights as an ML vector per document (zero without vocabulary terms)."""
-    from pyspark.ml.functions import array_to_vector
-    return vectors.select("doc_id", array_to_vector("w").alias("features"))
-
-
-def kmeans_clusters(vectors: DataFrame, k: int = N_CLUSTERS, restarts: int = 10, seed: int = 42):
-    """M7: KMeans with k = min(k, n), best of ``restarts`` seeded runs by cost.
-
-    Fewer than 3 documents is an error."""
-    from pyspark.ml.clustering import KMeans
-    vectors = vectors.persist()  # every restart reads them several times
-    n = vectors.count()
-    if n < 3:
-        raise ValueError(f"Need at least 3 ads to cluster, got {n}")
-    k = min(k, n)
-    best = None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol="cluster", maxIter=50).fit(vectors)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    vectors.unpersist()
-    out = best[1].transform(vectors).select("doc_id", "cluster", "features")
-    return out, best[1]
-
-
-def projection_2d(vectors: DataFrame):
-    """M8: centre (no scaling) then PCA to 2 components; returns coordinates
-    and the explained-variance ratios."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import vector_to_array
-    sc = StandardScaler(inputCol="features", outputCol="_c", withMean=True, withStd=False).fit(vectors)
-    centred = sc.transform(vectors)
-    pca = PCA(k=2, inputCol="_c", outputCol="_xy").fit(centred)
-    xy = pca.transform(centred).select("*", vector_to_array("_xy").alias("_a"))
-    coords = xy.select(*[c for c in vectors.columns if c != "features"],
-                       F.col("_a")[0].alias("x"), F.col("_a")[1].alias("y"))
-    return coords, [float(v) for v in pca.explainedVariance.toArray()]
+    w = sparse.select("doc_id", F.explode_outer(F.arrays_zip("idx", "val")).alias("x"))
+    w = w.select("doc_id", F.col("x.idx").alias("term_index"), F.col("x.val").alias("weight")).where("weight > 0")
+    named = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    return w.select("doc_id", F.get(named, F.col("term_index")).alias("term"), "term_index", "weight")
 
 
 # ── A25 / A26 / T3 ───────────────────────────────────────────────────
@@ -224,15 +184,15 @@ def analyze_ads(ads: DataFrame, k: int = N_CLUSTERS, restarts: int = 10, seed: i
     from adlens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(ads.sparkSession)
     tf = tfidf(ads)
-    # the vectors feed KMeans, PCA and the per-cluster terms: compute them once
+    # the rows feed KMeans, PCA and the per-cluster terms: compute them once
     # and keep them in the shared checkpoint folder (cuts the text lineage)
-    vectors = tf["vectors"].checkpoint(eager=True)
-    weights = term_weights(vectors, tf["vocabulary"])
-    vec = doc_vectors(vectors)
-    clustered, _model = kmeans_clusters(vec, k, restarts, seed)
-    clustered = clustered.checkpoint(eager=True)
-    assignment = clustered.select("doc_id", "cluster")
-    coords, explained = projection_2d(clustered.select("doc_id", "features"))
+    sparse = tf["sparse"].checkpoint(eager=True)
+    weights = term_weights(sparse, tf["terms"])
+    assignment, _centres = C.kmeans(sparse, tf["dim"], k, restarts, seed)
+    assignment = assignment.checkpoint(eager=True)
+    mean, axes, explained = C.principal_axes(sparse, tf["dim"])
+    coords = C.project(sparse, mean, axes)
+    explained = [*explained.tolist(), 0.0, 0.0][:2]
     mw = mean_tfidf_per_group(weights, assignment)
     tops = top_terms(mw)
     labels = assign_labels(label_scores(tops), assignment.select("cluster").distinct())

@@ -722,7 +722,9 @@ def _m7(t: Tables):
 
 @query("M8_projection")
 def _m8(t: Tables):
-    return _analysis(t)["ads"].select("ad_id", "x", "y")
+    got = _analysis(t)
+    first, second = (F.lit(v) for v in got["explained_variance"])
+    return got["ads"].select("ad_id", "x", "y", first.alias("explained_x"), second.alias("explained_y"))
 
 
 @query("M9_cluster_summary")
