@@ -207,6 +207,6 @@ def test_one_versus_one_votes():
     names = ["a", "b", "c"]
     p = np.array([[0.9, 0.2, 0.4], [0.5, 0.5, 0.5], [0.1, 0.6, 0.4]])   # a-b, a-c, b-c
     best, sure = L.decide(p, names, L.pairs_of(names))
-    assert [names[i] for i in best] == ["c", "a", "b"] or [names[i] for i in best][:2] == ["c", "a"]
+    assert [names[i] for i in best] == ["c", "a", "b"]
     assert sure[0] == pytest.approx((0.8 + 0.6) / 2)
     assert L.family_of("en-US") == "germanic" and L.family_of("fr") == "romance" and L.family_of("zz") == "other"
