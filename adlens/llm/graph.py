@@ -39,15 +39,3 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return one.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
-
-def near_labels(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of nodes with a link: the smallest neighbour's smallest
-    neighbour (or the node itself).  Nodes with the same root are in one component; nodes
-    of one component may have several roots.  Two aggregations and one join, where
-    ``components`` takes several rounds."""
-    both = links.select(F.explode(F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("to")),
-                                          F.struct(F.col(b).alias("node"), F.col(a).alias("to")))).alias("x")).select("x.*")
-    least = save(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root")),
-                 "near-labels")
-    jump = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return join_salted(least, jump, "root", ["node"], "left").select("node", F.coalesce("next", "root").alias("root"))

@@ -10,12 +10,15 @@ the sizes of many small fragments bound the overlap (it is at most the sum of th
 sizes), which settles most pairs that only share a passage without their sets.
 
 Equal sets are one class, so copies are never paired.  Classes that share a
-prefix n-gram are first paired with one of them only (a star per n-gram), which
+prefix n-gram are first paired with one of them only (a star per n-gram; its centre is drawn
+anew from all classes of the n-gram in each round), which
 joins large groups of near copies with a number of pairs in proportion to the
-prefixes; after each such round pairs that the links found already join (two
-classes around the same one) need no count any more.  What is left of the pairs
+prefixes; after each such round pairs inside a component of the links found
+need no count any more.  What is left of the pairs
 that share a prefix n-gram is then counted in full, so no link between
-components is lost and the components are exact.
+components is lost and the components are exact.  There a pair is made only if
+its sizes, its places in the order and the parity bits of both sets allow a
+link, and once for all crowded n-grams that both list.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.llm.common import join_salted, save, shingle_sets, text_batches
-from adlens.llm.graph import components, near_labels
+from adlens.llm.graph import components
 
 #: Entries of the broadcast list of frequent n-grams, and of bits in the
 #: filter of candidate documents (both bounds hold whatever the data).
@@ -64,6 +67,24 @@ def _profile(s: np.ndarray) -> list[int]:
     return np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).tolist()
 
 
+#: Words of a set's parity bits, and entries of a class's list of crowded n-grams.
+_WORDS, _LISTED, _CROWD = 8, 16, 32
+
+
+def _parity(s: np.ndarray) -> list[int]:
+    """Whether the number of n-grams in each of 512 ranges of the hash is odd.
+    Each n-gram that only one of two sets holds changes one bit, so they
+    differ in at least as many n-grams as their parities in bits."""
+    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * _WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
+def _differ(a: str, b: str):
+    """Number of bits in which two parities differ."""
+    bits = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(_WORDS)]
+    return sum(bits[1:], bits[0])
+
+
 def _most_shared(a: str, b: str):
     """Upper bound of the overlap of two sets from their profiles; the longer
     profile is folded to the length of the shorter."""
@@ -79,17 +100,17 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _class_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """Rows (id, n, k1, k2, profile) per document, and rows (token, count) of
+    """Rows (id, n, k1, k2, profile, parity) per document, and rows (token, count) of
     n-grams that a batch of a task holds more than once."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        ("profile", pa.list_(pa.int32())), ("token", pa.int64()), ("count", pa.int64())])
+                        ("profile", pa.list_(pa.int32())), ("parity", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
 
     def tokens(held):
         t, c = np.unique(np.concatenate(held), return_counts=True)
         t, c = t[c > 1], c[c > 1]
         none = pa.nulls(len(t), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.nulls(len(t), pa.list_(pa.int32())), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
+            [none, none, none, none, pa.nulls(len(t), pa.list_(pa.int32())), pa.nulls(len(t), pa.list_(pa.int64())), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
 
     def run(batches):
         held, size = [], 0
@@ -100,6 +121,7 @@ def _class_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                  pa.array([_profile(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
+                 pa.array([_parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                  none, none], schema=schema)
             held += sets
             size += sum(map(len, sets))
@@ -109,7 +131,7 @@ def _class_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
         if held:
             yield tokens(held)
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, profile array<int>, token long, count long")
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, profile array<int>, parity array<long>, token long, count long")
 
 
 def _frequent(counts: DataFrame, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +255,7 @@ def _segments(docs: DataFrame, width: int, seed: int, frequent, id_filter, fragm
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-               num: int = 80, den: int = 100, fragments: int = 4, rounds: int = 4, few: int = 16) -> DataFrame:
+               num: int = 80, den: int = 100, fragments: int = 4, rounds: int = 3, few: int = 16) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id that
     links reach).  Two documents link when den * |A and B| >= num * |A or B|
     of their sets of distinct ``width``-word shingles.  Stars go on for at most ``rounds``
@@ -252,7 +274,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         rows = both.where("n is not null")
         sets = rows.select("id", "n", "k1", "k2")
         classes = save(rows.where("n > 0").groupBy("k1", "k2").agg(
-            F.min("id").alias("rep"), F.first("profile").alias("profile")), "join-reps")
+            F.min("id").alias("rep"), F.first("profile").alias("profile"),
+            F.first("parity").alias("parity")), "join-reps")
         # the first 64 bits stand for the class from here on, if they are unique
         if classes.groupBy("k1").count().where("count > 1").isEmpty():
             break
@@ -299,7 +322,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     pairs = save(as_pairs(postings.select("cls", "n", F.col("anchor.cls").alias("other"),
                                           F.col("anchor.n").alias("other_n"))), "join-pairs")
     links = save(count_links(pairs), "join-links")
-    tried, label = pairs, near_labels(links)
+    tried, label = pairs, components(links)
     # Of a pair, the set whose prefix ends first in the order has every shared
     # prefix n-gram inside both prefixes; those that no other prefix holds are not
     # shared, so the overlap is at most its ``reach``, or the larger of both.
@@ -308,35 +331,43 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     live = save(postings.drop("anchor").join(held, "cls").withColumn(
         "reach", F.col("n") - prefix + F.col("held")).drop("held"), "join-reach")
     for step in range(rounds):
-        named = live.drop("comp").join(label.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
+        named = live.drop("comp", "x").join(label.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
             "comp", F.coalesce("root", "cls")).drop("root")
-        mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        live = save(named.join(mixed.select("token"), "token", "left_semi"), "join-live")
+        # a star's centre is drawn from all classes of the n-gram, anew in each round
+        centre = F.struct(F.xxhash64(F.lit(step), "token", "cls").alias("draw"), "cls", "n", "comp", "reach")
+        mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(centre).alias("x")).where("lo <> hi")
+        live = save(named.join(mixed.select("token", "x"), "token"), "join-live")
         if live.isEmpty():
             break
         load = live.groupBy("token").count().agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
         last = step == rounds - 1 or load[0] <= few * load[1]
-        if not last:  # another star, around a class drawn for each n-gram
-            order = run.orderBy(F.xxhash64(F.lit(step), "token", "cls"), "cls")
-            found = live.withColumn("x", F.first(F.struct("cls", "n", "comp", "reach")).over(order)).where("comp <> x.comp")
+        if not last:  # another star per n-gram
+            found = live.where("comp <> x.comp")
             found = found.where((num + den) * F.greatest("reach", "x.reach") >= num * (F.col("n") + F.col("x.n"))).select(
                 "cls", "n", F.col("x.cls").alias("other"), F.col("x.n").alias("other_n"))
         else:  # all pairs that are left
-            right = live.select("token", F.col("cls").alias("other"), F.col("n").alias("other_n"),
+            crowded = live.join(live.groupBy("token").count().where(F.col("count") >= _CROWD).select("token"), "token", "left_semi")
+            listed = crowded.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("token")), 1, _LISTED).alias("listed"))
+            live = save(live.drop("x").join(classes.select(F.col("k1").alias("cls"), "parity"), "cls").join(
+                listed, "cls", "left"), "join-signed")
+            right = live.select("token", F.col("parity").alias("other_parity"), F.col("listed").alias("other_listed"), F.col("cls").alias("other"), F.col("n").alias("other_n"),
                                 F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"),
                                 F.col("reach").alias("other_reach"))
             most = F.least(F.least("pos", "other_pos") + 1 + F.least(
                 F.col("n") - F.col("pos") - 1, F.col("other_n") - F.col("other_pos") - 1), F.greatest("reach", "other_reach"))
             enough = (num + den) * most >= num * (F.col("n") + F.col("other_n"))
+            alike = (num + den) * _differ("parity", "other_parity") <= (den - num) * (F.col("n") + F.col("other_n"))
+            # a pair that meets at several listed n-grams is made at the first
+            first = F.coalesce(F.array_min(F.array_intersect("listed", "other_listed")) >= F.col("token"), F.lit(True))
             found = live.join(right, "token").where((F.col("cls") < F.col("other")) & (
-                F.col("comp") != F.col("other_comp")) & enough)
+                F.col("comp") != F.col("other_comp")) & close & enough & alike & first)
         new = save(as_pairs(found).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
         if not new.isEmpty():
             links = links.unionByName(save(count_links(new), "join-links"))
             tried = tried.unionByName(new)
         if last:
             break
-        label = near_labels(links)
+        label = components(links)
     label = components(links)
 
     named = classes.select(F.col("k1").alias("node"), "rep").join(label, "node", "left").withColumn(

@@ -229,6 +229,33 @@ def test_join_large_group_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_join(rows)
 
 
+def test_join_of_variants_that_seldom_link(spark, monkeypatch):
+    # variants of one text, most of which link with few others or none, meet in the last round under crowded n-grams
+    words = prose(12, 80, 100_000).split()
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        w = list(words)
+        for i in rng.choice(60, size=int(rng.integers(0, 3)), replace=False):
+            w[i] = f"z{k}_{i}"
+        rows.append((k, " ".join(w), "a"))
+    monkeypatch.setattr(V, "_CROWD", 4)
+    monkeypatch.setattr(V, "_LISTED", 3)
+    for rounds in (1, 3):
+        got = V.ngram_join(docs(spark, rows), rounds=rounds, few=0).collect()
+        assert sorted(map(tuple, got), key=str) == brute_join(rows)
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (3, 40, 700):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+        bits = sum(bin((x ^ y) & (2 ** 64 - 1)).count("1") for x, y in zip(V._parity(a), V._parity(b)))
+        assert 0 < bits <= len(np.setxor1d(a, b))
+        assert V._parity(a) == V._parity(a[::-1])
+
+
 def test_join_threshold_is_inclusive(spark):
     a = " ".join(f"t{i}" for i in range(13))  # 9 shingles
     b = a + " t13"  # 10, of which 9 are shared
