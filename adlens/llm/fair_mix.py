@@ -48,6 +48,16 @@ def source_targets(sizes: DataFrame, cycle=(1, 2, 3), budget: int | None = None,
                          F.when(share > cap, cap.cast("double")).otherwise(share).alias("target"))
 
 
+def _source_key(source: Column) -> Column:
+    """Sort key of a source: null last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
+
+
+def _draw(ident: Column, seed: int) -> Column:
+    """Place of a document in the shuffled order of its source."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))))
+
+
 def fair_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              source_col: str = "source", cycle=(1, 2, 3), budget: int | None = None,
              epochs: int = 3, seed: int = 7) -> DataFrame:
@@ -67,12 +77,15 @@ def fair_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows are interchangeable).  An empty table gives an empty result.  Other
     columns are ignored, whatever their names.
     """
-    key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(
-        F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    slim = df.select(F.col(id_col).alias("id"), key.alias("key"),
+    rows = _served(df, id_col, text_col, source_col, cycle, budget, epochs, seed)
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def _served(df: DataFrame, id_col: str, text_col: str, source_col: str, cycle, budget, epochs: int, seed: int) -> DataFrame:
+    """``fair_mix`` with the key and draw of each row."""
+    slim = df.select(F.col(id_col).alias("id"), _source_key(F.col(source_col)).alias("key"),
                      word_count(F.col(text_col)).alias("size"))
-    slim = save(slim.withColumn("draw", F.md5(F.concat(
-        F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))), "mix-sizes")
+    slim = save(slim.withColumn("draw", _draw(F.col("id"), seed)), "mix-sizes")
     targets = save(source_targets(slim, cycle, budget, epochs), "mix-targets")
     run = global_running_sums(slim, ["key", "draw", "id", "size"], ["size"])
     rows = save(join_salted(run, targets, "key", ["draw"], "inner").select(
@@ -100,5 +113,28 @@ def fair_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         served = [F.when(place(F.lit(e)) <= last, 1).otherwise(0) for e in range(epochs)]
         taken = F.when((F.col("size") > 0) & (F.col("target") > 0),
                        F.col("size") * sum(served[1:], served[0])).otherwise(0)
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target",
-                       taken.cast("bigint").alias("taken"))
+    return rows.select("id", "key", "draw", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+
+
+def take_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                cycle=(1, 2, 3), budget: int | None = None, epochs: int = 3, seed: int = 7) -> DataFrame:
+    """Rows of ``df`` that ``fair_mix`` takes, once per taken copy, all columns kept.
+
+    In each pass through a source's queue the mix serves the documents before one place.  One
+    row per source with these places goes to the documents, which settle their
+    copies beside their text: texts do not move unless the table of sources is too large for
+    Catalyst to broadcast.  Rows of one source that are equal in id and size share a place: a pass that
+    takes only some of them takes none, so the budget holds.  Documents without a word are not taken.
+    """
+    rows = _served(df, id_col, text_col, source_col, cycle, budget, epochs, seed).where("size > 0")
+    at = F.struct("draw", "id", "size")
+    ends = save(rows.groupBy("key").agg(*[
+        F.min(F.when(F.col("taken") < F.col("size") * (e + 1), at)).alias(f"_end{e}") for e in range(epochs)])
+        .withColumnRenamed("key", "_mix_key"), "mix-ends")
+    ident = F.col(id_col)
+    docs = df.withColumn("_mix_key_of", _source_key(F.col(source_col))).withColumn(
+        "_mix_at", F.struct(_draw(ident, seed).alias("draw"), ident.alias("id"), word_count(F.col(text_col)).alias("size")))
+    out = docs.join(ends, F.col("_mix_key_of") == F.col("_mix_key"))
+    passes = [F.when(F.col(f"_end{e}").isNull() | (F.col("_mix_at") < F.col(f"_end{e}")), 1).otherwise(0) for e in range(epochs)]
+    out = out.where(F.col("_mix_at")["size"] > 0).withColumn("_copies", sum(passes[1:], passes[0]))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*df.columns)

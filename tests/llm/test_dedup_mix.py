@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlens.llm.exact_dedup import exact_dedup, keep_exact
-from adlens.llm.fair_mix import fair_mix
+from adlens.llm.fair_mix import fair_mix, take_copies
 from tests.llm.frames import awkward, docs, prose
 
 
@@ -102,3 +102,18 @@ def test_mix_reruns_agree_and_takes_awkward_rows(spark):
     assert a == b and len(a) == len(awkward())
     assert fair_mix(docs(spark, [])).collect() == []
     assert [r.taken for r in fair_mix(docs(spark, [(1, None, "a"), (2, "", None)])).collect()] == [0, 0]
+
+
+def test_copies_are_those_of_the_mix(spark):
+    rows = awkward() + [(100 + k, prose(k, 3 + k % 40), f"s{k % 4}" if k % 9 else None) for k in range(150)]
+    rows += [(5000, "one two three", "s1"), (5000, "one two three four", "s1"), (None, "five six", "s2")]
+    frame = docs(spark, rows)
+    got = Counter((r.doc_id, r.text, r.source) for r in take_copies(frame).collect())
+    taken = {r.doc_id: r.taken // r.size for r in fair_mix(frame).collect() if r.size and r.doc_id is not None}
+    repeated = {i for i, n in Counter(r[0] for r in rows).items() if n > 1 or i is None}
+    for i, t, s in rows:
+        if i not in repeated:
+            assert got[(i, t, s)] == taken.get(i, 0), i
+    words = sum(len((t or "").split()) * n for (_, t, _), n in got.items())
+    assert 0 < words <= sum(len((t or "").split()) for _, t, _ in rows)
+    assert take_copies(frame).columns == frame.columns
