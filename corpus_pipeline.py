@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from adlens.llm.common import run_path, save, table
 from adlens.llm.exact_dedup import keep_exact
-from adlens.llm.fair_mix import fair_mix
+from adlens.llm.fair_mix import take_copies
 from adlens.llm.packing import pack_documents
 from adlens.llm.toxicity import toxicity_scores
 from adlens.llm.vertical_join import ngram_join
@@ -48,10 +48,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the mix takes, once per taken copy.  Documents without a word
     are not taken."""
-    taken = fair_mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    return take_copies(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
