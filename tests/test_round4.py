@@ -3,6 +3,8 @@
 import json
 
 import __spark_entry__ as E
+from adlens.plans import catalog as CAT
+from adlens.sources.tables import Tables
 from tests.conftest import SF_SMALL
 from tests.oracle_check import compare, duck
 
@@ -17,3 +19,12 @@ def test_log_has_the_shifts_between_campaigns_and_between_segments(spark):
         shifts = {(r["from_campaign"], r["to_campaign"], r["amount"]) for r in QUERIES[name](spark, SF_SMALL).collect()}
         assert shifts and shifts <= got, name
     assert compare(spark, duck(SF_SMALL), "U2", QUERIES["U2_recommendation_log"], ORACLE["U2_recommendation_log"], SF_SMALL)["status"] == "exact"
+
+
+def test_click_models_send_no_parts_through_the_driver(spark):
+    t = Tables(spark, SF_SMALL)
+    plan = t.clicks._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan
+    stored = CAT._stored_split(t)
+    assert not [f for f in stored.inputFiles() if "/part.parquet" in f or "/lineitem.parquet" in f]
+    assert stored.exceptAll(CAT._split(t)).isEmpty() and CAT._split(t).exceptAll(stored).isEmpty()
