@@ -2,7 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
+from adlens.operators import decide as DC
 from adlens.plans import catalog as CAT
 from adlens.sources.tables import Tables
 from tests.conftest import SF_SMALL
@@ -28,3 +31,12 @@ def test_click_models_send_no_parts_through_the_driver(spark):
     stored = CAT._stored_split(t)
     assert not [f for f in stored.inputFiles() if "/part.parquet" in f or "/lineitem.parquet" in f]
     assert stored.exceptAll(CAT._split(t)).isEmpty() and CAT._split(t).exceptAll(stored).isEmpty()
+
+
+def test_draws_of_few_campaigns_are_dealt_to_all_cores(spark, monkeypatch):
+    summary = spark.createDataFrame([(i, 2.0) for i in range(400)], "campaign_id bigint, roas double").repartition(1)
+    assert abs(sum(r["share"] for r in DC.sampled_allocation_shares(summary, n_samples=20).collect()) - 1.0) < 1e-9
+    # alike campaigns, and the task in place of the draw: a share tells its task
+    monkeypatch.setattr(DC, "hashed_normal", lambda *a: F.spark_partition_id().cast("double"))
+    got = DC.sampled_allocation_shares(summary, n_samples=1).select("share").distinct().count()
+    assert got >= spark.sparkContext.defaultParallelism
