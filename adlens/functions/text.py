@@ -38,13 +38,21 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_PATTERN), 0)
 
 
+def with_words(df: DataFrame, text_col: str, out_col: str = "words",
+               stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+    """Adds ``out_col``: the tokens in order, stop words removed."""
+    from pyspark.ml.feature import StopWordsRemover
+    x = df.withColumn("_tok", tokens(text_col))
+    x = StopWordsRemover(inputCol="_tok", outputCol=out_col, stopWords=list(stop_words),
+                         caseSensitive=True).transform(x)
+    return x.drop("_tok")
+
+
 def with_terms(df: DataFrame, text_col: str, out_col: str = "terms",
                stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """Adds ``out_col``: unigrams (stop words removed) followed by bigrams of
     the remaining tokens, so that bigrams skip over stop words."""
-    from pyspark.ml.feature import NGram, StopWordsRemover
-    x = df.withColumn("_tok", tokens(text_col))
-    x = StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=list(stop_words),
-                         caseSensitive=True).transform(x)
+    from pyspark.ml.feature import NGram
+    x = with_words(df, text_col, "_uni", stop_words)
     x = NGram(n=2, inputCol="_uni", outputCol="_bi").transform(x)
-    return x.withColumn(out_col, F.concat("_uni", "_bi")).drop("_tok", "_uni", "_bi")
+    return x.withColumn(out_col, F.concat("_uni", "_bi")).drop("_uni", "_bi")

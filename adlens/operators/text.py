@@ -1,10 +1,10 @@
 """Competitor ad copy: M6-M9, A10, A11, A25, A26, J11, T3, W10.
 
-TF-IDF takes two passes over the texts: one counts document and corpus
-frequency per term (partial/final, so a term that occurs in a third of all
-documents is one more partial count per task) for the vocabulary, the top 500
-by corpus frequency; the other counts, weights
-(1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) and norms inside each row.
+TF-IDF takes three passes over the texts.  The vocabulary is the top 500 terms by corpus
+frequency: one pass counts document and corpus frequency of all words, one of the
+pairs whose words are both frequent enough for a pair to be among the top (a
+pair is never more frequent than its words, so no other can be); the
+last counts, weights (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) and norms inside each row.
 """
 
 from __future__ import annotations
@@ -12,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.functions.text import with_terms
+from adlens.functions.text import with_terms, with_words
 from adlens.operators import cluster as C
+from adlens.operators import terms as TM
+from adlens.session import ensure_checkpoint_dir
 
 MAX_FEATURES = 500
 MAX_DF = 0.85
 N_CLUSTERS = 5
 N_TOP_TERMS = 10
+#: Words whose pairs are counted by code; of more words, all pairs are counted as text.
+MAX_CODED = 1 << 16
 
 # Strategy buckets and their keywords for cluster labelling.
 LABEL_KEYWORDS = {
@@ -47,6 +51,32 @@ def term_statistics(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_
     return t.groupBy("term").agg(F.count_if("once").alias("df"), F.count_if(~F.col("once")).alias("corpus_tf"))
 
 
+def _bytes(term: str) -> bytes:
+    """Terms are ordered as Spark orders them."""
+    return term.encode("utf-8", "surrogatepass")
+
+
+def _top_terms(docs: DataFrame, id_col: str, text_col: str, n: int, least: int, most: float, coded: int = MAX_CODED) -> list:
+    """The n terms of the highest corpus frequency (ties by term) among those in ``least`` to
+    ``most`` documents, exactly."""
+    ensure_checkpoint_dir(docs.sparkSession)
+
+    def top(stats):
+        kept = stats.where((F.col("df") >= least) & (F.col("df") <= most))
+        return kept.orderBy(F.col("corpus_tf").desc(), F.col("term")).limit(n).collect()
+
+    words = with_words(docs.select(F.col(text_col).alias("_text")), "_text")
+    stats = TM.word_statistics(words).checkpoint(eager=True)     # read twice: one row per word
+    best = top(stats)
+    # n words are kept: a pair that ranks before one of them occurs as often, and so do its words
+    floor = best[-1]["corpus_tf"] if 0 < n == len(best) else 0
+    known = [r["term"] for r in stats.where(F.col("corpus_tf") >= floor).select("term").limit(coded + 1).collect()]
+    if len(known) > coded:
+        return top(term_statistics(docs, id_col, text_col))
+    best += top(TM.pair_statistics(words, known)) if known else []
+    return sorted(best, key=lambda r: (-r["corpus_tf"], _bytes(r["term"])))[:n]
+
+
 def tfidf(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_copy",
           max_features: int = MAX_FEATURES, max_df: float = MAX_DF) -> dict:
     """M6: ``sparse`` (doc_id, idx, val: the places in the vocabulary of a document's terms and
@@ -58,25 +88,19 @@ def tfidf(docs: DataFrame, id_col: str = "ad_id", text_col: str = "ad_copy",
     ``max_features`` rows) comes to the driver; terms are then counted,
     weighted and normed inside each row, with no exchange, and only those that occur.
     """
-    from pyspark.ml.feature import CountVectorizerModel
-
     spark = docs.sparkSession
     n_docs = docs.count()
     least = 2 if n_docs > 10 else 1
-    stats = term_statistics(docs, id_col, text_col)
-    kept = stats.where((F.col("df") >= least) & (F.col("df") <= n_docs * max_df))
-    top = kept.orderBy(F.col("corpus_tf").desc(), F.col("term")).limit(max_features).collect()
+    top = _top_terms(docs, id_col, text_col, max_features, least, n_docs * max_df)
     rows = [(r["term"], i, r["df"], r["corpus_tf"])
-            for i, r in enumerate(sorted(top, key=lambda r: r["term"].encode("utf-8", "surrogatepass")))]
+            for i, r in enumerate(sorted(top, key=lambda r: _bytes(r["term"])))]
     vocab = spark.createDataFrame(rows, "term string, term_index int, df bigint, corpus_tf bigint")
-    d = with_terms(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text")
+    d = with_words(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text")
     if rows:
-        terms = [r[0] for r in rows]
-        model = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="_tf", minTF=1.0)
-        d = model.transform(d.select("doc_id", "terms")).select("doc_id", F.unwrap_udt("_tf").alias("tf"))
+        d = TM.term_counts(d, [r[0] for r in rows])
         idf = F.array(*[F.ln(F.lit(1.0 + n_docs) / F.lit(1.0 + r[2])) + 1.0 for r in rows])
-        raw = F.zip_with("tf.indices", "tf.values", lambda i, n: (1.0 + F.ln(n)) * F.element_at(idf, i + 1))
-        d = d.select("doc_id", F.col("tf.indices").alias("idx"), raw.alias("raw"))
+        raw = F.zip_with("idx", "n", lambda i, n: (1.0 + F.ln(n)) * F.element_at(idf, i + 1))
+        d = d.select("doc_id", "idx", raw.alias("raw"))
         norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
         d = d.select("doc_id", "idx", "raw", norm.alias("norm"))
         sparse = d.select("doc_id", "idx", F.transform("raw", lambda x: x / F.col("norm")).alias("val"))
@@ -181,7 +205,6 @@ def dominant(df: DataFrame, row: str, col: str) -> DataFrame:
 
 def analyze_ads(ads: DataFrame, k: int = N_CLUSTERS, restarts: int = 10, seed: int = 42) -> dict:
     """The whole ad-copy pipeline: TF-IDF -> KMeans -> PCA -> labels -> cross-tab."""
-    from adlens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(ads.sparkSession)
     tf = tfidf(ads)
     # the rows feed KMeans, PCA and the per-cluster terms: compute them once
