@@ -252,6 +252,21 @@ class ChunkTokenizer:
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_KEPT: dict[str, object] = {}
+
+
+def keep_one(key: str, make):
+    """One large object per Python worker, made once, until another key's takes its place,
+    a tokenizer is loaded or words are hashed (other operators' work)."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Drop what ``keep_one`` holds."""
+    _KEPT.clear()
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
@@ -260,6 +275,7 @@ def tokenizer(path: str) -> ChunkTokenizer:
     if path not in _TOKENIZERS:
         _TOKENIZERS.clear()
         _POWERS.clear()
+        let_go()
         _TOKENIZERS[path] = ChunkTokenizer(path)
     return _TOKENIZERS[path]
 
@@ -352,6 +368,7 @@ def word_hashes(texts: list[str], segment: int = 1 << 20) -> tuple[np.ndarray, n
     """64-bit hashes of the words (runs of characters other than space and
     tab to carriage return, A-Z lowered) of all texts joined, and the number of
     words of each text.  Long texts are hashed in segments cut at a blank."""
+    let_go()
     hashes, counts = [], np.zeros(len(texts), dtype=np.int64)
     for a, b in text_batches(texts, segment):
         blobs = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]

@@ -166,6 +166,39 @@ def test_toxicity_without_labels_or_rows(spark):
     assert T.toxicity_scores(docs(spark, []), marks).collect() == []
 
 
+def test_index_of_batches_and_vocabulary():
+    r = np.random.default_rng(6)
+    words = T.Vocabulary(*(lambda t: (t, r.random(len(t))))(r.permutation(np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)))))
+    at, hit = words.find(np.concatenate([words.terms[:-1], words.terms[:-1] + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)]))
+    assert (at[:words.size] == np.arange(words.size)).all() and hit[:words.size].all() and not hit[words.size:].any()
+    lengths = r.integers(0, 60, 900)
+    parts = [(r.choice(400, n, replace=False, p=np.arange(400, 0, -1) / 80200), r.random(n) + 0.1) for n in lengths]
+    unit = [w / np.sqrt((w * w).sum()) for _, w in parts]
+    terms = np.concatenate([t for t, _ in parts])
+    batches, at = [], 0
+    for a in range(0, 900, 128):
+        n = int(lengths[a:a + 128].sum())
+        batches.append((terms[at:at + n], np.concatenate(unit)[at:at + n], lengths[a:a + 128], np.arange(a, min(a + 128, 900)) % 2, np.arange(a, min(a + 128, 900))))
+        at += n
+    index = T.BlockMaxIndex.of_batches(batches, 400, float, scale=r.integers(1, 3, 400).astype(float))
+    full = np.zeros((900, 400))
+    full[np.repeat(np.arange(900), lengths), terms] = np.concatenate(unit)
+    for i in range(0, 900, 11):
+        if lengths[i]:
+            got, cosine = index.nearest(parts[i][0], unit[i], 16)
+            want = np.sort(full @ full[i])[::-1][:16]
+            assert np.allclose(cosine, want[want > 0]) and np.allclose((full @ full[i])[index.ids[got]], cosine)
+            assert (index.labels[got] == index.ids[got] % 2).all()
+
+
+def test_toxicity_index_stays_off_the_driver(spark, monkeypatch):
+    # workers import the module anew: what is taken away here is missing on the driver only
+    rows, marks = labelled(spark, 400)
+    want = {r.doc_id: r.score for r in T.toxicity_scores(docs(spark, rows), marks).collect()}
+    monkeypatch.setattr(T, "BlockMaxIndex", None)
+    assert {r.doc_id: r.score for r in T.toxicity_scores(docs(spark, rows), marks).collect()} == want
+
+
 # --- n-gram join ----------------------------------------------------------
 
 def shingles(t):
