@@ -26,15 +26,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                                           F.max(F.col("to").isNull()).alias("centre"))
         if roles.where("lo < hi or (centre and lo is not null)").isEmpty():
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")
+        both = e.select(ends).select("x.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = join_salted(both, least, "u", ["v"], "inner").where("v > u").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.groupBy("u", "v").agg(F.count(F.lit(1))).select("u", "v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = join_salted(large, least, "u", ["v"], "inner").where("v > m").select(
-            F.col("v").alias("u"), F.col("m").alias("v"))
-        e = save(moved.unionByName(least.select("u", F.col("m").alias("v"))), "small-star")
+        # the smallest neighbour's own row becomes the link of the node to it
+        moved = join_salted(large, least, "u", ["v"], "inner").select(
+            F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        e = save(moved, "small-star")
     one = e.groupBy("u").agg(F.min("v").alias("v"))
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return one.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

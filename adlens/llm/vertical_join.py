@@ -362,13 +362,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             found = live.join(right, "token").where((F.col("cls") < F.col("other")) & (
                 F.col("comp") != F.col("other_comp")) & close & enough & alike & first)
         new = save(as_pairs(found).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
-        if not new.isEmpty():
+        if not new.isEmpty():  # else the components are those of the round before
             links = links.unionByName(save(count_links(new), "join-links"))
             tried = tried.unionByName(new)
+            label = components(links)
         if last:
             break
-        label = components(links)
-    label = components(links)
 
     named = classes.select(F.col("k1").alias("node"), "rep").join(label, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))

@@ -303,6 +303,16 @@ def test_join_empty_table(spark):
     assert [tuple(r) for r in V.ngram_join(docs(spark, [(1, None, "a")])).collect()] == [(1, 0, 1)]
 
 
+def test_component_rounds_read_the_links_once(spark, monkeypatch):
+    from adlens.llm import graph as G
+    plans = []
+    monkeypatch.setattr(G, "save", lambda df, name, f=G.save: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(200, 260)], "a long, b long")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, **{i: 100 for i in range(200, 260)}}
+    assert plans and not any("Union" in p for p in plans)
+
+
 def test_components_of_long_paths_and_hubs(spark):
     path = [(i, i + 1) for i in range(10, 80)]
     hub = [(1000, 1000 + i) for i in range(1, 300)]
