@@ -257,9 +257,10 @@ _KEPT: dict[str, object] = {}
 
 def keep_one(key: str, make):
     """One large object per Python worker, made once, until another key's takes its place,
-    a tokenizer is loaded or words are hashed (other operators' work)."""
+    a tokenizer is loaded or words are hashed (other operators' work).  Tokenizers go before it is made."""
     if key not in _KEPT:
         let_go()
+        _TOKENIZERS.clear()
         _KEPT[key] = make()
     return _KEPT[key]
 

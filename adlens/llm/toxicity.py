@@ -26,6 +26,8 @@ MAX_POSITIVE, MAX_NEGATIVE = 8_192, 16_384
 EXAMPLES_PER_BLOCK = 64
 #: Terms of so large a part (1/n) of the examples are scored by a matrix product, for so many queries at once.
 FREQUENT, QUERIES = 16, 256
+#: Postings summed at once.
+ROOM = 1 << 18
 #: More than the rounding of single-precision sums of cosines.
 SLACK = 1e-4
 
@@ -88,31 +90,35 @@ class BlockMaxIndex:
             to = np.arange(len(rare)) + np.repeat(filled[found] - first, count)
             view["example"][to], view["weight"][to] = example[rare], weights[rare] * self.scale[terms[rare]]
             filled[found] += count
-        self.room, self.score = 0, np.zeros((self.blocks, EXAMPLES_PER_BLOCK))
+        # kept from query to query: new memory costs more than the sums
+        self.score, self.base = np.zeros((self.blocks, EXAMPLES_PER_BLOCK)), np.empty((0, 0), dtype=kind)
+        self.held, self.at, self.value = (np.empty(ROOM, x) for x in (self.flat.dtype, np.int64, float))
 
     def bases(self, terms, weights, lengths) -> np.ndarray:
-        """Sums of the frequent terms of some queries, a row of all examples each."""
+        """Sums of the frequent terms of some queries, a row of all examples each, until the next call."""
         q = np.zeros((len(lengths), self.dense.shape[1]), dtype=self.dense.dtype)
         row = self.row[terms]
         often = row >= 0
         q[np.repeat(np.arange(len(lengths)), lengths)[often], row[often]] = weights[often]
-        return q @ self.dense.T
+        if len(self.base) < len(q):
+            self.base = np.empty((len(q), len(self.ids)), dtype=self.dense.dtype)
+        return np.matmul(q, self.dense.T, out=self.base[:len(q)])
 
     def _sums(self, terms, weights) -> np.ndarray:
         """Sums of the other terms of a query, in double precision."""
+        n = int((self.postings[terms + 1] - self.postings[terms]).sum())
+        if not n:
+            return np.zeros(len(self.ids))
+        if n > ROOM:  # a long text: its terms by halves (no term is that long, see FREQUENT)
+            half = len(terms) // 2
+            return self._sums(terms[:half], weights[:half]) + self._sums(terms[half:], weights[half:])
         weights = weights / self.scale[terms]
-        unit = weights.min(initial=np.inf)
+        unit = weights.min()
         more = weights > unit * (1 + 1e-9)
         order = np.argsort(more, kind="stable")
         terms, weights = terms[order], weights[order] / unit
         start, end = self.postings[terms], self.postings[terms + 1]
         length, once = end - start, len(more) - int(more.sum())
-        n = int(length.sum())
-        if not n:
-            return np.zeros(len(self.ids))
-        if n > self.room:  # kept for the next query: new memory costs more than the sums
-            self.room = max(2 * self.room, n, 1 << 18)
-            self.held, self.at, self.value = (np.empty(self.room, kind) for kind in (self.flat.dtype, np.int64, float))
         held, at, value = self.held[:n], self.at[:n], self.value[:n]
         np.concatenate([self.flat[a:b] for a, b in zip(start.tolist(), end.tolist())], out=held)
         pair = held.view(self.pair)
@@ -226,6 +232,7 @@ class _Vectors:
 def read_index(path: str, words: Vocabulary) -> tuple[BlockMaxIndex, dict[int, tuple[int, int]]]:
     """The index over the vectors that ``toxicity_scores`` wrote, and place and mark of the text by id."""
     index = BlockMaxIndex.of_batches(_Vectors(path), words.size, scale=words.idf)
+    pa.default_memory_pool().release_unused()
     marks = {}
     for f in _files(path):
         rows = f.read(columns=["id", "mark"], use_threads=False)

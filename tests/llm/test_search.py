@@ -191,6 +191,24 @@ def test_index_of_batches_and_vocabulary():
             assert (index.labels[got] == index.ids[got] % 2).all()
 
 
+def test_long_queries_and_one_large_object(monkeypatch):
+    from adlens.llm import common as C
+    r = np.random.default_rng(8)
+    dense = (r.random((300, 200)) < 0.1) * r.random((300, 200))
+    dense = dense / np.sqrt((dense ** 2).sum(1, keepdims=True))
+    who, terms = np.nonzero(dense)
+    monkeypatch.setattr(T, "ROOM", 128)
+    index = T.BlockMaxIndex(terms, dense[who, terms], np.bincount(who, minlength=300), np.zeros(300, int), np.arange(300), 200)
+    query = r.random(200)
+    query = query / np.sqrt((query ** 2).sum())
+    got, cosine = index.nearest(np.arange(200), query, 16)
+    assert np.allclose(cosine, np.sort(dense @ query)[::-1][:16]) and np.allclose((dense @ query)[index.ids[got]], cosine)
+    monkeypatch.setattr(C, "_TOKENIZERS", {"a": 1})
+    assert C.keep_one("x", lambda: len(C._TOKENIZERS)) == 0 and not C._TOKENIZERS
+    C.word_hashes(["a"])
+    assert not C._KEPT
+
+
 def test_toxicity_index_stays_off_the_driver(spark, monkeypatch):
     # workers import the module anew: what is taken away here is missing on the driver only
     rows, marks = labelled(spark, 400)
