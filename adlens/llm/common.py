@@ -1,7 +1,8 @@
 """Helpers shared by the training-data operators.
 
 * ``save`` cuts lineage with a written table in the shared checkpoint folder.
-* ``join_salted`` joins a frame with hot keys to a keyed summary.
+* ``join_salted`` joins a frame with hot keys to a keyed summary; ``join_hot`` does so by
+  the number of rows, and repeats the summary of hot keys only.
 * ``ChunkTokenizer`` encodes whole texts exactly as the ``tokenizers`` file
   does, paying the slow path once per distinct word of a batch.
 * ``word_hashes`` turns texts into 64-bit word hashes without a Python loop
@@ -61,6 +62,41 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, spread, how: str =
     return l.join(r, [key, "_salt"], how).drop("_salt")
 
 
+#: 8-byte words of a table that may be sent whole to all executors (16 MB).
+SENT_WORDS = 1 << 21
+
+
+def fits(rows: int, width: int) -> bool:
+    """Whether ``rows`` rows of ``width`` words, with their entries in a hash table, may be sent whole."""
+    return rows * (width + 8) <= SENT_WORDS
+
+
+def sized(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """``df`` as a side of a join: sent whole to all executors if its counted rows fit, else both sides
+    are shuffled.  Left alone, Spark guesses from compressed files, takes an array for one entry and
+    the rows of an explode for as many as before it, and sends tables the driver can't hold."""
+    return df.hint("broadcast" if fits(rows, width) else "merge")
+
+
+def join_hot(left: DataFrame, right: DataFrame, rows: int, key: str, spread, hot, how: str = "left",
+             salts: int = 32) -> DataFrame:
+    """Equi-join on ``key`` where ``left`` may have hot keys and ``right`` has one row per key, at
+    most ``rows`` of two or three numbers.  If they don't fit, both are shuffled, and rows of the keys
+    that ``hot()`` lists are dealt over ``salts`` sub-keys by the hash of ``spread``."""
+    keys = [] if fits(rows, 3) else hot()
+    if not keys:
+        return left.join(sized(right, rows, 3), key, how)
+    is_hot, last = F.col(key).isin(keys), F.lit(salts - 1)
+    l = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int"))
+    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, last).otherwise(0))))
+    return l.join(r.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
+def hot_bound(rows: int) -> int:
+    """Keys with more of ``rows`` rows than this are hot: fewer than 512 of them, whatever the data."""
+    return max(64, rows // 512)
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").data) & 0xFFFFFFFF

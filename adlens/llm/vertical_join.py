@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.llm.common import join_salted, save, shingle_sets, text_batches
+from adlens.llm.common import fits, hot_bound, join_hot, save, shingle_sets, sized, text_batches
 from adlens.llm.graph import components
 
 #: Entries of the broadcast list of frequent n-grams, and of bits in the
@@ -205,10 +205,9 @@ def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
     bits = min(MAX_FILTER_BITS, 1 << max(10, (8 * n).bit_length()))
     spots = F.explode(F.array(*[F.pmod(F.pmod(F.col("id"), F.lit(_P)) * m, F.lit(_P)) % bits for m in _MULT]))
     words = ids.where("id is not null").select(spots.alias("p")).groupBy((F.col("p") / 32).cast("int").alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("x")).collect()
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("x")).toArrow()
     out = np.zeros(bits // 32, dtype=np.int64)
-    for w, x in words:
-        out[w] = x
+    out[words["w"].to_numpy()] = words["x"].to_numpy()
     return out, bits
 
 
@@ -275,7 +274,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         sets = rows.select("id", "n", "k1", "k2")
         classes = save(rows.where("n > 0").groupBy("k1", "k2").agg(
             F.min("id").alias("rep"), F.first("profile").alias("profile"),
-            F.first("parity").alias("parity")), "join-reps")
+            F.first("parity").alias("parity"), F.count(F.lit(1)).alias("copies")), "join-reps")
         # the first 64 bits stand for the class from here on, if they are unique
         if classes.groupBy("k1").count().where("count > 1").isEmpty():
             break
@@ -296,20 +295,25 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def as_pairs(rows: DataFrame) -> DataFrame:
         return rows.where("cls <> other").where(close).select(*ordered, *sizes).distinct()
 
-    def count_links(pairs: DataFrame) -> DataFrame:
+    def count_links(pairs: DataFrame, n_pairs: int) -> DataFrame:
+        # profiles are long: they are shuffled, those of few pairs' classes only
         of = classes.select("k1", "rep", "profile")
-        pairs = pairs.join(of.toDF("a", "rep_a", "profile_a"), "a").join(of.toDF("b", "rep_b", "profile_b"), "b")
+        if fits(2 * n_pairs, 1):
+            of = of.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()), "k1", "left_semi")
+        pairs = pairs.join(of.toDF("a", "rep_a", "profile_a").hint("merge"), "a").join(
+            of.toDF("b", "rep_b", "profile_b").hint("merge"), "b")
         pairs = save(pairs.where((num + den) * _most_shared("profile_a", "profile_b") >= num * (F.col("na") + F.col("nb")))
                      .drop("profile_a", "profile_b"), "join-bounded")
         ids = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
         id_filter = spark.sparkContext.broadcast(_filter_of(ids))
         parts = save(_segments(docs, width, seed, frequent, id_filter, fragments), "join-segments")
-        by_part = pairs.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(fragments))))
+        by_part = sized(pairs.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(fragments)))),
+                        (fragments + 1) * pairs.count(), 7)
         left = parts.select(F.col("cls").alias("a"), F.col("id").alias("rep_a"), "frag", F.col("tokens").alias("ta"))
         right = parts.select(F.col("cls").alias("b"), F.col("id").alias("rep_b"), "frag", F.col("tokens").alias("tb"))
         meet = by_part.join(left, (by_part["a"] == left["a"]) & (by_part["frag"] == left["frag"])
                             & by_part["rep_a"].eqNullSafe(left["rep_a"])).select(by_part["*"], "ta")
-        meet = meet.join(right, (meet["b"] == right["b"]) & (meet["frag"] == right["frag"])
+        meet = meet.join(right.hint("merge"), (meet["b"] == right["b"]) & (meet["frag"] == right["frag"])
                          & meet["rep_b"].eqNullSafe(right["rep_b"])).select(meet["*"], "tb")
         # a repeated row gives its fragments again: a set, of at most one count per fragment
         partial = meet.select("a", "b", "na", "nb", F.struct(
@@ -321,7 +325,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     pairs = save(as_pairs(postings.select("cls", "n", F.col("anchor.cls").alias("other"),
                                           F.col("anchor.n").alias("other_n"))), "join-pairs")
-    links = save(count_links(pairs), "join-links")
+    n_tried = pairs.count()
+    links = save(count_links(pairs, n_tried), "join-links")
     tried, label = pairs, components(links)
     # Of a pair, the set whose prefix ends first in the order has every shared
     # prefix n-gram inside both prefixes; those that no other prefix holds are not
@@ -348,8 +353,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         else:  # all pairs that are left
             crowded = live.join(live.groupBy("token").count().where(F.col("count") >= _CROWD).select("token"), "token", "left_semi")
             listed = crowded.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("token")), 1, _LISTED).alias("listed"))
-            live = save(live.drop("x").join(classes.select(F.col("k1").alias("cls"), "parity"), "cls").join(
-                listed, "cls", "left"), "join-signed")
+            live = save(sized(live.drop("x"), load[1], 7).join(classes.select(F.col("k1").alias("cls"), "parity"), "cls").join(
+                sized(listed, load[1], _LISTED + 3), "cls", "left"), "join-signed")
             right = live.select("token", F.col("parity").alias("other_parity"), F.col("listed").alias("other_listed"), F.col("cls").alias("other"), F.col("n").alias("other_n"),
                                 F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"),
                                 F.col("reach").alias("other_reach"))
@@ -359,21 +364,33 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             alike = (num + den) * _differ("parity", "other_parity") <= (den - num) * (F.col("n") + F.col("other_n"))
             # a pair that meets at several listed n-grams is made at the first
             first = F.coalesce(F.array_min(F.array_intersect("listed", "other_listed")) >= F.col("token"), F.lit(True))
-            found = live.join(right, "token").where((F.col("cls") < F.col("other")) & (
+            found = live.join(sized(right, load[1], _WORDS + _LISTED + 12), "token").where((F.col("cls") < F.col("other")) & (
                 F.col("comp") != F.col("other_comp")) & close & enough & alike & first)
-        new = save(as_pairs(found).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
-        if not new.isEmpty():  # else the components are those of the round before
-            links = links.unionByName(save(count_links(new), "join-links"))
-            tried = tried.unionByName(new)
+        new = save(as_pairs(found).join(sized(tried.select("a", "b"), n_tried, 2), ["a", "b"], "left_anti"), "join-pairs")
+        n_new = new.count()
+        if n_new:  # else the components are those of the round before
+            links = links.unionByName(save(count_links(new, n_new), "join-links"))
+            tried, n_tried = tried.unionByName(new), n_tried + n_new
             label = components(links)
         if last:
             break
 
-    named = classes.select(F.col("k1").alias("node"), "rep").join(label, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = join_salted(named.select("node", "root"), smallest, "root", ["node"], "inner").select(
-        F.col("node").alias("k1"), "component_id")
-    own = join_salted(sets.where("n > 0"), of_class, "k1", ["id"], "left").select("id", "n", "component_id")
+    # only classes with a link need their component's smallest id
+    linked = save(label.join(classes.select(F.col("k1").alias("node"), "rep"), "node"), "join-linked")
+    smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    n_linked, n_classes = linked.count(), classes.count()
+
+    def hot_roots() -> list[int]:
+        return [r[0] for r in linked.groupBy("root").count().where(F.col("count") > hot_bound(n_linked)).collect()]
+
+    def hot_classes() -> list[int]:
+        n = classes.agg(F.sum("copies")).first()[0]
+        return [r[0] for r in classes.where(F.col("copies") > hot_bound(n)).select("k1").collect()]
+
+    moved = join_hot(linked.select("node", "root"), smallest, n_linked, "root", ["node"], hot_roots, "inner").select(
+        F.col("node").alias("k1"), "component_id", F.lit(True).alias("linked"))
+    of_class = classes.select("k1", "rep").join(sized(moved, n_linked, 3), "k1", "left").select(
+        "k1", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    own = join_hot(sets.where("n > 0"), of_class, n_classes, "k1", ["id"], hot_classes).select("id", "n", "component_id")
     none = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return own.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

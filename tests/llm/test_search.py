@@ -331,6 +331,67 @@ def test_component_rounds_read_the_links_once(spark, monkeypatch):
     assert plans and not any("Union" in p for p in plans)
 
 
+def sent_whole(plan: str) -> list[str]:
+    """What stands below each broadcast of a plan, up to the next exchange."""
+    lines, out = plan.split("\n"), []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            at, part = line.index("BroadcastExchange"), []
+            for x in lines[i + 1:]:
+                name = x.lstrip(" :+-")
+                if len(x) - len(name) <= at or name.startswith("Exchange"):
+                    break
+                part.append(name)
+            out.append("\n".join(part))
+    return out
+
+
+def near_and_exact_groups():
+    words, rows = prose(13, 80, 100_000).split(), [(5000 + k, prose(14, 70), "a") for k in range(90)]
+    for k in range(90):
+        w = list(words)
+        w[k % 80] = f"x{k}"
+        rows.append((k, " ".join(w), "b"))
+    return rows
+
+
+def test_join_sends_no_table_larger_than_spark_takes_it_for(spark, monkeypatch):
+    # Spark takes rows of an explode for as many as before it and an array for one entry, so neither may
+    # be sent whole unless its rows were counted; here no table is small enough
+    from adlens.llm import common as C
+    from adlens.llm import graph as G
+    plans, save = [], C.save
+    for module in (V, G):
+        monkeypatch.setattr(module, "save", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(df, name))
+    monkeypatch.setattr(C, "SENT_WORDS", 0, raising=False)
+    rows = near_and_exact_groups() + chain(5, 25, 9000)
+    out = V.ngram_join(docs(spark, rows))
+    got = sorted(map(tuple, out.collect()), key=str)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8
+    assert not [x for p in plans for x in sent_whole(p) if "Generate explode" in x or "profile" in x or "tokens" in x]
+    assert got == brute_join(rows)
+
+
+def test_components_shuffled_and_sent_are_equal(spark, monkeypatch):
+    from adlens.llm import common as C
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(2000, 2000 + i) for i in range(400)] + [
+        (3000 + i, 3900 - i) for i in range(300)] + [(3000 + i, 3901 - i) for i in range(300)] + [(3500 + i, 2399) for i in range(200)]
+    frame, got = spark.createDataFrame(links, "a long, b long"), []
+    root = {x: x for link in links for x in link}
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    want = {x: r for x, r in root.items() if any(a != b and x in (a, b) for a, b in links)}
+    for words in (0, C.SENT_WORDS):
+        monkeypatch.setattr(C, "SENT_WORDS", words)
+        assert {r.node: r.root for r in components(frame).collect()} == want
+
+
 def test_components_of_long_paths_and_hubs(spark):
     path = [(i, i + 1) for i in range(10, 80)]
     hub = [(1000, 1000 + i) for i in range(1, 300)]
